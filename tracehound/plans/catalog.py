@@ -61,3 +61,229 @@ def q_rules_global(spark, sf_dir):
 @register("rules_endpoint", O.sql("SELECT * FROM det_ep", det_ep=True))
 def q_rules_endpoint(spark, sf_dir):
     return detections(spark, sf_dir, "endpoint")
+
+
+# ------------------------------------------------------------------ shared fixed parameters
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import scalars as X  # noqa: E402
+from ..functions.parse import normalize_events  # noqa: E402
+from ..functions.predicates import is_suspicious_process  # noqa: E402
+from ..operators import views as V  # noqa: E402
+from ..operators import filters as FL  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..operators import sorting as S  # noqa: E402
+from ..operators import setops as U  # noqa: E402
+from ..operators import lifecycle as L  # noqa: E402
+from ..operators.rules import FAILED_LOGINS, FILE_WRITE_EXECUTE, SUSPICIOUS_PROCESS_NETWORK  # noqa: E402
+from ..sources.fixture import fixture_endpoints  # noqa: E402
+from . import dashboard as D  # noqa: E402
+from . import requests as R  # noqa: E402
+
+# Fixed query parameters (FIXTURES.md §2: as_of is 2024-01-03 12:00:00).
+AS_OF = "2024-01-03 12:00:00"
+ENDPOINT = "endpoint-3"
+USER = "user-3"
+
+
+def _list_text(col: str):
+    return F.array_join(col, ",").alias(col)
+
+
+def _events_text(df, alias: str = "events"):
+    """Render an attached events array as (event_list, n_events)."""
+    return df.withColumn("event_list", F.array_join(F.transform(alias, lambda e: e["id"]), ",")).withColumn(
+        "n_events", F.size(alias).cast("bigint")
+    ).drop(alias)
+
+
+J4_SQL = """
+pairs AS (SELECT DISTINCT d.id detection_id, u.eid event_id
+          FROM {det} d, unnest(string_split(d.event_ids, ',')) u(eid) WHERE u.eid <> ''),
+m AS (SELECT p.detection_id, e.id, e."timestamp" FROM pairs p JOIN ev2 e ON e.id = p.event_id)"""
+
+
+def _j4(det_cte: str, body: str) -> str:
+    return J4_SQL.format(det=det_cte) + ",\n" + body
+
+
+def _det_with_events_sql(src: str) -> str:
+    return f"""SELECT d.id, d."timestamp", d.rule_id, d.severity, d.endpoint_id, d.description, d.event_ids, d.date,
+  coalesce(string_agg(m.id, ',' ORDER BY m."timestamp", m.id), '') event_list, count(m.id) n_events
+FROM {src} d LEFT JOIN m ON m.detection_id = d.id
+GROUP BY d.id, d."timestamp", d.rule_id, d.severity, d.endpoint_id, d.description, d.event_ids, d.date"""
+
+
+# ------------------------------------------------------------------ parse / normalise
+
+
+@register("normalize_events", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2"))
+def q_normalize_events(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    shouting = ev.select(
+        *[
+            F.upper(c).alias(c) if c in ("event_type", "status", "direction", "process_name") else F.col(c)
+            for c in ev.columns
+        ]
+    )
+    return normalize_events(shouting)
+
+
+@register("with_month", O.sql("""SELECT id, date, CAST(year(date)*100+month(date) AS INTEGER) "month",
+  CAST(hour("timestamp") AS INTEGER) "hour", CAST(minute("timestamp") AS INTEGER) "minute" FROM ev2"""))
+def q_with_month(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return ev.select(
+        "id", "date", X.yyyymm("date").alias("month"),
+        F.hour("timestamp").alias("hour"), F.minute("timestamp").alias("minute"),
+    )
+
+
+# ------------------------------------------------------------------ single rules
+
+
+@register("rule_failed_logins", O.sql("SELECT * FROM det WHERE rule_id = 'RULE-001'", det=True))
+def q_rule_failed_logins(spark, sf_dir):
+    return apply_rules(events(spark, sf_dir), [FAILED_LOGINS])
+
+
+@register("rule_suspicious_network", O.sql("SELECT * FROM det WHERE rule_id = 'RULE-002'", det=True))
+def q_rule_suspicious_network(spark, sf_dir):
+    return apply_rules(events(spark, sf_dir), [SUSPICIOUS_PROCESS_NETWORK])
+
+
+@register("rule_write_execute", O.sql("SELECT * FROM det WHERE rule_id = 'RULE-003'", det=True))
+def q_rule_write_execute(spark, sf_dir):
+    return apply_rules(events(spark, sf_dir), [FILE_WRITE_EXECUTE])
+
+
+# ------------------------------------------------------------------ views
+
+
+@register("detection_summary", O.sql("""SELECT date, rule_id, severity, count(*) detection_count,
+  count(DISTINCT endpoint_id) affected_endpoints FROM det GROUP BY date, rule_id, severity""", det=True))
+def q_detection_summary(spark, sf_dir):
+    return V.detection_summary(detections(spark, sf_dir))
+
+
+@register("endpoint_detections", O.sql("SELECT * FROM a2", views=True))
+def q_endpoint_detections(spark, sf_dir):
+    return V.endpoint_detections(detections(spark, sf_dir))
+
+
+@register("endpoint_events", O.sql("SELECT * FROM a3", views=True))
+def q_endpoint_events(spark, sf_dir):
+    return V.endpoint_events(events(spark, sf_dir))
+
+
+@register("user_events", O.sql("SELECT * FROM a4", views=True))
+def q_user_events(spark, sf_dir):
+    return V.user_events(events(spark, sf_dir))
+
+
+@register("user_detections", O.sql("SELECT \"user\", date, severity, rule_id, CAST(detection_count AS BIGINT) detection_count FROM a5", views=True))
+def q_user_detections(spark, sf_dir):
+    return V.user_detections(detections(spark, sf_dir), events(spark, sf_dir))
+
+
+@register("endpoint_details_view", O.sql("""SELECT endpoint_id, primary_user, last_seen, total_events,
+  unique_event_types, unique_users, array_to_string(recent_event_types, ',') recent_event_types FROM a6""", views=True))
+def q_endpoint_details_view(spark, sf_dir):
+    a6 = V.endpoint_details_view(events(spark, sf_dir))
+    return a6.withColumn("recent_event_types", F.array_join("recent_event_types", ","))
+
+
+@register("user_details_view", O.sql("""SELECT "user", last_seen, total_events, unique_event_types,
+  unique_endpoints, array_to_string(recent_endpoints, ',') recent_endpoints FROM a7""", views=True))
+def q_user_details_view(spark, sf_dir):
+    a7 = V.user_details_view(events(spark, sf_dir))
+    return a7.withColumn("recent_endpoints", F.array_join("recent_endpoints", ","))
+
+
+@register("endpoint_event_summary", O.sql("""SELECT endpoint_id, event_type, CAST(sum(event_count) AS BIGINT) event_count,
+  max(last_seen) last_seen, CAST(sum(unique_users) AS BIGINT) unique_users FROM a3 GROUP BY endpoint_id, event_type""", views=True))
+def q_endpoint_event_summary(spark, sf_dir):
+    return V.endpoint_event_summary(V.endpoint_events(events(spark, sf_dir)))
+
+
+@register("endpoint_detection_summary", O.sql("""SELECT endpoint_id, CAST(sum(detection_count) AS BIGINT) detection_count,
+  max(max_severity) max_severity FROM a2 GROUP BY endpoint_id""", views=True))
+def q_endpoint_detection_summary(spark, sf_dir):
+    return V.endpoint_detection_summary(V.endpoint_detections(detections(spark, sf_dir)))
+
+
+@register("user_event_summary", O.sql("""SELECT "user", event_type, CAST(sum(event_count) AS BIGINT) event_count,
+  max(last_seen) last_seen, CAST(sum(unique_endpoints) AS BIGINT) unique_endpoints FROM a4 GROUP BY "user", event_type""", views=True))
+def q_user_event_summary(spark, sf_dir):
+    return V.user_event_summary(V.user_events(events(spark, sf_dir)))
+
+
+@register("user_detection_summary", O.sql("""SELECT "user", max(severity) max_severity,
+  CAST(sum(detection_count) AS BIGINT) detection_count, count(DISTINCT rule_id) unique_rules FROM a5 GROUP BY "user" """, views=True))
+def q_user_detection_summary(spark, sf_dir):
+    return V.user_detection_summary(V.user_detections(detections(spark, sf_dir), events(spark, sf_dir)))
+
+
+@register("endpoint_list_kpis", O.sql(f"""SELECT count(*) total,
+  count(*) FILTER (WHERE CAST(last_seen AS DATE) = CAST({O.AS_OF} AS DATE)) active_today,
+  CAST(coalesce(sum(total_events), 0) AS BIGINT) total_events FROM a6""", views=True))
+def q_endpoint_list_kpis(spark, sf_dir):
+    return V.list_kpis(R.list_endpoints(events(spark, sf_dir)), AS_OF)
+
+
+@register("user_list_kpis", O.sql(f"""SELECT count(*) total,
+  count(*) FILTER (WHERE CAST(last_seen AS DATE) = CAST({O.AS_OF} AS DATE)) active_today,
+  CAST(coalesce(sum(total_events), 0) AS BIGINT) total_events FROM a7""", views=True))
+def q_user_list_kpis(spark, sf_dir):
+    return V.list_kpis(R.list_users(events(spark, sf_dir)), AS_OF)
+
+
+@register("event_type_share", O.sql(f"""SELECT event_type, count, CAST(count AS DOUBLE) / max(count) OVER () * 100.0 pct_of_max
+FROM (SELECT event_type, CAST(sum(event_count) AS BIGINT) count FROM a3
+      WHERE date >= CAST({O.AS_OF} AS DATE) - 1 GROUP BY event_type ORDER BY count DESC, event_type LIMIT 10)""", views=True))
+def q_event_type_share(spark, sf_dir):
+    a3 = V.endpoint_events(events(spark, sf_dir))
+    return V.pct_of_max(D.event_type_distribution(a3, AS_OF).select("event_type", "count"), "count")
+
+
+@register("user_endpoint_pairs", O.sql("SELECT DISTINCT \"user\", endpoint_id FROM ev2 WHERE \"user\" <> ''"))
+def q_user_endpoint_pairs(spark, sf_dir):
+    return V.user_endpoint_pairs(events(spark, sf_dir))
+
+
+@register("table_health", O.sql("""SELECT 'events' "table", count(*) "rows", 'OK' state FROM ev2
+UNION ALL SELECT 'detections', count(*), CASE WHEN count(*) >= 1 THEN 'OK' ELSE 'EMPTY' END FROM det
+UNION ALL SELECT 'endpoints', count(*), 'OK' FROM endpoints
+UNION ALL SELECT 'detections_late', count(*), 'EMPTY' FROM det WHERE "timestamp" > TIMESTAMP '2030-01-01'
+UNION ALL SELECT 'archive', CAST(NULL AS BIGINT), 'MISSING'""", det=True, endpoints=True))
+def q_table_health(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    det = detections(spark, sf_dir)
+    return V.table_health(
+        {
+            "events": ev,
+            "detections": det,
+            "endpoints": fixture_endpoints(spark),
+            "detections_late": det.where(F.col("timestamp") > F.lit("2030-01-01").cast("timestamp")),
+            "archive": None,
+        }
+    )
+
+
+@register("event_type_counts", O.sql("SELECT event_type, count(*) event_count FROM ev2 GROUP BY event_type"))
+def q_event_type_counts(spark, sf_dir):
+    return V.event_type_counts(events(spark, sf_dir))
+
+
+@register("latest_by_key", O.sql("""SELECT id, "timestamp", rule_id, severity, endpoint_id, description, event_ids, date
+FROM (SELECT *, row_number() OVER (PARTITION BY severity, rule_id, "timestamp" ORDER BY id DESC) rn FROM det) WHERE rn = 1""", det=True))
+def q_latest_by_key(spark, sf_dir):
+    return V.latest_by_key(detections(spark, sf_dir), ["severity", "rule_id", "timestamp"], "id")
+
+
+@register("merge_partials", O.sql("""SELECT endpoint_id, event_type, CAST(sum(event_count) AS BIGINT) event_count,
+  min(first_seen) first_seen, max(last_seen) last_seen FROM a3 GROUP BY endpoint_id, event_type""", views=True))
+def q_merge_partials(spark, sf_dir):
+    a3 = V.endpoint_events(events(spark, sf_dir))
+    return V.merge_partials(a3, ["endpoint_id", "event_type"], sums=["event_count"], mins=["first_seen"], maxs=["last_seen"])

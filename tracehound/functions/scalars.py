@@ -102,4 +102,6 @@ def default(col: str | Column, value) -> Column:
 
 def elapsed_seconds(col: str | Column, as_of) -> Column:
     """Whole seconds from ``col`` to ``as_of``."""
-    return F.timestampdiff("SECOND", _c(col), to_ts(as_of))
+    diff = F.unix_micros(to_ts(as_of)) - F.unix_micros(_c(col))
+    # exact integer division truncating toward zero, like timestampdiff(SECOND, ...)
+    return ((diff - diff % 1000000) / 1000000).cast("bigint")

@@ -105,7 +105,7 @@ m AS (SELECT p.detection_id, e.id, e."timestamp" FROM pairs p JOIN ev2 e ON e.id
 
 
 def _j4(det_cte: str, body: str) -> str:
-    return J4_SQL.format(det=det_cte) + ",\n" + body
+    return ", " + J4_SQL.format(det=det_cte).strip() + ",\n" + body.strip() + "\n"
 
 
 def _det_with_events_sql(src: str) -> str:
@@ -287,3 +287,421 @@ def q_latest_by_key(spark, sf_dir):
 def q_merge_partials(spark, sf_dir):
     a3 = V.endpoint_events(events(spark, sf_dir))
     return V.merge_partials(a3, ["endpoint_id", "event_type"], sums=["event_count"], mins=["first_seen"], maxs=["last_seen"])
+
+
+# ------------------------------------------------------------------ parse round trip
+
+
+@register("parse_roundtrip", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2"))
+def q_parse_roundtrip(spark, sf_dir):
+    """Events serialised to wire JSON (epoch-ms timestamps) and parsed back."""
+    from ..functions.parse import parse_events
+
+    ev = events(spark, sf_dir)
+    wire = ev.select(
+        F.to_json(
+            F.struct(
+                "id",
+                F.unix_millis("timestamp").alias("timestamp"),
+                *[c for c in ev.columns if c not in ("id", "timestamp", "date")],
+            )
+        ).alias("value")
+    )
+    return parse_events(wire)
+
+
+# ------------------------------------------------------------------ filters (F1-F12) and paging
+
+_EV_ORDER = 'ORDER BY "timestamp" DESC, id'
+
+
+@register("get_events_page", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 {_EV_ORDER} LIMIT 100 OFFSET 40"))
+def q_get_events_page(spark, sf_dir):
+    return R.get_events(events(spark, sf_dir), limit=100, offset=40)
+
+
+@register("get_events_filtered", O.sql(f"""SELECT {O.EVENTS_COLS} FROM ev2
+WHERE endpoint_id = '{ENDPOINT}' AND event_type = 'login'
+  AND "timestamp" >= TIMESTAMP '2024-01-02 00:00:00' AND "timestamp" <= TIMESTAMP '2024-01-03 06:00:00'
+{_EV_ORDER} LIMIT 100"""))
+def q_get_events_filtered(spark, sf_dir):
+    return R.get_events(
+        events(spark, sf_dir), endpoint_id=ENDPOINT, event_type="login",
+        from_="2024-01-02 00:00:00", to="2024-01-03 06:00:00",
+    )
+
+
+@register("get_events_user", O.sql(f"""SELECT {O.EVENTS_COLS} FROM ev2
+WHERE "user" = '{USER}' AND event_type = 'process' {_EV_ORDER} LIMIT 50"""))
+def q_get_events_user(spark, sf_dir):
+    return R.events_by_user(events(spark, sf_dir), USER, event_type="process", limit=50)
+
+
+@register("events_by_endpoint", O.sql(f"""SELECT {O.EVENTS_COLS} FROM ev2
+WHERE endpoint_id = '{ENDPOINT}' {_EV_ORDER} LIMIT 100 OFFSET 5"""))
+def q_events_by_endpoint(spark, sf_dir):
+    return R.events_by_endpoint(events(spark, sf_dir), ENDPOINT, offset=5)
+
+
+@register("get_detections_filtered", O.sql(_j4("det", f"""
+pg AS (SELECT * FROM det WHERE severity = 3 AND "timestamp" >= TIMESTAMP '2024-01-02 00:00:00'
+       {_EV_ORDER} LIMIT 100)
+""" ) + _det_with_events_sql("pg"), det=True))
+def q_get_detections_filtered(spark, sf_dir):
+    out = R.get_detections(detections(spark, sf_dir), events(spark, sf_dir), severity=3, from_="2024-01-02 00:00:00")
+    return _events_text(out)
+
+
+@register("get_detections_user", O.sql(_j4("det", f"""
+pg AS (SELECT * FROM det WHERE rule_id = 'RULE-002'
+         AND endpoint_id IN (SELECT DISTINCT endpoint_id FROM ev2 WHERE "user" = '{USER}')
+       {_EV_ORDER} LIMIT 100)
+""") + _det_with_events_sql("pg"), det=True))
+def q_get_detections_user(spark, sf_dir):
+    out = R.detections_by_user(detections(spark, sf_dir), events(spark, sf_dir), USER, rule_id="RULE-002")
+    return _events_text(out)
+
+
+@register("get_detections_page", O.sql(_j4("det", f"""
+pg AS (SELECT * FROM det {_EV_ORDER} LIMIT 100 OFFSET 10)
+""") + _det_with_events_sql("pg"), det=True))
+def q_get_detections_page(spark, sf_dir):
+    # severity 0 and empty strings are "no filter"
+    out = R.get_detections(detections(spark, sf_dir), events(spark, sf_dir), severity=0, rule_id="", offset=10)
+    return _events_text(out)
+
+
+@register("filter_in", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 WHERE endpoint_id IN ('endpoint-1','endpoint-4','endpoint-9')"))
+def q_filter_in(spark, sf_dir):
+    return FL.filter_in(events(spark, sf_dir), "endpoint_id", ["endpoint-1", "endpoint-4", "endpoint-9"])
+
+
+@register("recent_days", O.sql(f"SELECT * FROM a3 WHERE date >= CAST({O.AS_OF} AS DATE) - 1", views=True))
+def q_recent_days(spark, sf_dir):
+    return FL.recent_days(V.endpoint_events(events(spark, sf_dir)), AS_OF, 1)
+
+
+@register("recent_hours", O.sql(f"""SELECT "user", last_seen, total_events, unique_event_types, unique_endpoints,
+  array_to_string(recent_endpoints, ',') recent_endpoints FROM a7 WHERE last_seen >= {O.AS_OF} - INTERVAL 24 HOUR""", views=True))
+def q_recent_hours(spark, sf_dir):
+    a7 = FL.recent_hours(V.user_details_view(events(spark, sf_dir)), AS_OF, 24)
+    return a7.withColumn("recent_endpoints", F.array_join("recent_endpoints", ","))
+
+
+@register("search_endpoints", O.sql("""SELECT endpoint_id, primary_user "user", last_seen, total_events event_count, unique_users,
+  array_to_string(recent_event_types, ',') recent_event_types FROM a6
+WHERE contains(lower(endpoint_id), '-1') OR contains(lower(primary_user), '-1')""", views=True))
+def q_search_endpoints(spark, sf_dir):
+    df = FL.search_rows(R.list_endpoints(events(spark, sf_dir)), "-1", ["endpoint_id", "user"])
+    return df.withColumn("recent_event_types", F.array_join("recent_event_types", ","))
+
+
+@register("search_users", O.sql("""SELECT "user", last_seen, total_events event_count, unique_endpoints FROM a7
+WHERE contains(lower("user"), 'user-1')""", views=True))
+def q_search_users(spark, sf_dir):
+    return FL.search_rows(R.list_users(events(spark, sf_dir)), "USER-1", ["user"])
+
+
+@register("suspicious_process_events", O.sql(f"""SELECT {O.EVENTS_COLS} FROM ev2 WHERE
+  contains(lower(process_name), 'mimikatz') OR contains(lower(process_name), 'psexec')
+  OR contains(lower(process_name), 'powershell.exe') OR contains(lower(process_name), 'cmd.exe')
+  OR contains(lower(process_name), 'rundll32.exe')"""))
+def q_suspicious_process_events(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return ev.where(is_suspicious_process("process_name"))
+
+
+@register("get_event_by_id", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 WHERE id = 'evt-000000042'"))
+def q_get_event_by_id(spark, sf_dir):
+    return FL.get_by_id(events(spark, sf_dir), "evt-000000042")
+
+
+@register("page_count", O.sql("SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) pages FROM ev2"))
+def q_page_count(spark, sf_dir):
+    return S.page_count(events(spark, sf_dir), 10)
+
+
+@register("page_number", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 {_EV_ORDER} LIMIT 10 OFFSET 20"))
+def q_page_number(spark, sf_dir):
+    return S.page_number(events(spark, sf_dir), S.newest_first(), 3, 10)
+
+
+# ------------------------------------------------------------------ joins
+
+
+@register("events_with_hostnames", O.sql("""SELECT e.id, e."timestamp", e.endpoint_id,
+  coalesce(nullif(p.hostname, ''), 'Unknown') hostname
+FROM ev2 e LEFT JOIN endpoints p ON p.endpoint_id = e.endpoint_id""", endpoints=True))
+def q_events_with_hostnames(spark, sf_dir):
+    ev = events(spark, sf_dir).select("id", "timestamp", "endpoint_id")
+    return J.add_hostnames(ev, fixture_endpoints(spark))
+
+
+@register("detections_with_events", O.sql(_j4("det", "x AS (SELECT 1)") + _det_with_events_sql("det"), det=True))
+def q_detections_with_events(spark, sf_dir):
+    return _events_text(J.attach_events(detections(spark, sf_dir), events(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ requests (Q2, Q4, Q7-Q10)
+
+
+@register("live_events", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 {_EV_ORDER} LIMIT 20"))
+def q_live_events(spark, sf_dir):
+    return R.live_events(events(spark, sf_dir))
+
+
+@register("live_detections", O.sql(_j4("det", f"pg AS (SELECT * FROM det {_EV_ORDER} LIMIT 20)") + _det_with_events_sql("pg"), det=True))
+def q_live_detections(spark, sf_dir):
+    return _events_text(R.live_detections(detections(spark, sf_dir), events(spark, sf_dir)))
+
+
+@register("list_endpoints", O.sql("""SELECT endpoint_id, primary_user "user", last_seen, total_events event_count, unique_users,
+  array_to_string(recent_event_types, ',') recent_event_types FROM a6""", views=True))
+def q_list_endpoints(spark, sf_dir):
+    return R.list_endpoints(events(spark, sf_dir)).withColumn("recent_event_types", F.array_join("recent_event_types", ","))
+
+
+@register("list_users", O.sql("""SELECT "user", last_seen, total_events event_count, unique_endpoints FROM a7""", views=True))
+def q_list_users(spark, sf_dir):
+    return R.list_users(events(spark, sf_dir))
+
+
+def _endpoint_part(part: str):
+    def fn(spark, sf_dir):
+        out = R.endpoint_details(events(spark, sf_dir), detections(spark, sf_dir), ENDPOINT)[part]
+        if part == "details":
+            out = out.withColumn("recent_event_types", F.array_join("recent_event_types", ","))
+        if part == "detections":
+            out = _events_text(out)
+        return out
+
+    return fn
+
+
+_ENDPOINT_SQL = {
+    "details": O.sql(f"""SELECT endpoint_id, primary_user "user", last_seen, total_events event_count, unique_event_types,
+  unique_users, array_to_string(recent_event_types, ',') recent_event_types FROM a6 WHERE endpoint_id = '{ENDPOINT}'""", views=True),
+    "eventSummary": O.sql(f"""SELECT endpoint_id, event_type, CAST(sum(event_count) AS BIGINT) event_count, max(last_seen) last_seen,
+  CAST(sum(unique_users) AS BIGINT) unique_users FROM a3 WHERE endpoint_id = '{ENDPOINT}' GROUP BY endpoint_id, event_type""", views=True),
+    "events": O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 WHERE endpoint_id = '{ENDPOINT}' {_EV_ORDER} LIMIT 20"),
+    "detectionSummary": O.sql(f"""SELECT endpoint_id, CAST(sum(detection_count) AS BIGINT) detection_count, max(max_severity) max_severity
+  FROM a2 WHERE endpoint_id = '{ENDPOINT}' GROUP BY endpoint_id""", views=True),
+    "detections": O.sql(_j4("det", f"pg AS (SELECT * FROM det WHERE endpoint_id = '{ENDPOINT}' {_EV_ORDER} LIMIT 20)")
+                        + _det_with_events_sql("pg"), det=True),
+}
+for _part, _sql in _ENDPOINT_SQL.items():
+    register(f"endpoint_details_{_part}", _sql)(_endpoint_part(_part))
+
+
+def _user_part(part: str):
+    def fn(spark, sf_dir):
+        out = R.user_details(events(spark, sf_dir), detections(spark, sf_dir), USER)[part]
+        if part == "details":
+            out = out.withColumn("recent_endpoints", F.array_join("recent_endpoints", ","))
+        if part == "detections":
+            out = _events_text(out)
+        return out
+
+    return fn
+
+
+_USER_EPS = f"(SELECT unnest(recent_endpoints) FROM a7 WHERE \"user\" = '{USER}')"
+_USER_SQL = {
+    "details": O.sql(f"""SELECT "user", last_seen, total_events event_count, unique_event_types, unique_endpoints,
+  array_to_string(recent_endpoints, ',') recent_endpoints FROM a7 WHERE "user" = '{USER}'""", views=True),
+    "eventSummary": O.sql(f"""SELECT "user", event_type, CAST(sum(event_count) AS BIGINT) event_count, max(last_seen) last_seen,
+  CAST(sum(unique_endpoints) AS BIGINT) unique_endpoints FROM a4 WHERE "user" = '{USER}' GROUP BY "user", event_type""", views=True),
+    "events": O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 WHERE \"user\" = '{USER}' {_EV_ORDER} LIMIT 20"),
+    "detectionSummary": O.sql(f"""SELECT "user", max(severity) max_severity, CAST(sum(detection_count) AS BIGINT) detection_count,
+  count(DISTINCT rule_id) unique_rules FROM a5 WHERE "user" = '{USER}' GROUP BY "user" """, views=True),
+    "endpoints": O.sql(f"""SELECT endpoint_id, primary_user "user", last_seen, total_events event_count FROM a6
+  WHERE endpoint_id IN {_USER_EPS}""", views=True),
+    "detections": O.sql(_j4("det", f"pg AS (SELECT * FROM det WHERE endpoint_id IN {_USER_EPS} {_EV_ORDER} LIMIT 20)")
+                        + _det_with_events_sql("pg"), views=True),
+}
+for _part, _sql in _USER_SQL.items():
+    register(f"user_details_{_part}", _sql)(_user_part(_part))
+
+
+# ------------------------------------------------------------------ dashboard
+
+
+def _snapshot(spark, sf_dir):
+    return D.dashboard_snapshot(events(spark, sf_dir), detections(spark, sf_dir), AS_OF)
+
+
+_DAY = f"date >= CAST({O.AS_OF} AS DATE) - 1"
+_LIVE = f"last_seen >= {O.AS_OF} - INTERVAL 24 HOUR"
+_DASH = {
+    "severity": f"""SELECT CAST(row_number() OVER (ORDER BY severity) AS INTEGER) rank, severity, count FROM
+  (SELECT severity, CAST(sum(detection_count) AS BIGINT) count FROM a5 WHERE {_DAY} GROUP BY severity)""",
+    "event_types": f"""SELECT CAST(row_number() OVER (ORDER BY count DESC, event_type) AS INTEGER) rank, event_type, count FROM
+  (SELECT event_type, CAST(sum(event_count) AS BIGINT) count FROM a3 WHERE {_DAY} GROUP BY event_type
+   ORDER BY count DESC, event_type LIMIT 10)""",
+    "active_endpoints": f"""SELECT CAST(row_number() OVER (ORDER BY total_events DESC, endpoint_id) AS INTEGER) rank,
+  endpoint_id, primary_user "user", total_events event_count FROM
+  (SELECT * FROM a6 WHERE {_LIVE} ORDER BY total_events DESC, endpoint_id LIMIT 50)""",
+    "active_users": f"""SELECT CAST(row_number() OVER (ORDER BY total_events DESC, "user") AS INTEGER) rank,
+  "user", total_events event_count, unique_endpoints FROM
+  (SELECT * FROM a7 WHERE {_LIVE} ORDER BY total_events DESC, "user" LIMIT 50)""",
+    "recent_events": f"""SELECT CAST(row_number() OVER ({_EV_ORDER}) AS INTEGER) rank, r.id, r."timestamp", r.endpoint_id,
+  r.event_type, r."user", coalesce(nullif(p.hostname, ''), 'Unknown') hostname FROM
+  (SELECT * FROM ev2 {_EV_ORDER} LIMIT 20) r LEFT JOIN endpoints p ON p.endpoint_id = r.endpoint_id""",
+    "recent_detections": f"""SELECT CAST(row_number() OVER ({_EV_ORDER}) AS INTEGER) rank, r.id, r."timestamp", r.endpoint_id,
+  r.rule_id, r.severity, coalesce(nullif(p.hostname, ''), 'Unknown') hostname FROM
+  (SELECT * FROM det {_EV_ORDER} LIMIT 20) r LEFT JOIN endpoints p ON p.endpoint_id = r.endpoint_id""",
+}
+
+
+def _dash_part(part: str):
+    def fn(spark, sf_dir):
+        stats = D.dashboard_stats(_snapshot(spark, sf_dir), fixture_endpoints(spark))
+        out = stats[part]
+        return out.withColumn("rank", F.col("rank").cast("int"))
+
+    return fn
+
+
+for _part, _sql in _DASH.items():
+    register(f"dashboard_{_part}", O.sql(_sql, views=True, endpoints=True))(_dash_part(_part))
+
+
+@register("dashboard_totals", O.sql(f"""SELECT CAST({O.AS_OF} AS DATE) snapshot_date, CAST(hour({O.AS_OF}) AS INTEGER) snapshot_hour,
+  CAST(minute({O.AS_OF}) AS INTEGER) snapshot_minute, {O.AS_OF} snapshot_timestamp,
+  (SELECT CAST(coalesce(sum(event_count), 0) AS BIGINT) FROM a3 WHERE {_DAY}) total_events,
+  (SELECT CAST(coalesce(sum(detection_count), 0) AS BIGINT) FROM a2 WHERE {_DAY}) total_detections""", views=True))
+def q_dashboard_totals(spark, sf_dir):
+    snap = _snapshot(spark, sf_dir)
+    return snap.select("snapshot_date", "snapshot_hour", "snapshot_minute", "snapshot_timestamp", "total_events", "total_detections")
+
+
+@register("dashboard_event_type_pct", O.sql(f"""SELECT event_type, count, CAST(count AS DOUBLE) / max(count) OVER () * 100.0 pct_of_max FROM
+  (SELECT event_type, CAST(sum(event_count) AS BIGINT) count FROM a3 WHERE {_DAY} GROUP BY event_type
+   ORDER BY count DESC, event_type LIMIT 10)""", views=True))
+def q_dashboard_event_type_pct(spark, sf_dir):
+    stats = D.dashboard_stats(_snapshot(spark, sf_dir), fixture_endpoints(spark))
+    return V.pct_of_max(stats["event_types"].select("event_type", "count"), "count")
+
+
+# ------------------------------------------------------------------ scalars
+
+_TITLE = "CASE WHEN {c} IS NULL OR {c} = '' THEN 'Unknown' ELSE array_to_string(list_transform(string_split({c}, '_'), lambda w: upper(w[1]) || w[2:]), ' ') END"
+
+
+@register("event_labels", O.sql(f"""SELECT id, {_TITLE.format(c='event_type')} type_label, {_TITLE.format(c='status')} status_label,
+  strftime("timestamp", '%b %d, %Y %H:%M:%S') time_label, substring(id, 1, 8) short_id,
+  CASE WHEN "user" IS NULL OR "user" = '' THEN 'Unknown' ELSE "user" END user_label,
+  CAST(trunc((epoch_ms({O.AS_OF}) - epoch_ms("timestamp")) / 1000.0) AS BIGINT) age_seconds,
+  CAST(year("timestamp")*100+month("timestamp") AS INTEGER) yyyymm FROM ev2"""))
+def q_event_labels(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return ev.select(
+        "id",
+        X.title_words("event_type").alias("type_label"),
+        X.title_words("status").alias("status_label"),
+        X.date_label("timestamp").alias("time_label"),
+        X.short_id("id").alias("short_id"),
+        X.default("user", "Unknown").alias("user_label"),
+        X.elapsed_seconds("timestamp", AS_OF).alias("age_seconds"),
+        X.yyyymm("timestamp").alias("yyyymm"),
+    )
+
+
+@register("detection_labels", O.sql("""SELECT id, CASE WHEN severity = 1 THEN 'Low' WHEN severity IN (2, 3) THEN 'Medium'
+  WHEN severity = 4 THEN 'High' WHEN severity = 5 THEN 'Critical' ELSE 'Unknown' END severity_name,
+  CASE WHEN length(description) > 30 THEN substring(description, 1, 30) || '...' ELSE description END short_description,
+  substring(id, 1, 8) short_id, """ + _TITLE.format(c="lower(replace(rule_id, '-', '_'))") + """ rule_label FROM det""", det=True))
+def q_detection_labels(spark, sf_dir):
+    det = detections(spark, sf_dir)
+    return det.select(
+        "id",
+        X.severity_name("severity").alias("severity_name"),
+        X.truncate_text("description", 30).alias("short_description"),
+        X.short_id("id").alias("short_id"),
+        X.title_words(F.lower(F.regexp_replace("rule_id", "-", "_"))).alias("rule_label"),
+    )
+
+
+@register("page_hosts", O.sql("""SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN '' ELSE
+  split_part(split_part(CASE WHEN contains(url, '//') THEN split_part(url, '/', 3) ELSE split_part(url, '/', 1) END, ':', 1), '?', 1) END host
+FROM pages"""))
+def q_page_hosts(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", X.url_host("url").alias("host"))
+
+
+# ------------------------------------------------------------------ sorting
+
+
+def _hosts_a6(spark, sf_dir):
+    a6 = V.endpoint_details_view(events(spark, sf_dir)).select("endpoint_id", "total_events")
+    return a6.join(fixture_endpoints(spark).select("endpoint_id", "hostname"), "endpoint_id", "left")
+
+
+@register("sort_nulls_last_asc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname FROM a6 a
+LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id ORDER BY p.hostname ASC NULLS LAST, a.endpoint_id LIMIT 9""", views=True, endpoints=True))
+def q_sort_nulls_last_asc(spark, sf_dir):
+    return S.sort_nulls_last(_hosts_a6(spark, sf_dir), "hostname", True, key="endpoint_id").limit(9)
+
+
+@register("sort_nulls_last_desc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname FROM a6 a
+LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id ORDER BY p.hostname DESC NULLS LAST, a.endpoint_id LIMIT 9""", views=True, endpoints=True))
+def q_sort_nulls_last_desc(spark, sf_dir):
+    return S.sort_nulls_last(_hosts_a6(spark, sf_dir), "hostname", False, key="endpoint_id").limit(9)
+
+
+@register("top_endpoints", O.sql("""SELECT endpoint_id, total_events FROM a6 ORDER BY total_events DESC, endpoint_id LIMIT 3""", views=True))
+def q_top_endpoints(spark, sf_dir):
+    a6 = V.endpoint_details_view(events(spark, sf_dir)).select("endpoint_id", "total_events")
+    return S.top_k(a6, 3, "total_events", "endpoint_id")
+
+
+@register("first_types", O.sql("""SELECT endpoint_id, array_to_string(recent_event_types[1:5], ',') first_types FROM a6""", views=True))
+def q_first_types(spark, sf_dir):
+    a6 = V.endpoint_details_view(events(spark, sf_dir))
+    return a6.select("endpoint_id", F.array_join(S.first_n("recent_event_types", 5), ",").alias("first_types"))
+
+
+# ------------------------------------------------------------------ set operations
+
+
+@register("merge_live", O.sql(f"""held AS (SELECT id, "timestamp", endpoint_id, event_type FROM ev2
+   WHERE "timestamp" < {O.AS_OF} {_EV_ORDER} LIMIT 20),
+fresh AS (SELECT id, "timestamp", endpoint_id, upper(event_type) event_type FROM ev2
+   WHERE "timestamp" < {O.AS_OF} + INTERVAL 1 HOUR {_EV_ORDER} LIMIT 20)
+SELECT * FROM held UNION ALL SELECT * FROM fresh WHERE id NOT IN (SELECT id FROM held)""".replace("held AS", ", held AS", 1)))
+def q_merge_live(spark, sf_dir):
+    ev = events(spark, sf_dir).select("id", "timestamp", "endpoint_id", "event_type")
+    cut = X.to_ts(AS_OF)
+    held = S.latest(ev.where(F.col("timestamp") < cut), 20)
+    fresh = S.latest(ev.where(F.col("timestamp") < cut + F.expr("INTERVAL 1 HOUR")), 20).withColumn(
+        "event_type", F.upper("event_type")
+    )
+    return U.merge_live(fresh, held)
+
+
+@register("union_endpoint_ids", O.sql(f"""SELECT endpoint_id FROM (SELECT endpoint_id FROM ev2 {_EV_ORDER} LIMIT 20)
+UNION SELECT endpoint_id FROM (SELECT endpoint_id FROM det {_EV_ORDER} LIMIT 20)""", det=True))
+def q_union_endpoint_ids(spark, sf_dir):
+    return U.union_ids(S.latest(events(spark, sf_dir), 20), S.latest(detections(spark, sf_dir), 20))
+
+
+# ------------------------------------------------------------------ lifecycle (L1, L3)
+
+
+@register("events_retention", O.sql(f"""SELECT {O.EVENTS_COLS} FROM ev2
+WHERE CAST(date + INTERVAL 30 DAY AS TIMESTAMP) >= TIMESTAMP '2024-02-01 12:00:00'"""))
+def q_events_retention(spark, sf_dir):
+    return L.apply_retention(events(spark, sf_dir), 30, "2024-02-01 12:00:00")
+
+
+@register("detections_retention", O.sql("""SELECT * FROM det
+WHERE CAST(date + INTERVAL 90 DAY AS TIMESTAMP) >= TIMESTAMP '2024-04-01 00:00:00'""", det=True))
+def q_detections_retention(spark, sf_dir):
+    return L.apply_retention(detections(spark, sf_dir), 90, "2024-04-01 00:00:00")
+
+
+@register("compact_detections", O.sql("SELECT * FROM det", det=True))
+def q_compact_detections(spark, sf_dir):
+    det = detections(spark, sf_dir)
+    return L.compact(det.unionByName(det), "id", "timestamp")

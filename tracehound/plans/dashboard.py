@@ -162,6 +162,13 @@ def snapshot_sections(ev: DataFrame, det: DataFrame, as_of) -> dict[str, DataFra
     }
 
 
+def _drop_rank(fields):
+    def project(r):
+        return F.struct(*[r[c].alias(c) for c in fields])
+
+    return project
+
+
 def dashboard_snapshot(ev: DataFrame, det: DataFrame, as_of: str | datetime) -> DataFrame:
     """One row: snapshot time, totals, and one ordered array of records per section."""
     sections = snapshot_sections(ev, det, as_of)
@@ -176,9 +183,7 @@ def dashboard_snapshot(ev: DataFrame, det: DataFrame, as_of: str | datetime) ->
     for name, fields in SECTION_FIELDS.items():
         rec = F.struct(F.col("rank"), *[F.col(c) for c in fields])
         collected = F.array_sort(F.collect_list(F.when(F.col("section") == name, rec)))
-        aggs.append(
-            F.transform(collected, lambda r, fields=fields: F.struct(*[r[c].alias(c) for c in fields])).alias(name)
-        )
+        aggs.append(F.transform(collected, _drop_rank(fields)).alias(name))
     now = to_ts(as_of)
     head = [
         F.to_date(now).alias("snapshot_date"),

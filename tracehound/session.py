@@ -49,6 +49,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tracehound") -> SparkSession:
     """A local session for tests and the benchmark (UI off, UTC, AQE on)."""
+    # Python workers started by the JVM (streaming state processors) import this
+    # package; on a cluster the same is achieved with --py-files.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -64,3 +70,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (needed only by the few
+    Python-side operators, e.g. the streaming ordering buffer).
+
+    The package is zipped once per session and distributed with ``addPyFile``, the
+    standard way to ship code to executors.
+    """
+    import shutil
+    from pathlib import Path
+
+    app_id = spark.sparkContext.applicationId
+    if app_id in _SHIPPED:
+        return
+    pkg_dir = Path(__file__).resolve().parent
+    out_dir = tempfile.mkdtemp(prefix="tracehound-pyfiles-", dir="/tmp")
+    archive = shutil.make_archive(
+        os.path.join(out_dir, "tracehound"), "zip", root_dir=pkg_dir.parent, base_dir=pkg_dir.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app_id)

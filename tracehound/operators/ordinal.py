@@ -96,11 +96,17 @@ def next_rows(
     size = int(rows_per_bucket)
     bucket = F.expr(f"_ord div {size}")
     main = ordered.withColumn("_b", bucket).withColumn("_halo", F.lit(False))
-    halo = (
-        ordered.where((F.col("_ord") % size < k) & (F.col("_ord") >= size))
-        .withColumn("_b", bucket - 1)
-        .withColumn("_halo", F.lit(True))
-    )
+    # a row is a halo row of an earlier bucket c when it is among the first k rows
+    # after c ends; with size >= k (the normal case) that is only the bucket before
+    halo = None
+    for j in range(1, -(-k // size) + 1):
+        target = bucket - j
+        part = (
+            ordered.where((target >= 0) & (F.col("_ord") - (target + 1) * size < k))
+            .withColumn("_b", target)
+            .withColumn("_halo", F.lit(True))
+        )
+        halo = part if halo is None else halo.unionByName(part)
     w = Window.partitionBy("_b").orderBy("_ord")
     row = F.struct(*[F.col(c) for c in fields])
     leads = []

@@ -143,12 +143,20 @@ def _widen(df: DataFrame, section: str) -> DataFrame:
     return df.select(*cols)
 
 
-def snapshot_sections(ev: DataFrame, det: DataFrame, as_of) -> dict[str, DataFrame]:
-    a2 = V.endpoint_detections(det)
-    a3 = V.endpoint_events(ev)
-    a5 = V.user_detections(det, ev)
-    a6 = V.endpoint_details_view(ev)
-    a7 = V.user_details_view(ev)
+def snapshot_sections(ev: DataFrame, det: DataFrame, as_of, views: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The dashboard sections.  ``views`` may supply the summary views already kept
+    up to date (e.g. from the streaming rollups); otherwise they are computed from
+    ``ev`` / ``det``.  ``ev`` and ``det`` are then only read for the newest rows."""
+    views = views or {}
+
+    def view(name, build):
+        return views[name] if name in views else build()
+
+    a2 = view("endpoint_detections", lambda: V.endpoint_detections(det))
+    a3 = view("endpoint_events", lambda: V.endpoint_events(ev))
+    a5 = view("user_detections", lambda: V.user_detections(det, ev))
+    a6 = view("endpoint_details", lambda: V.endpoint_details_view(ev))
+    a7 = view("user_details", lambda: V.user_details_view(ev))
     sev = severity_distribution(a5, as_of)
     return {
         "totals_events": total_events(a3, as_of),
@@ -169,9 +177,11 @@ def _drop_rank(fields):
     return project
 
 
-def dashboard_snapshot(ev: DataFrame, det: DataFrame, as_of: str | datetime) -> DataFrame:
+def dashboard_snapshot(
+    ev: DataFrame, det: DataFrame, as_of: str | datetime, views: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """One row: snapshot time, totals, and one ordered array of records per section."""
-    sections = snapshot_sections(ev, det, as_of)
+    sections = snapshot_sections(ev, det, as_of, views)
     parts = [_widen(df, name) for name, df in sections.items()]
     wide = parts[0]
     for p in parts[1:]:

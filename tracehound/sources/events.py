@@ -50,7 +50,12 @@ def read_event_file(spark: SparkSession, path: str, default_ts_ms=None) -> DataF
         .option("singleVariantColumn", "value")
         .json(path)
     )
-    return parse_variant_events(raw, "value", default_ts_ms)
+    v = F.col("value")
+    elements = F.when(
+        F.schema_of_variant(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")
+    ).otherwise(F.array(v))
+    records = raw.select(F.explode(elements).alias("value"))
+    return parse_variant_events(records, "value", default_ts_ms)
 
 
 def load_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:

@@ -80,7 +80,10 @@ def detections_json(det: DataFrame) -> DataFrame:
     )
 
 
-def publish_detections(det: DataFrame, fmt: str = "text", path: str | None = None, checkpoint: str | None = None, **options):
+def publish_detections(
+    det: DataFrame, fmt: str = "text", path: str | None = None, checkpoint: str | None = None,
+    trigger: dict | None = None, **options,
+):
     """Publish detections as JSON text (at least once).
 
     ``fmt="kafka"`` writes ``key``/``value`` to a topic (connector jar required);
@@ -95,6 +98,8 @@ def publish_detections(det: DataFrame, fmt: str = "text", path: str | None = Non
             w = w.option("path", path)
         if checkpoint:
             w = w.option("checkpointLocation", checkpoint)
+        if trigger:
+            w = w.trigger(**trigger)
         return w.start()
     w = payload.write.mode("append").format(fmt).options(**options)
     return w.save(path) if path else w.save()
@@ -113,4 +118,4 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out = df.select(*cols)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)

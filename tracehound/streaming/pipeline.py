@@ -137,13 +137,10 @@ def events_stream(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def start_publisher(spark: SparkSession, layout: Layout, fmt: str = "text", trigger: dict | None = None, **options) -> StreamingQuery:
     det = detections_stream(spark, layout).drop("month")
-    if trigger:
-        det = det  # trigger applied by the writer below
-    q = publish_detections(
+    return publish_detections(
         det, fmt, path=layout.published if fmt == "text" else None,
-        checkpoint=layout.checkpoint("publish"), **options,
+        checkpoint=layout.checkpoint("publish"), trigger=trigger, **options,
     )
-    return q
 
 
 def start_rollups(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
@@ -189,7 +186,8 @@ def _refresh_latest(spark: SparkSession, fresh: DataFrame, path: str, n: int) ->
 
 
 def start_live(
-    spark: SparkSession, layout: Layout, refresh: str = "5 seconds", n: int = 20, as_of: str | None = None
+    spark: SparkSession, layout: Layout, refresh: str = "5 seconds", n: int = 20, as_of: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """On every trigger refresh the live lists and append a dashboard snapshot."""
 
@@ -214,7 +212,7 @@ def start_live(
     return (
         events_stream(spark, layout).writeStream.foreachBatch(live_batch)
         .option("checkpointLocation", layout.checkpoint("live"))
-        .trigger(processingTime=refresh).start()
+        .trigger(**(trigger or {"processingTime": refresh})).start()
     )
 
 

@@ -79,3 +79,21 @@ def test_raw_text_source_batch(spark, scratch):
         fh.write('{"id":"a","timestamp":1}\n{"id":"b","timestamp":2}\n')
     raw = read_raw_events(spark, f"{scratch}/m.txt", stream=False)
     assert sorted(r.id for r in parse_events(raw).collect()) == ["a", "b"]
+
+
+def test_fast_and_variant_paths_agree(spark):
+    texts = [
+        '{"id":"a","timestamp":5,"endpoint_id":"e","event_type":"t","status":"s","direction":"d","bytes":3,'
+        '"source_ip":"1","destination_ip":"2","process_name":"p","user":"u"}',
+        '{"id":"b","timestamp":5,"endpoint_id":"{x","event_type":"t","status":"s","direction":"d","bytes":3,'
+        '"source_ip":"1","destination_ip":"2","process_name":"[p","user":"u"}',
+        '{"id":"c","timestamp":"7","endpoint_id":"e","event_type":"t","status":"s","direction":"d","bytes":3.9,'
+        '"source_ip":"1","destination_ip":"2","process_name":"p","user":null}',
+    ]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    fast = {r.id: r for r in parse_events(raw).collect()}
+    from tracehound.functions.parse import parse_variant_events
+    slow = {r.id: r for r in parse_variant_events(raw.select(F.parse_json("value").alias("value"))).collect()}
+    for k in "abc":
+        assert fast[k].asDict() == slow[k].asDict() | {"id": k}
+    assert fast["b"].endpoint_id == "{x" and fast["c"].bytes == 3 and fast["c"].user == "null"

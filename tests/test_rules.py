@@ -14,7 +14,7 @@ def run(spark, rows, scope="global", rules=None, **kw):
 
 
 def both(spark, rows, scope="global", rules=None):
-    a = run(spark, rows, scope, rules, rows_per_bucket=2)
+    a = run(spark, rows, scope, rules, num_partitions=3)
     b = run(spark, rows, scope, rules, strategy="single")
     assert a == b
     return a
@@ -80,8 +80,8 @@ def test_write_execute_endpoint_of_second(spark):
 def test_bucket_edges_equal_single_window(spark):
     # failures on both sides of bucket boundaries and a quiet gap
     rows = [ev(f"a{i:02d}", i * 1000) for i in range(7)] + [ev(f"b{i:02d}", 10_000_000 + i) for i in range(5)]
-    for size in (1, 2, 3, 5, 100):
-        a = run(spark, rows, rows_per_bucket=size)
+    for size in (1, 2, 3, 5, 16):
+        a = run(spark, rows, num_partitions=size)
         b = run(spark, rows, strategy="single")
         assert a == b
 
@@ -119,19 +119,19 @@ def test_ordinal_is_dense_and_ordered(spark):
                   st.sampled_from(["u1", "u2", ""]), st.sampled_from(["cmd.exe", "x.exe"]),
                   st.sampled_from(["outbound", "inbound"])),
         min_size=0, max_size=40),
-    st.integers(1, 6),
+    st.integers(1, 9),
 )
 def test_property_bucketed_equals_single(spark, raw, size):
     rows = [ev(f"i{n:03d}", ms * 1000, t, s, e, u, p, d) for n, (ms, t, s, e, u, p, d) in enumerate(raw)]
     if not rows:
         return
     for scope in ("global", "endpoint"):
-        assert run(spark, rows, scope, rows_per_bucket=size) == run(spark, rows, scope, strategy="single")
+        assert run(spark, rows, scope, num_partitions=size) == run(spark, rows, scope, strategy="single")
 
 
 def test_next_rows_partitioned_nulls(spark):
     df = events_df(spark, [ev("a", 0, endpoint="e1"), ev("b", 1, endpoint="e2"), ev("c", 2, endpoint="e1")])
-    a = next_rows(df, ["timestamp", "id"], 2, ["id"], ["endpoint_id"], rows_per_bucket=1)
+    a = next_rows(df, ["timestamp", "id"], 2, ["id"], ["endpoint_id"], num_partitions=5)
     b = next_rows_single_window(df, ["timestamp", "id"], 2, ["id"], ["endpoint_id"])
     pick = lambda d: sorted((r.id, r._next1.id if r._next1 else None, r._next2.id if r._next2 else None) for r in d.collect())
     assert pick(a) == pick(b) == [("a", "c", None), ("b", None, None), ("c", None, None)]

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import EVENT_COLUMNS
 
@@ -37,45 +38,90 @@ def _field(v: Column, name: str) -> Column:
     return F.variant_get(v, f"$.{name}", "variant")
 
 
-def _long(v: Column, name: str, default: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, f"$.{name}", "bigint"), default)
+def _text_from_node(node: Column) -> Column:
+    kind = F.schema_of_variant(node)
+    return (
+        F.when(node.isNull(), F.lit(""))
+        .when(F.is_variant_null(node), F.lit("null"))
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(""))
+        .otherwise(F.coalesce(F.try_variant_get(node, "$", "string"), F.lit("")))
+    )
 
 
-def parse_variant(v: Column, raw: Column, default_ts_ms: Column | None = None) -> list[Column]:
-    """Column expressions of the 11 event fields from a parsed VARIANT ``v``."""
-    if default_ts_ms is None:
-        default_ts_ms = F.unix_millis(F.current_timestamp())
-    id_default = F.concat(F.lit("gen-"), F.sha2(raw, 256))
-    node = _field(v, "id")
+def _id_from_node(node: Column, id_default: Column) -> Column:
     kind = F.schema_of_variant(node)
-    id_col = (
+    return (
         F.when(node.isNull() | F.is_variant_null(node), id_default)
         .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(""))
-        .otherwise(F.coalesce(F.try_variant_get(v, "$.id", "string"), id_default))
+        .otherwise(F.coalesce(F.try_variant_get(node, "$", "string"), id_default))
     )
-    cols = [
-        id_col.alias("id"),
-        F.timestamp_millis(_long(v, "timestamp", default_ts_ms)).alias("timestamp"),
-    ]
-    for name in TEXT_FIELDS:
+
+
+def _long_from_node(node: Column, default: Column) -> Column:
+    return F.coalesce(F.try_variant_get(node, "$", "bigint"), default)
+
+
+def _node_columns(df: DataFrame, v: Column, active: Column | None = None) -> DataFrame:
+    """One projection extracting each field's VARIANT node (``_n_<field>``), so the
+    per-field logic below stays small (large generated methods are not JIT-compiled)."""
+    cols = []
+    for name in ("id", "timestamp", *TEXT_FIELDS, "bytes"):
         node = _field(v, name)
-        kind = F.schema_of_variant(node)
-        text = (
-            F.when(node.isNull(), F.lit(""))
-            .when(F.is_variant_null(node), F.lit("null"))
-            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(""))
-            .otherwise(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")))
-        )
-        cols.append(text.alias(name))
-    cols.append(_long(v, "bytes", F.lit(0).cast("bigint")).alias("bytes"))
-    return cols
+        cols.append((node if active is None else F.when(active, node)).alias(f"_n_{name}"))
+    return df.select("*", *cols)
+
+
+def _fields_from_nodes(raw: Column, default_ts_ms: Column | None) -> dict[str, Column]:
+    if default_ts_ms is None:
+        default_ts_ms = F.unix_millis(F.current_timestamp())
+    id_default = F.concat(F.lit("gen-"), F.sha2(raw, 256))
+    out = {
+        "id": _id_from_node(F.col("_n_id"), id_default),
+        "timestamp": F.timestamp_millis(_long_from_node(F.col("_n_timestamp"), default_ts_ms)),
+    }
+    for name in TEXT_FIELDS:
+        out[name] = _text_from_node(F.col(f"_n_{name}"))
+    out["bytes"] = _long_from_node(F.col("_n_bytes"), F.lit(0).cast("bigint"))
+    return out
+
+
+# Fast path: one ``from_json`` tokenizer pass with the expected types.  A record uses
+# it only when it parsed cleanly (no corrupt-record flag) and every text field is
+# present, non-null and not object/array text; everything else (missing or null
+# fields, type mismatches, non-objects, malformed text) goes through the VARIANT
+# path, which distinguishes those cases.  Both paths give identical results.
+_FAST_SCHEMA = T.StructType(
+    [T.StructField("id", T.StringType()), T.StructField("timestamp", T.LongType())]
+    + [T.StructField(f, T.StringType()) for f in TEXT_FIELDS]
+    + [T.StructField("bytes", T.LongType()), T.StructField("_corrupt", T.StringType())]
+)
+
+
+def _simple_text(c: Column) -> Column:
+    return c.isNotNull() & ~c.startswith("{") & ~c.startswith("[")
+
+
+def _prepare(raw: DataFrame, col: str) -> DataFrame:
+    fast = F.from_json(F.col(col), _FAST_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    # produced by a generator so later filters are not pushed below it (a pushed
+    # filter would re-run the JSON parse once per referenced field)
+    staged = raw.select("*", F.inline(F.array(F.struct(fast.alias("_f")))))
+    f = F.col("_f")
+    ok = f.isNotNull() & f["_corrupt"].isNull() & f["timestamp"].isNotNull() & f["bytes"].isNotNull()
+    ok = ok & _simple_text(f["id"])
+    for name in TEXT_FIELDS:
+        ok = ok & _simple_text(f[name])
+    return staged.withColumn("_fast", F.coalesce(ok, F.lit(False))).withColumn(
+        "_v", F.when(~F.col("_fast"), F.try_parse_json(F.col(col)))
+    )
 
 
 def split_corrupt(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(parsable rows with a ``_v`` VARIANT column, rows that are not JSON)."""
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(col)))
-    good = parsed.where(F.col("_v").isNotNull())
-    bad = parsed.where(F.col("_v").isNull()).drop("_v")
+    """(parsable rows, rows that are not JSON).  Parsable rows carry the fast-path
+    struct ``_f``, the flag ``_fast`` and, off the fast path, a VARIANT ``_v``."""
+    staged = _prepare(raw, col)
+    good = staged.where(F.col("_fast") | F.col("_v").isNotNull())
+    bad = staged.where(~F.col("_fast") & F.col("_v").isNull()).drop("_f", "_fast", "_v")
     return good, bad
 
 
@@ -83,14 +129,25 @@ def parse_events(raw: DataFrame, col: str = "value", default_ts_ms: Column | Non
     """JSON text -> events with the store schema (malformed rows dropped;
     use :func:`parse_events_with_quarantine` to keep them)."""
     good, _ = split_corrupt(raw, col)
-    return _from_variant(good, "_v", F.col(col), default_ts_ms)
+    return _from_staged(good, F.col(col), default_ts_ms)
 
 
 def parse_events_with_quarantine(
     raw: DataFrame, col: str = "value", default_ts_ms: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     good, bad = split_corrupt(raw, col)
-    return _from_variant(good, "_v", F.col(col), default_ts_ms), bad
+    return _from_staged(good, F.col(col), default_ts_ms), bad
+
+
+def _from_staged(df: DataFrame, raw: Column, default_ts_ms) -> DataFrame:
+    nodes = _node_columns(df, F.col("_v"), ~F.col("_fast"))
+    slow = _fields_from_nodes(raw, default_ts_ms)
+    fast = F.col("_f")
+    out = []
+    for name, expr in slow.items():
+        quick = F.timestamp_millis(fast["timestamp"]) if name == "timestamp" else fast[name]
+        out.append(F.when(F.col("_fast"), quick).otherwise(expr).alias(name))
+    return with_date(nodes.select(*out)).select(*EVENT_COLUMNS)
 
 
 def parse_variant_events(df: DataFrame, col: str = "value", default_ts_ms: Column | None = None) -> DataFrame:
@@ -100,8 +157,9 @@ def parse_variant_events(df: DataFrame, col: str = "value", default_ts_ms: Colum
 
 
 def _from_variant(df: DataFrame, vcol: str, raw: Column, default_ts_ms) -> DataFrame:
-    fields = parse_variant(F.col(vcol), raw, default_ts_ms)
-    return with_date(df.select(*fields)).select(*EVENT_COLUMNS)
+    nodes = _node_columns(df, F.col(vcol))
+    fields = _fields_from_nodes(raw, default_ts_ms)
+    return with_date(nodes.select(*[c.alias(n) for n, c in fields.items()])).select(*EVENT_COLUMNS)
 
 
 def normalize_events(df: DataFrame) -> DataFrame:

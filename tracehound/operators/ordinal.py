@@ -13,10 +13,10 @@ functions here give the same answers with two balanced shuffles:
 2. ``monotonically_increasing_id`` encodes (partition index, row within partition);
    a tiny per-partition count table (one row per partition, so its size is bounded by
    ``n``, not by the data) turns it into a dense global row number.
-3. ``next_rows``: rows are grouped into fixed-size ordinal buckets; each bucket also
-   receives the first ``k`` rows of the following bucket as halo rows, so ``lead`` up
-   to ``k`` steps is exact inside ``Window.partitionBy(bucket)``.  Buckets have equal
-   size by construction, so no task is hot.
+3. ``next_rows``: every range partition is a window bucket; it also receives the
+   ``k`` rows that follow its last row (from the next non-empty partitions) as halo
+   rows, so ``lead`` up to ``k`` steps is exact inside ``Window.partitionBy(bucket)``.
+   Buckets are the balanced range partitions, so no task is hot.
 """
 
 from __future__ import annotations
@@ -29,25 +29,15 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_index << 33 | row_in_partition
-DEFAULT_ROWS_PER_BUCKET = 1 << 20
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def with_ordinal(
-    df: DataFrame,
-    order_cols: Sequence[str | Column],
-    name: str = "_ord",
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Add a dense 0-based row number in ``order_cols`` order (key must be unique).
-
-    Equivalent to ``row_number() over (order by order_cols) - 1`` but without pulling
-    the table into one task.  The count table that maps partitions to offsets has one
-    row per range partition and is broadcast.
-    """
+def _ranged(df: DataFrame, order_cols: Sequence[str | Column], num_partitions: int | None):
+    """Range-partitioned, sorted, checkpointed copy plus the per-partition offset table
+    (``_pid, _start, _end``: one row per partition, bounded by the partition count)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order_cols)
@@ -58,18 +48,35 @@ def with_ordinal(
         .checkpoint(eager=True)
         .withColumn("_mono", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mono", _LOCAL_BITS))
+        .withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
+        .drop("_mono")
     )
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range partition: bounded by n, safe to order in a single task
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start")
-    )
-    local = F.col("_mono") - F.shiftleft(F.col("_pid"), _LOCAL_BITS)
+        "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start"), "_cnt"
+    ).select("_pid", "_start", (F.col("_start") + F.col("_cnt")).alias("_end"))
+    return ranged, offsets, n
+
+
+def with_ordinal(
+    df: DataFrame,
+    order_cols: Sequence[str | Column],
+    name: str = "_ord",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add a dense 0-based row number in ``order_cols`` order (key must be unique).
+
+    Equivalent to ``row_number() over (order by order_cols) - 1`` but without pulling
+    the table into one task.  The table mapping partitions to offsets has one row per
+    range partition and is broadcast.
+    """
+    ranged, offsets, _ = _ranged(df, order_cols, num_partitions)
     return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, F.col("_start") + local)
-        .drop("_mono", "_pid", "_start")
+        ranged.join(F.broadcast(offsets.select("_pid", "_start")), "_pid")
+        .withColumn(name, F.col("_start") + F.col("_local"))
+        .drop("_pid", "_start", "_local")
     )
 
 
@@ -80,7 +87,6 @@ def next_rows(
     payload: Sequence[str],
     partition_cols: Sequence[str] = (),
     prefix: str = "_next",
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """For every row, structs of the next ``k`` rows (``{prefix}1`` … ``{prefix}k``).
@@ -88,25 +94,30 @@ def next_rows(
     The order is ``partition_cols + order_cols`` (must be unique).  With
     ``partition_cols`` a following row with another partition key is not a successor
     and gives null, exactly as ``lead`` over ``partitionBy(partition_cols)``, but a hot
-    partition key is spread over many equal buckets instead of one task.
+    partition key is spread over many balanced range partitions instead of one task.
+
+    Each range partition is one window bucket.  Its halo - the ``k`` rows that follow
+    its last row - can only come from the first ``k`` rows of later partitions, so the
+    candidates (at most ``n * k`` rows) are matched to partition ends by an equi-join
+    on the end ordinal (``k`` probes each) against the broadcast offset table.
     """
     keys = list(partition_cols) + list(order_cols)
     fields = list(dict.fromkeys(list(partition_cols) + list(payload)))
-    ordered = with_ordinal(df, keys, "_ord", num_partitions)
-    size = int(rows_per_bucket)
-    bucket = F.expr(f"_ord div {size}")
-    main = ordered.withColumn("_b", bucket).withColumn("_halo", F.lit(False))
-    # a row is a halo row of an earlier bucket c when it is among the first k rows
-    # after c ends; with size >= k (the normal case) that is only the bucket before
-    halo = None
-    for j in range(1, -(-k // size) + 1):
-        target = bucket - j
-        part = (
-            ordered.where((target >= 0) & (F.col("_ord") - (target + 1) * size < k))
-            .withColumn("_b", target)
-            .withColumn("_halo", F.lit(True))
-        )
-        halo = part if halo is None else halo.unionByName(part)
+    ranged, offsets, n = _ranged(df, keys, num_partitions)
+    ordered = ranged.join(F.broadcast(offsets.select("_pid", "_start")), "_pid").withColumn(
+        "_ord", F.col("_start") + F.col("_local")
+    )
+    main = ordered.withColumn("_b", F.col("_pid")).withColumn("_halo", F.lit(False))
+    # a row at ordinal o is a halo row of every partition whose end e has e <= o < e + k
+    ends = offsets.select(F.col("_pid").alias("_b"), F.col("_end").alias("_e"))
+    halo = (
+        ordered.where(F.col("_local") < k)
+        .withColumn("_e", F.explode(F.sequence(F.col("_ord") - (k - 1), F.col("_ord"))))
+        .join(F.broadcast(ends), "_e")
+        .where(F.col("_b") != F.col("_pid"))
+        .drop("_e")
+        .withColumn("_halo", F.lit(True))
+    )
     w = Window.partitionBy("_b").orderBy("_ord")
     row = F.struct(*[F.col(c) for c in fields])
     leads = []
@@ -119,8 +130,11 @@ def next_rows(
                 same = eq if same is None else same & eq
             nxt = F.when(same, nxt)
         leads.append(nxt.alias(f"{prefix}{i}"))
+    both = main.unionByName(halo).drop("_pid", "_start", "_local")
+    # one window bucket per range partition: range-partition on the bucket id so the
+    # window's clustering is met without hash collisions between buckets
     return (
-        main.unionByName(halo)
+        both.repartitionByRange(n, "_b")
         .select("*", *leads)
         .where(~F.col("_halo"))
         .drop("_b", "_halo")

@@ -213,7 +213,7 @@ def apply_rules(
     registry: RuleRegistry | Sequence[Rule] | None = None,
     scope: str = "global",
     strategy: str = "ordinal",
-    rows_per_bucket: int | None = None,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Run every rule over ``events``; one row per match with the detections schema.
 
@@ -240,8 +240,7 @@ def apply_rules(
     elif strategy == "single":
         with_next = next_rows_single_window(prepared, order, k, payload, part, prefix="_n")
     elif strategy == "ordinal":
-        kwargs = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
-        with_next = next_rows(prepared, order, k, payload, part, prefix="_n", **kwargs)
+        with_next = next_rows(prepared, order, k, payload, part, prefix="_n", num_partitions=num_partitions)
     else:
         raise ValueError("strategy must be 'ordinal' or 'single'")
     current = F.struct(*[F.col(c) for c in payload])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_suspicious_process
 from ..schema import DETECTION_COLUMNS
+from ..session import checkpoint_dir
 from .ordinal import next_rows, next_rows_single_window
 
 # fields of an event a rule may look at
@@ -214,6 +215,7 @@ def apply_rules(
     scope: str = "global",
     strategy: str = "ordinal",
     num_partitions: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Run every rule over ``events``; one row per match with the detections schema.
 
@@ -221,6 +223,8 @@ def apply_rules(
     meaning).  ``scope="endpoint"``: the next event of the same endpoint.
     ``strategy="ordinal"`` is the scalable exact form; ``"single"`` is a plain window
     (one task for the global scope), kept to prove the two equal in tests.
+    ``materialize=True`` checkpoints the detections (a small table) so plans that read
+    them several times do not recompute the rules.
     """
     if registry is None:
         registry = RuleRegistry.default()
@@ -251,7 +255,11 @@ def apply_rules(
         .select("d.*")
         .withColumn("date", F.to_date("timestamp"))
     )
-    return out.select(*DETECTION_COLUMNS)
+    out = out.select(*DETECTION_COLUMNS)
+    if materialize:
+        checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def _detections_struct_schema():

@@ -39,7 +39,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str, scope: str = "global") -> DataFrame:
-    return apply_rules(events(spark, sf_dir), scope=scope)
+    """Detections derived from the events; materialised once because most request
+    plans read them several times (summaries, top-k, the events lookup)."""
+    return apply_rules(events(spark, sf_dir), scope=scope, materialize=True)
 
 
 # ------------------------------------------------------------------ tables

@@ -93,11 +93,24 @@ def fixture_events(raw: DataFrame) -> DataFrame:
     return out.withColumn("date", F.to_date("timestamp")).select(*EVENT_COLUMNS)
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a source that arrives in fewer partitions than the cluster has cores
+    (e.g. one small file with a single row group, which Parquet cannot split).
+
+    Only small inputs take this path: a large table already yields at least one
+    partition per core from its files, and is left untouched (no shuffle)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def load_fixture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read ``{sf_dir}/events.parquet`` and return the security-event view."""
     configure(spark)
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return fixture_events(raw)
+    return fixture_events(spread_small_input(raw))
 
 
 # Hostname lookup rows (FIXTURES.md §2): endpoint-0..endpoint-7 are registered,

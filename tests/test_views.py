@@ -125,3 +125,12 @@ def test_publish_json_and_csv_export(spark, scratch):
         recs = list(csv.DictReader(fh))
     assert recs[0]["event_ids"] == "a,b,c" and recs[0]["rule_id"] == "RULE-001"
     assert json.loads(recs[0]["events"])[0]["id"] == "a"
+
+
+def test_truncate_keeps_schema(spark, scratch):
+    events = events_df(spark, [ev("a", 0), ev("b", 1)])
+    path = f"{scratch}/t"
+    events.write.parquet(path)
+    L.truncate_tables(spark, [(path, spark.read.parquet(path))])
+    out = spark.read.parquet(path)
+    assert out.count() == 0 and out.schema == events.schema

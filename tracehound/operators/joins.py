@@ -58,21 +58,24 @@ def detection_event_ids(det: DataFrame) -> DataFrame:
 
 
 def attach_events(
-    det: DataFrame, events: DataFrame, fields: Sequence[str] = EVENT_COLUMNS, alias: str = "events"
+    det: DataFrame, events: DataFrame, fields: Sequence[str] = EVENT_COLUMNS, alias: str = "events",
+    max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Each detection with the array of its events in time order.
 
     One plan instead of one lookup per detection: explode the id lists, join the events
-    by id (the id list side is small, so AQE broadcasts it or runs a bloom-filtered
-    sort-merge join), collect per detection (at most one entry per listed id), and
-    left-join back.  Unknown ids vanish; an empty list gives ``[]``.
+    by id (the id list is broadcast when its count is within ``max_rows``, otherwise
+    a shuffle join chosen by AQE), collect per detection (at most one entry per listed
+    id), and left-join back.  Unknown ids vanish; an empty list gives ``[]``.
     """
     cols = list(dict.fromkeys(["timestamp", "id", *fields]))
     ev = events.select(*cols)
     pairs = detection_event_ids(det)
-    matched = pairs.join(ev.withColumnRenamed("id", "event_id"), "event_id").withColumnRenamed(
-        "event_id", "id"
-    )
+    # a page of detections lists a few hundred ids: broadcast them (after a bounded
+    # count) and stream the events table past them instead of shuffling it
+    matched = ev.withColumnRenamed("id", "event_id").join(
+        checked_broadcast(pairs, max_rows), "event_id"
+    ).withColumnRenamed("event_id", "id")
     per_det = matched.groupBy("detection_id").agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias(alias)
     )

@@ -155,3 +155,19 @@ def test_pipeline_downstream_queries(spark, scratch):
     assert len(snap) >= 1 and snap[-1].total_events > 0
     live = spark.read.parquet(layout.live_events).collect()
     assert len(live) == 20 and max(r.timestamp for r in live) == stored.agg(F.max("timestamp")).first()[0]
+
+
+def test_global_scope_micro_batches_equal_batch(spark, scratch):
+    from tracehound.streaming.global_order import start_global_rules
+
+    ev = load_fixture_events(spark, SF_SMALL)
+    src = f"{scratch}/src"
+    write_chunks(ev, src, 4)
+    flush(src)
+    raw = read_raw_events(spark, src, maxFilesPerTrigger=1)
+    q, handler = start_global_rules(normalize_events(parse_events(raw)), f"{scratch}/out", trigger=ONCE)
+    q.awaitTermination(600)
+    got = handler.read_detections(spark)
+    want = apply_rules(ev, scope="global")
+    assert got.count() == want.count() == 16
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

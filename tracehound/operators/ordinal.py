@@ -5,11 +5,11 @@ functions here give the same answers with two balanced shuffles:
 
 1. ``repartitionByRange(n, key)`` + ``sortWithinPartitions(key)``: range partitions
    sampled on a *unique* key, so every partition gets about the same number of rows
-   even when one endpoint or one millisecond holds a third of the data.  The result is
-   written once with ``checkpoint()`` to the shared checkpoint folder: range bounds are
-   sampled per shuffle, so two lineages of the same plan may cut at different keys;
-   reading one materialised copy keeps partition counts and row positions consistent
-   and survives executor loss.
+   even when one endpoint or one millisecond holds a third of the data.  The sorted rows
+   are written once, with their (partition, position) as columns, as a Parquet table in
+   the shared checkpoint folder: range bounds are sampled per shuffle, so two lineages
+   of the same plan may cut at different keys; one written copy keeps counts and
+   positions consistent and survives executor loss.
 2. ``monotonically_increasing_id`` encodes (partition index, row within partition);
    a tiny per-partition count table (one row per partition, so its size is bounded by
    ``n``, not by the data) turns it into a dense global row number.
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
@@ -36,21 +36,22 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order_cols: Sequence[str | Column], num_partitions: int | None):
-    """Range-partitioned, sorted, checkpointed copy plus the per-partition offset table
+    """Range-partitioned, sorted, written copy plus the per-partition offset table
     (``_pid, _start, _end``: one row per partition, bounded by the partition count)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order_cols)
-    checkpoint_dir(spark)
-    ranged = (
+    # positions are taken in the same job that sorts and writes, and stored as columns:
+    # the written table is then independent of how its files are split when read back
+    staged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .checkpoint(eager=True)
         .withColumn("_mono", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mono", _LOCAL_BITS))
         .withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
         .drop("_mono")
     )
+    ranged = materialize(staged, "ranged")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range partition: bounded by n, safe to order in a single task
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

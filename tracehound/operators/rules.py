@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_suspicious_process
 from ..schema import DETECTION_COLUMNS
-from ..session import checkpoint_dir
+from ..session import materialize as write_and_read
 from .ordinal import next_rows, next_rows_single_window
 
 # fields of an event a rule may look at
@@ -223,8 +223,8 @@ def apply_rules(
     meaning).  ``scope="endpoint"``: the next event of the same endpoint.
     ``strategy="ordinal"`` is the scalable exact form; ``"single"`` is a plain window
     (one task for the global scope), kept to prove the two equal in tests.
-    ``materialize=True`` checkpoints the detections (a small table) so plans that read
-    them several times do not recompute the rules.
+    ``materialize=True`` writes the detections (a small table) once to the shared
+    checkpoint folder so plans that read them several times do not recompute the rules.
     """
     if registry is None:
         registry = RuleRegistry.default()
@@ -257,8 +257,7 @@ def apply_rules(
     )
     out = out.select(*DETECTION_COLUMNS)
     if materialize:
-        checkpoint_dir(spark)
-        out = out.checkpoint(eager=True)
+        out = write_and_read(out, "detections")
     return out
 
 

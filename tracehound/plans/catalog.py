@@ -707,3 +707,53 @@ def q_detections_retention(spark, sf_dir):
 def q_compact_detections(spark, sf_dir):
     det = detections(spark, sf_dir)
     return L.compact(det.unionByName(det), "id", "timestamp")
+
+
+# ------------------------------------------------------------------ views through rollups (M3, M4)
+# The streaming upkeep keeps rollups and derives the views from them; over the whole
+# table the result must equal the direct views, so they share the same oracles.
+
+from ..streaming import rollups as RU  # noqa: E402
+
+
+def _rollups(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return RU.event_rollup(ev), RU.detection_rollup(detections(spark, sf_dir))
+
+
+@register("rollup_endpoint_events", ORACLES["endpoint_events"])
+def q_rollup_endpoint_events(spark, sf_dir):
+    return RU.endpoint_events(RU.event_rollup(events(spark, sf_dir)))
+
+
+@register("rollup_user_events", ORACLES["user_events"])
+def q_rollup_user_events(spark, sf_dir):
+    return RU.user_events(RU.event_rollup(events(spark, sf_dir)))
+
+
+@register("rollup_endpoint_details", ORACLES["endpoint_details_view"])
+def q_rollup_endpoint_details(spark, sf_dir):
+    a6 = RU.endpoint_details_view(RU.event_rollup(events(spark, sf_dir)))
+    return a6.withColumn("recent_event_types", F.array_join("recent_event_types", ","))
+
+
+@register("rollup_user_details", ORACLES["user_details_view"])
+def q_rollup_user_details(spark, sf_dir):
+    a7 = RU.user_details_view(RU.event_rollup(events(spark, sf_dir)))
+    return a7.withColumn("recent_endpoints", F.array_join("recent_endpoints", ","))
+
+
+@register("rollup_detection_summary", ORACLES["detection_summary"])
+def q_rollup_detection_summary(spark, sf_dir):
+    return RU.detection_summary(RU.detection_rollup(detections(spark, sf_dir)))
+
+
+@register("rollup_endpoint_detections", ORACLES["endpoint_detections"])
+def q_rollup_endpoint_detections(spark, sf_dir):
+    return RU.endpoint_detections(RU.detection_rollup(detections(spark, sf_dir)))
+
+
+@register("rollup_user_detections", ORACLES["user_detections"])
+def q_rollup_user_detections(spark, sf_dir):
+    er, dr = _rollups(spark, sf_dir)
+    return RU.user_detections(dr, er)

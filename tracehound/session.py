@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every entry point relies on.  Event times are epoch milliseconds, so all
 # date/hour arithmetic is defined in UTC; AQE re-plans joins and coalesces shuffle
@@ -99,3 +99,19 @@ def ship_package(spark: SparkSession) -> None:
     )
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app_id)
+
+
+def scratch_table_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder for an intermediate table under the shared checkpoint folder."""
+    import uuid
+
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tracehound-{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` once as Parquet to the shared checkpoint folder and
+    reading it back (one job; columnar and compressed; survives executor loss)."""
+    path = scratch_table_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@ from hypothesis import given, settings, strategies as st
 
 from helpers import ev, events_df
 from tracehound.operators.rules import (
-    FAILED_LOGINS, FILE_WRITE_EXECUTE, SUSPICIOUS_PROCESS_NETWORK, RuleRegistry, Rule, Step, apply_rules,
+    FAILED_LOGINS, FILE_WRITE_EXECUTE, RuleRegistry, Rule, Step, apply_rules,
 )
 from tracehound.operators.ordinal import next_rows, next_rows_single_window, with_ordinal
 
@@ -140,7 +140,6 @@ def test_next_rows_partitioned_nulls(spark):
 def test_hot_key_is_spread_over_balanced_partitions(spark):
     """60% of the rows share one endpoint AND one millisecond: the range partitions on
     the unique (endpoint, timestamp, id) key stay balanced, and matches stay exact."""
-    from pyspark.sql import functions as F
     from tracehound.operators.ordinal import _ranged
 
     hot = [ev(f"h{i:05d}", 1000, endpoint="hot") for i in range(1800)]

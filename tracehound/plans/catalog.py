@@ -89,10 +89,6 @@ ENDPOINT = "endpoint-3"
 USER = "user-3"
 
 
-def _list_text(col: str):
-    return F.array_join(col, ",").alias(col)
-
-
 def _events_text(df, alias: str = "events"):
     """Render an attached events array as (event_list, n_events)."""
     return df.withColumn("event_list", F.array_join(F.transform(alias, lambda e: e["id"]), ",")).withColumn(
@@ -757,3 +753,23 @@ def q_rollup_endpoint_detections(spark, sf_dir):
 def q_rollup_user_detections(spark, sf_dir):
     er, dr = _rollups(spark, sf_dir)
     return RU.user_detections(dr, er)
+
+
+@register("dashboard_zip_active_endpoints", O.sql(_DASH["active_endpoints"], views=True, endpoints=True))
+def q_dashboard_zip_active_endpoints(spark, sf_dir):
+    """The section stored as parallel arrays (the reference's snapshot columns),
+    zipped back into records by position."""
+    snap = _snapshot(spark, sf_dir)
+    parallel = snap.select(
+        F.transform("active_endpoints", lambda r: r["endpoint_id"]).alias("active_endpoint_ids"),
+        F.transform("active_endpoints", lambda r: r["user"]).alias("active_endpoint_users"),
+        F.transform("active_endpoints", lambda r: r["event_count"]).alias("active_endpoint_counts"),
+    )
+    zipped = J.zip_arrays(
+        parallel,
+        {"endpoint_id": "active_endpoint_ids", "user": "active_endpoint_users", "event_count": "active_endpoint_counts"},
+        "records",
+    )
+    return zipped.select(F.posexplode("records").alias("pos", "r")).select(
+        (F.col("pos") + 1).cast("int").alias("rank"), "r.endpoint_id", "r.user", "r.event_count"
+    )

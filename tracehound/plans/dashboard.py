@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +33,6 @@ def _ranked(df: DataFrame, order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def snapshot_time(spark: SparkSession, as_of: str | datetime) -> DataFrame:
-    now = to_ts(as_of)
-    return spark.range(1).select(
-        F.to_date(now).alias("snapshot_date"),
-        F.hour(now).alias("snapshot_hour"),
-        F.minute(now).alias("snapshot_minute"),
-        now.alias("snapshot_timestamp"),
-    )
-
-
 def total_events(a3: DataFrame, as_of) -> DataFrame:
     return recent_days(a3, as_of, 1).agg(F.sum("event_count").cast("bigint").alias("total_events"))
 

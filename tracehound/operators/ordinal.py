@@ -38,13 +38,16 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 def _ranged(df: DataFrame, order_cols: Sequence[str | Column], num_partitions: int | None):
     """Range-partitioned, sorted, written copy plus the per-partition offset table
     (``_pid, _start, _end``: one row per partition, bounded by the partition count)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order_cols)
+    # Without an explicit count the range shuffle is sized by AQE from the measured
+    # data (adjacent ranges are coalesced up to the advisory partition size), so a
+    # small input does not fan out into hundreds of tiny partitions and a large one
+    # gets right-sized ranges.  Positions are taken after the (coalesced) read.
+    ranges = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     # positions are taken in the same job that sorts and writes, and stored as columns:
     # the written table is then independent of how its files are split when read back
     staged = (
-        df.repartitionByRange(n, *keys)
+        ranges
         .sortWithinPartitions(*keys)
         .withColumn("_mono", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright("_mono", _LOCAL_BITS))
@@ -58,7 +61,7 @@ def _ranged(df: DataFrame, order_cols: Sequence[str | Column], num_partitions: i
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start"), "_cnt"
     ).select("_pid", "_start", (F.col("_start") + F.col("_cnt")).alias("_end"))
-    return ranged, offsets, n
+    return ranged, offsets, num_partitions
 
 
 def with_ordinal(
@@ -134,8 +137,9 @@ def next_rows(
     both = main.unionByName(halo).drop("_pid", "_start", "_local")
     # one window bucket per range partition: range-partition on the bucket id so the
     # window's clustering is met without hash collisions between buckets
+    bucketed = both.repartitionByRange(n, "_b") if n else both.repartitionByRange("_b")
     return (
-        both.repartitionByRange(n, "_b")
+        bucketed
         .select("*", *leads)
         .where(~F.col("_halo"))
         .drop("_b", "_halo")

@@ -133,6 +133,9 @@ def test_pipeline_downstream_queries(spark, scratch):
     ev = load_fixture_events(spark, SF_SMALL)
     src = f"{scratch}/src"
     write_chunks(ev, src, 2)
+    with open(f"{src}/0005.json", "w") as fh:
+        fh.write("this is not json\n")
+    _stamp(f"{src}/0005.json", 5)
     flush(src)
     layout = P.Layout(f"{scratch}/out")
     raw = read_raw_events(spark, src, maxFilesPerTrigger=1)
@@ -151,6 +154,7 @@ def test_pipeline_downstream_queries(spark, scratch):
     for name in ("endpoint_events", "user_details", "user_detections"):
         got = views[name]
         assert got.exceptAll(want[name].select(*got.columns)).count() == 0, name
+    assert [r.value for r in spark.read.text(layout.quarantine).collect()] == ["this is not json"]
     snap = spark.read.parquet(layout.snapshots).collect()
     assert len(snap) >= 1 and snap[-1].total_events > 0
     live = spark.read.parquet(layout.live_events).collect()

@@ -14,33 +14,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 32
-
-
-def _keys(keys: str | Sequence[str]) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys)
-
-
-def smallest_distinct(
-    df: DataFrame, keys: str | Sequence[str], value: str, k: int = 10, alias: str | None = None,
-    salts: int = SALT_BUCKETS,
-) -> DataFrame:
-    """Per key, the ``k`` smallest distinct values as a sorted array.
-
-    Distinct (key, value) pairs are ranked inside (key, salt) groups, salt = hash(value)
-    mod ``salts``; at most ``k`` survive per salt, so the final per-key list is built
-    from at most ``k * salts`` values even for a key holding a third of the table.
-    """
-    keys = _keys(keys)
-    alias = alias or value
-    pairs = df.select(*keys, value).distinct()
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
-    w = Window.partitionBy(*keys, "_salt").orderBy(value)
-    top = salted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return top.groupBy(*keys).agg(
-        F.slice(F.array_sort(F.collect_list(value)), 1, k).alias(alias)
-    )
-
+from ..session import materialize
+from . import rollups as RU
+from .distinct import _keys, smallest_distinct  # noqa: F401  (smallest_distinct re-exported)
 
 # ------------------------------------------------------------------ detections
 
@@ -111,29 +87,20 @@ def user_detections(det: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def endpoint_details_view(ev: DataFrame, k: int = 10) -> DataFrame:
-    """endpoint_id -> primary user (of the earliest event), last_seen, totals, first k types."""
-    agg = ev.groupBy("endpoint_id").agg(
-        F.min_by("user", F.struct("timestamp", "id")).alias("primary_user"),
-        F.max("timestamp").alias("last_seen"),
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_distinct("event_type").alias("unique_event_types"),
-        F.count_distinct("user").alias("unique_users"),
-    )
-    types = smallest_distinct(ev, "endpoint_id", "event_type", k, "recent_event_types")
-    return agg.join(types, "endpoint_id", "left")
+    """endpoint_id -> primary user (of the earliest event), last_seen, totals, first k types.
+
+    One pass over the events builds the (endpoint, user, date, type) rollup, written
+    once; the aggregates and the salted first-k list both read that small table.
+    """
+    return RU.endpoint_details_view(materialize(RU.event_rollup(ev), "event-rollup"), k)
 
 
 def user_details_view(ev: DataFrame, k: int = 10) -> DataFrame:
-    """User -> last_seen, totals, distinct types/endpoints, first k endpoints (user != '')."""
-    named = ev.where(F.col("user") != "")
-    agg = named.groupBy("user").agg(
-        F.max("timestamp").alias("last_seen"),
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_distinct("event_type").alias("unique_event_types"),
-        F.count_distinct("endpoint_id").alias("unique_endpoints"),
-    )
-    eps = smallest_distinct(named, "user", "endpoint_id", k, "recent_endpoints")
-    return agg.join(eps, "user", "left")
+    """User -> last_seen, totals, distinct types/endpoints, first k endpoints (user != '').
+
+    Built from the written one-pass rollup, like :func:`endpoint_details_view`.
+    """
+    return RU.user_details_view(materialize(RU.event_rollup(ev), "event-rollup"), k)
 
 
 # ------------------------------------------------------------------ second-level rollups

@@ -86,21 +86,28 @@ def user_detections(det: DataFrame, ev: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_details_view(ev: DataFrame, k: int = 10) -> DataFrame:
+def _rollup(ev: DataFrame, write: bool) -> DataFrame:
+    er = RU.event_rollup(ev)
+    return materialize(er, "event-rollup") if write else er
+
+
+def endpoint_details_view(ev: DataFrame, k: int = 10, write_rollup: bool = True) -> DataFrame:
     """endpoint_id -> primary user (of the earliest event), last_seen, totals, first k types.
 
     One pass over the events builds the (endpoint, user, date, type) rollup, written
     once; the aggregates and the salted first-k list both read that small table.
+    ``write_rollup=False`` skips the write for inputs already filtered to a few rows
+    (one endpoint's events), where a second read is cheaper than an extra job.
     """
-    return RU.endpoint_details_view(materialize(RU.event_rollup(ev), "event-rollup"), k)
+    return RU.endpoint_details_view(_rollup(ev, write_rollup), k)
 
 
-def user_details_view(ev: DataFrame, k: int = 10) -> DataFrame:
+def user_details_view(ev: DataFrame, k: int = 10, write_rollup: bool = True) -> DataFrame:
     """User -> last_seen, totals, distinct types/endpoints, first k endpoints (user != '').
 
-    Built from the written one-pass rollup, like :func:`endpoint_details_view`.
+    Built from the one-pass rollup, like :func:`endpoint_details_view`.
     """
-    return RU.user_details_view(materialize(RU.event_rollup(ev), "event-rollup"), k)
+    return RU.user_details_view(_rollup(ev, write_rollup), k)
 
 
 # ------------------------------------------------------------------ second-level rollups

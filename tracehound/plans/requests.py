@@ -94,7 +94,7 @@ def endpoint_details(ev: DataFrame, det: DataFrame, endpoint_id: str) -> dict[st
     """Q8: details, eventSummary, events, detectionSummary, detections of one endpoint."""
     mine = ev.where(F.col("endpoint_id") == F.lit(endpoint_id))
     my_det = det.where(F.col("endpoint_id") == F.lit(endpoint_id))
-    details = V.endpoint_details_view(mine).select(
+    details = V.endpoint_details_view(mine, write_rollup=False).select(
         "endpoint_id",
         F.col("primary_user").alias("user"),
         "last_seen",
@@ -131,7 +131,7 @@ def user_details(ev: DataFrame, det: DataFrame, user: str) -> dict[str, DataFram
     endpoint-detail aggregation reads only those endpoints' events.
     """
     mine = ev.where((F.col("user") == F.lit(user)) & (F.col("user") != ""))
-    details = V.user_details_view(mine).select(
+    details = V.user_details_view(mine, write_rollup=False).select(
         "user",
         "last_seen",
         F.col("total_events").alias("event_count"),
@@ -145,7 +145,8 @@ def user_details(ev: DataFrame, det: DataFrame, user: str) -> dict[str, DataFram
     # detections reach a user through every endpoint the user was seen on
     user_pairs = V.user_endpoint_pairs(mine)
     per_user = (
-        det.groupBy("endpoint_id", F.to_date("timestamp").alias("date"), "severity", "rule_id")
+        det.join(user_pairs.select("endpoint_id"), "endpoint_id", "left_semi")  # this user's endpoints only
+        .groupBy("endpoint_id", F.to_date("timestamp").alias("date"), "severity", "rule_id")
         .agg(F.count(F.lit(1)).alias("_n"))
         .join(user_pairs, "endpoint_id")
         .groupBy("user", "date", "severity", "rule_id")
@@ -154,7 +155,7 @@ def user_details(ev: DataFrame, det: DataFrame, user: str) -> dict[str, DataFram
     det_summary = V.user_detection_summary(per_user)
     eps = user_recent_endpoints(ev, user)
     ep_events = ev.join(F.broadcast(eps), "endpoint_id", "left_semi")  # <= 10 ids
-    endpoints = V.endpoint_details_view(ep_events).select(
+    endpoints = V.endpoint_details_view(ep_events, write_rollup=False).select(
         "endpoint_id",
         F.col("primary_user").alias("user"),
         "last_seen",

@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from tracehound.session import local_session  # noqa: E402
+from tracehound.session import checkpoint_dir, local_session  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
@@ -16,7 +16,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(shuffle_partitions=8)
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="th-test-ckpt-", dir="/tmp"))
+    checkpoint_dir(s)  # keeps a configured spark.checkpoint.dir; scratch folder only if unset
     yield s
     s.stop()
 

@@ -37,6 +37,7 @@ from ..schema import DETECTIONS, EVENTS
 from ..session import configure
 from ..sources.sinks import publish_detections, write_detections, write_events
 from . import rollups as RU
+from .global_order import start_global_rules
 from .ordering import stream_rules
 
 
@@ -120,12 +121,44 @@ def start_rules(
     scope: str = "endpoint",
     trigger: dict | None = None,
     delay: str = "5 seconds",
-) -> StreamingQuery:
+    global_impl: str = "micro_batch",
+) -> StreamingQuery | list[StreamingQuery]:
+    """Rule matching into the detections table.
+
+    ``scope="endpoint"`` (or ``global_impl="state"``): the keyed ordering buffer.
+    ``scope="global"`` with ``global_impl="micro_batch"``: each micro-batch goes through
+    the distributed ordinal (no single-key bottleneck); its per-batch output is then
+    streamed into the month-partitioned detections table by a file sink.
+    """
     events, _ = normalized_stream(raw)
+    if scope == "global" and global_impl == "micro_batch":
+        spark = events.sparkSession
+        schema = _with_batch_schema(DETECTIONS)
+        q_rules, handler = start_global_rules(
+            events, layout.root, registry, _duration_ms(delay), trigger or {"processingTime": "10 seconds"}
+        )
+        # the per-batch folder must exist before a stream can read it (any file system)
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(handler.detections)
+        if trigger and trigger.get("availableNow"):
+            q_rules.awaitTermination()  # a one-shot run: the copy below then sees every batch
+        per_batch = spark.readStream.schema(schema).parquet(handler.detections).drop("batch")
+        q_copy = write_detections(per_batch, layout.detections, layout.checkpoint("detections"), trigger)
+        return [q_rules, q_copy]
     det = stream_rules(events, registry, scope, delay)
     return write_detections(det, layout.detections, layout.checkpoint("detections"), trigger)
 
 
+def _duration_ms(text: str) -> int:
+    """'5 seconds' / '500 milliseconds' / '1 minute' -> milliseconds."""
+    amount, unit = text.split()
+    scale = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
+    return int(float(amount) * scale)
+
+
+def _with_batch_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
+
+
 def detections_stream(spark: SparkSession, layout: Layout) -> DataFrame:
     """The detections table read back as a stream (only committed files)."""
     return spark.readStream.schema(_with_month_schema(DETECTIONS)).parquet(layout.detections)
@@ -233,7 +266,11 @@ def run_pipeline(
     configure(spark)
     layout = Layout(root)
     out = start_event_store(raw, layout, trigger)
-    out["detections"] = start_rules(raw, layout, registry, scope, trigger)
+    rules = start_rules(raw, layout, registry, scope, trigger)
+    if isinstance(rules, list):
+        out["global_rules"], out["detections"] = rules
+    else:
+        out["detections"] = rules
     return out
 
 

@@ -175,3 +175,19 @@ def test_global_scope_micro_batches_equal_batch(spark, scratch):
     want = apply_rules(ev, scope="global")
     assert got.count() == want.count() == 16
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_endpoint_scope_micro_batches_equal_batch(spark, scratch):
+    from tracehound.streaming.global_order import start_global_rules
+
+    ev = load_fixture_events(spark, SF_SMALL)
+    src = f"{scratch}/src"
+    write_chunks(ev, src, 4)
+    flush(src)
+    raw = read_raw_events(spark, src, maxFilesPerTrigger=1)
+    q, handler = start_global_rules(normalize_events(parse_events(raw)), f"{scratch}/out", trigger=ONCE, scope="endpoint")
+    q.awaitTermination(600)
+    got = handler.read_detections(spark)
+    want = apply_rules(ev, scope="endpoint")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

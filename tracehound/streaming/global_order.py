@@ -1,4 +1,4 @@
-"""Global-scope streaming rules that scale: micro-batches through the batch ordinal.
+"""Streaming sequence rules that scale: micro-batches through the batch ordinal.
 
 With ``scope="global"`` the next event of an event is the next one of the *whole*
 stream, so a keyed state processor has a single key and orders the stream in one task.
@@ -11,6 +11,10 @@ and only a small carried state links consecutive batches:
 * ``tail``    - the last ``k`` released events, so sequences can span batches,
 * ``meta``    - one row: highest event time seen and the release bound.
 
+The same works for ``scope="endpoint"`` (successors within the endpoint; the tail is
+the last ``k`` events of every endpoint), and a hot endpoint is then spread over the
+balanced range partitions instead of one keyed task.
+
 A batch releases every pending or new event at or before the watermark
 (``max event time seen - delay``), in ``(timestamp, id)`` order after the tail.  A rule
 with ``m`` steps is evaluated at a start event exactly when its last step is among the
@@ -68,14 +72,20 @@ def _read_batch(spark: SparkSession, path: str, batch_id: int, ddl: str) -> Data
 class GlobalRuleBatches:
     """``foreachBatch`` handler computing global-scope detections per micro-batch."""
 
-    def __init__(self, root: str, registry: RuleRegistry | list[Rule] | None = None, delay_ms: int = 5000):
+    def __init__(
+        self, root: str, registry: RuleRegistry | list[Rule] | None = None, delay_ms: int = 5000,
+        scope: str = "global",
+    ):
         registry = registry or RuleRegistry.default()
         self.rules = registry.rules if isinstance(registry, RuleRegistry) else list(registry)
         self.k = max(len(r.steps) for r in self.rules) - 1
         self.delay_ms = int(delay_ms)
-        self.detections = os.path.join(root, "detections_global")
-        self.state = os.path.join(root, "_global_state", "carry")
-        self.meta = os.path.join(root, "_global_state", "meta")
+        if scope not in ("global", "endpoint"):
+            raise ValueError("scope must be 'global' or 'endpoint'")
+        self.partition = ("endpoint_id",) if scope == "endpoint" else ()
+        self.detections = os.path.join(root, f"detections_{scope}")
+        self.state = os.path.join(root, f"_{scope}_state", "carry")
+        self.meta = os.path.join(root, f"_{scope}_state", "meta")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read once per micro-batch, used by several jobs
@@ -105,19 +115,25 @@ class GlobalRuleBatches:
         tail = carry.where(F.col("kind") == "tail").drop("kind")
         release = pending.where(F.col("ts_ms") <= F.lit(wm))
         hold = pending.where(F.col("ts_ms") > F.lit(wm))
-        t_len = tail.count()  # <= k rows
-        seq = tail.unionByName(release).withColumn("timestamp", F.timestamp_millis("ts_ms"))
+        # tail rows were released before: they give context but start no new match
+        seq = (
+            tail.withColumn("_tail", F.lit(True))
+            .unionByName(release.withColumn("_tail", F.lit(False)))
+            .withColumn("timestamp", F.timestamp_millis("ts_ms"))
+        )
         n_released = release.count()
         new_tail = tail
         if n_released:
-            with_next = next_rows(seq, ("ts_ms", "id"), self.k, list(MATCH_FIELDS), prefix="_n")
-            current = F.struct(*[F.col(c) for c in MATCH_FIELDS])
+            payload = [*MATCH_FIELDS, "_tail"]
+            with_next = next_rows(seq, ("ts_ms", "id"), self.k, payload, self.partition, prefix="_n")
+            current = F.struct(*[F.col(c) for c in payload])
             structs = [current] + [F.col(f"_n{i}") for i in range(1, self.k + 1)]
+
+            def last_step_is_new(m: int):
+                return F.coalesce(~structs[m - 1]["_tail"], F.lit(False))
+
             hits = F.array(
-                *[
-                    F.when(F.col("_ord") + (len(r.steps) - 1) >= F.lit(t_len), _rule_hit(r, structs))
-                    for r in self.rules
-                ]
+                *[F.when(last_step_is_new(len(r.steps)), _rule_hit(r, structs)) for r in self.rules]
             )
             det = (
                 with_next.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("d"))
@@ -126,8 +142,11 @@ class GlobalRuleBatches:
                 .select(*DETECTION_COLUMNS)
             )
             _write(det, self.detections, batch_id)
-            total = t_len + n_released
-            new_tail = with_next.where(F.col("_ord") >= total - self.k).select(*CARRY_FIELDS)
+            # the new tail: rows with fewer than k successors (per endpoint in that scope)
+            if self.k:
+                new_tail = with_next.where(F.col(f"_n{self.k}").isNull()).select(*CARRY_FIELDS)
+            else:
+                new_tail = with_next.where(F.lit(False)).select(*CARRY_FIELDS)
             released = max(released, wm)
         state = hold.withColumn("kind", F.lit("pending")).unionByName(new_tail.withColumn("kind", F.lit("tail")))
         _write(state, self.state, batch_id)
@@ -143,12 +162,14 @@ def start_global_rules(
     registry: RuleRegistry | list[Rule] | None = None,
     delay_ms: int = 5000,
     trigger: dict | None = None,
+    scope: str = "global",
 ) -> tuple[StreamingQuery, GlobalRuleBatches]:
-    """Start global-scope rule matching over a stream of normalised events."""
-    handler = GlobalRuleBatches(root, registry, delay_ms)
+    """Start rule matching over a stream of normalised events, one distributed pass
+    per micro-batch (``scope`` "global" or "endpoint")."""
+    handler = GlobalRuleBatches(root, registry, delay_ms, scope)
     q = (
         events.writeStream.foreachBatch(handler)
-        .option("checkpointLocation", os.path.join(root, "_checkpoints", "global_rules"))
+        .option("checkpointLocation", os.path.join(root, "_checkpoints", f"{scope}_rules"))
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )

@@ -121,21 +121,23 @@ def start_rules(
     scope: str = "endpoint",
     trigger: dict | None = None,
     delay: str = "5 seconds",
-    global_impl: str = "micro_batch",
+    impl: str = "micro_batch",
 ) -> StreamingQuery | list[StreamingQuery]:
     """Rule matching into the detections table.
 
-    ``scope="endpoint"`` (or ``global_impl="state"``): the keyed ordering buffer.
-    ``scope="global"`` with ``global_impl="micro_batch"``: each micro-batch goes through
-    the distributed ordinal (no single-key bottleneck); its per-batch output is then
-    streamed into the month-partitioned detections table by a file sink.
+    ``impl="micro_batch"`` (default): each micro-batch goes through the distributed
+    ordinal with a small carried state (no single-key bottleneck for the global scope,
+    no hot task for a hot endpoint); its per-batch output is then streamed into the
+    month-partitioned detections table by a file sink.  ``impl="state"``: the keyed
+    ordering buffer (``transformWithStateInPandas``) keyed by endpoint, or by one key
+    for the global scope.
     """
     events, _ = normalized_stream(raw)
-    if scope == "global" and global_impl == "micro_batch":
+    if impl == "micro_batch":
         spark = events.sparkSession
         schema = _with_batch_schema(DETECTIONS)
         q_rules, handler = start_global_rules(
-            events, layout.root, registry, _duration_ms(delay), trigger or {"processingTime": "10 seconds"}
+            events, layout.root, registry, _duration_ms(delay), trigger or {"processingTime": "10 seconds"}, scope
         )
         # the per-batch folder must exist before a stream can read it (any file system)
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(handler.detections)
@@ -268,7 +270,7 @@ def run_pipeline(
     out = start_event_store(raw, layout, trigger)
     rules = start_rules(raw, layout, registry, scope, trigger)
     if isinstance(rules, list):
-        out["global_rules"], out["detections"] = rules
+        out["rules"], out["detections"] = rules
     else:
         out["detections"] = rules
     return out

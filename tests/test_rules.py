@@ -150,3 +150,30 @@ def test_hot_key_is_spread_over_balanced_partitions(spark):
     assert len(sizes) == 8 and max(sizes) <= 2 * (3000 / 8)
     for scope in ("global", "endpoint"):
         assert run(spark, hot + cold, scope, num_partitions=8) == run(spark, hot + cold, scope, strategy="single")
+
+
+def test_plugin_rules_single_and_custom_steps(spark):
+    """Rules are plain data (steps of Column conditions); a one-step rule and a
+    custom two-step rule run through the same one-pass evaluation."""
+    from pyspark.sql import functions as F
+
+    usb = Rule(
+        rule_id="RULE-900", severity=2, description="USB device connected",
+        steps=(Step("usb", lambda e, m: e["event_type"] == "usb"),),
+        within_ms=1, endpoint_step="usb",
+        message=lambda m: F.concat(F.lit("USB on "), m["usb"]["endpoint_id"]),
+    )
+    dns_then_login = Rule(
+        rule_id="RULE-901", severity=1, description="DNS then login by the same user",
+        steps=(
+            Step("dns", lambda e, m: e["event_type"] == "dns"),
+            Step("login", lambda e, m: (e["event_type"] == "login") & (e["user"] == m["dns"]["user"])),
+        ),
+        within_ms=1000, endpoint_step="login",
+        message=lambda m: F.concat(F.lit("dns+login "), m["login"]["user"]),
+    )
+    rows = [ev("a", 0, "usb", "allowed"), ev("b", 5, "dns", "allowed"), ev("c", 6, "login", "success"),
+            ev("d", 2000, "dns", "allowed", user="u2"), ev("e", 3500, "login", "success", user="u2")]
+    reg = RuleRegistry.builder().add(usb).add(dns_then_login).build()
+    out = both(spark, rows, rules=reg)
+    assert out == [("RULE-900", "a", "e1"), ("RULE-901", "b,c", "e1")]

@@ -191,3 +191,24 @@ def test_endpoint_scope_micro_batches_equal_batch(spark, scratch):
     want = apply_rules(ev, scope="endpoint")
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_micro_batches_single_step_rule(spark, scratch):
+    from tracehound.operators.rules import Rule, Step
+    from tracehound.streaming.global_order import start_global_rules
+
+    dns = Rule(
+        rule_id="RULE-910", severity=1, description="DNS event",
+        steps=(Step("dns", lambda e, m: e["event_type"] == "dns"),),
+        within_ms=1, endpoint_step="dns", message=lambda m: m["dns"]["id"],
+    )
+    ev = load_fixture_events(spark, SF_SMALL)
+    src = f"{scratch}/src"
+    write_chunks(ev, src, 2)
+    flush(src)
+    raw = read_raw_events(spark, src, maxFilesPerTrigger=1)
+    q, handler = start_global_rules(normalize_events(parse_events(raw)), f"{scratch}/out", [dns], trigger=ONCE)
+    q.awaitTermination(600)
+    got = handler.read_detections(spark)
+    assert got.count() == ev.where("event_type = 'dns'").count() > 0
+    assert got.exceptAll(apply_rules(ev, [dns])).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontam, licenses, oracles, pii
+from . import decontam, licenses, oracles, pii, quality, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -30,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs.withColumn("held_out", toxicity.held_out()), model)
+    return scored.select(
+        "doc_id",
+        "held_out",
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        toxicity.toxic_by_language(model, F.col("toxicity"), F.col("lang")).alias("toxic_by_language"),
+    )
+
+
 @register("op4_decontaminate", oracles.DECONTAM)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -74,3 +88,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(every, ",").alias("labels"),
         F.round(F.greatest(F.coalesce("coverage", F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)), 6).alias("score"),
     )
+
+
+@register("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.score_quality(docs.withColumn("held_out", toxicity.held_out()), model, out_col="score")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -50,13 +50,13 @@ def _lut(separators: tuple[int, ...], lower: bool) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch: ``hash`` per word, ``offsets`` (len = rows + 1) into it, and the
-    byte range of each word relative to its own text."""
+    """The words of a batch: ``hash`` per word, ``offsets`` (len = rows + 1) into it, the byte
+    range of each word relative to its own text, and hashes of word beginnings if asked for."""
 
-    __slots__ = ("hash", "offsets", "start", "end")
+    __slots__ = ("hash", "offsets", "start", "end", "prefixes")
 
-    def __init__(self, hash_: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.hash, self.offsets, self.start, self.end = hash_, offsets, start, end
+    def __init__(self, hash_: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: list[np.ndarray]):
+        self.hash, self.offsets, self.start, self.end, self.prefixes = hash_, offsets, start, end, prefixes
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +73,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(column) else raw[:0], offsets - (offsets[0] if len(column) else 0)
 
 
-def words_of(column: pa.Array, separators: tuple[int, ...] = PLAIN_SEPARATORS, lower: bool = True, seed: int = 1) -> Words:
-    """All words of a string column, hashed."""
+def words_of(column: pa.Array, separators: tuple[int, ...] = PLAIN_SEPARATORS, lower: bool = True, seed: int = 1, prefixes: tuple[int, ...] = ()) -> Words:
+    """All words of a string column, hashed; ``prefixes`` also hashes their first so many bytes."""
     raw, offsets = text_buffers(column)
     lut, codes = _lut(separators, lower), _code_table(seed)
-    hashes, starts, ends = [], [], []
+    hashes, starts, ends, begun = [], [], [], [[] for _ in prefixes]
     row_starts = offsets[:-1]
     at, n = 0, len(raw)
     while at < n:
@@ -109,6 +109,8 @@ def words_of(column: pa.Array, separators: tuple[int, ...] = PLAIN_SEPARATORS, l
             with np.errstate(over="ignore"):
                 v = codes[seg[keep]] * _powers(0x9DDFEA08EB382D69, int(lengths.max()))[pos]
                 h = np.add.reduceat(v, first_kept) + lengths.astype(np.uint64)
+                for out, k in zip(begun, prefixes, strict=True):
+                    out.append(mix64(np.add.reduceat(np.where(pos < k, v, U64(0)), first_kept), seed + 100 + k))
             hashes.append(mix64(h, seed))
             starts.append(s + at)
             ends.append(s + at + lengths)
@@ -117,7 +119,7 @@ def words_of(column: pa.Array, separators: tuple[int, ...] = PLAIN_SEPARATORS, l
     h, s, e = cat(hashes, np.uint64), cat(starts, np.int64), cat(ends, np.int64)
     word_offsets = np.searchsorted(s, offsets).astype(np.int64)
     base = np.repeat(offsets[:-1], np.diff(word_offsets))
-    return Words(h, word_offsets, s - base, e - base)
+    return Words(h, word_offsets, s - base, e - base, [cat(x, np.uint64) for x in begun])
 
 
 def rolling(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -119,5 +119,17 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
 """
 
 
+# base32 of a SHA-1: 5 hexadecimal digits are 4 characters.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+r AS (SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS d, CASE WHEN p.page_id > first THEN first END AS refers_to FROM p JOIN f ON p.h = f.h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('{_BASE32}',
+         ((('0x' || substr(d, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
 PII = _pii()
 LICENSES = _licenses()

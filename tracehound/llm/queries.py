@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import decontam, licenses, oracles, pii, quality, toxicity
+from ..session import configure, scratch_table_path
+from . import decontam, licenses, oracles, pii, quality, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -44,6 +44,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op2_warc", oracles.WARC)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_table_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), out)
+    return warc.read_archive(spark, out, keep_payload=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
+    )
+
+
 @register("op4_decontaminate", oracles.DECONTAM)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")

@@ -131,5 +131,17 @@ SELECT page_id, payload_bytes,
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM r
 """
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {plain(lowered("text"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS z FROM w),
+e AS (SELECT doc_id, unnest(z) AS g, len(z) AS n FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+u AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x AS doc_id, y AS node FROM u UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.node = u.x),
+c AS (SELECT doc_id, min(node) AS m FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(z)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, least(s.doc_id, coalesce(m, s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)
+"""
 PII = _pii()
 LICENSES = _licenses()

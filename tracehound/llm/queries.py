@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_table_path
-from . import decontam, licenses, oracles, pii, quality, toxicity, warc
+from . import decontam, licenses, near_dup, oracles, pii, quality, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -105,3 +105,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = quality.score_quality(docs.withColumn("held_out", toxicity.held_out()), model, out_col="score")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op10_near_duplicates", oracles.NEAR_DUPLICATES)
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, threshold_pct=85)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )

@@ -131,6 +131,16 @@ SELECT page_id, payload_bytes,
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM r
 """
+SUBSTRING = f"""
+WITH d AS (SELECT doc_id, {plain("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 50)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS word FROM k JOIN f USING (h) WHERE first < doc_id),
+g AS (SELECT doc_id, list(word) AS gone FROM r GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {plain(lowered("text"))} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS z FROM w),

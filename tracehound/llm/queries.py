@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_table_path
-from . import decontam, licenses, near_dup, oracles, pii, quality, toxicity, warc
+from . import decontam, licenses, near_dup, oracles, pii, quality, substring, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -53,6 +53,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op3_substring_dedup", oracles.SUBSTRING)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+    return kept.withColumnRenamed("id", "doc_id")
+
+
 @register("op4_decontaminate", oracles.DECONTAM)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")

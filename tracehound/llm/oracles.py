@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, pii
+from . import licenses, mixing, pii
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -131,6 +131,41 @@ SELECT page_id, payload_bytes,
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM r
 """
+
+
+def _mixing(docs: str = "documents") -> str:
+    """Plain binary bisection, one CTE a step; the schedule by one running sum a source."""
+    steps = 4 * mixing.ROUNDS
+    ent = "ln(sum(pow(p, {m}))) - {m} * sum(pow(p, {m}) * ln(p)) / sum(pow(p, {m}))"
+    spread = "max(pow(p, {m} - 1)) / min(pow(p, {m} - 1))"
+    goal = f"{mixing.ENTROPY} * ln((SELECT count(*) FROM shares))"
+    ctes = [f"h0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, (SELECT {ent.format(m='1.0::DOUBLE')} FROM shares) >= {goal} AS whole)",
+            f"r0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, (SELECT {spread.format(m='0.0::DOUBLE')} FROM shares) <= {mixing.REPETITION} AS whole)"]
+    for i in range(steps):
+        for name, test, good in (("h", f"{ent.format(m='m')} >= {goal}", True), ("r", f"{spread.format(m='m')} <= {mixing.REPETITION}", False)):
+            ctes.append(f"{name}{i + 1} AS (SELECT CASE WHEN ok = {str(good).lower()} THEN m ELSE lo END AS lo, CASE WHEN ok = {str(good).lower()} THEN hi ELSE m END AS hi, whole "
+                        f"FROM (SELECT lo, hi, whole, m, {test} AS ok FROM (SELECT *, (lo + hi) / 2 AS m FROM {name}{i}), shares GROUP BY lo, hi, whole, m))")
+    key = f"('0x' || substr(md5('{mixing.SEED}:' || {{n}} || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT"
+    return f"""
+WITH d AS (SELECT doc_id, source, greatest(len({plain("coalesce(text, '')")}), 1)::BIGINT AS tokens FROM {docs}),
+c AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source),
+shares AS (SELECT tokens / (SELECT sum(tokens) FROM c)::DOUBLE AS p FROM c),
+{", ".join(ctes)},
+a AS (SELECT greatest(CASE WHEN h.whole THEN 1.0 ELSE h.lo END, CASE WHEN r.whole THEN 0.0 ELSE r.hi END) AS a FROM h{steps} h, r{steps} r),
+w AS (SELECT source, c.tokens AS total, pow(c.tokens / (SELECT sum(tokens) FROM c)::DOUBLE, a) / (SELECT sum(pow(p, a)) FROM shares, a) AS weight FROM c, a),
+b AS (SELECT max(ceil(total / weight - 0.5))::BIGINT AS budget FROM w),
+q AS (SELECT source, total, round(budget::DOUBLE * weight)::BIGINT AS quota FROM w, b),
+f AS (SELECT *, quota // total AS full, quota % total AS rest FROM q),
+x AS (SELECT doc_id, d.source, tokens, total, quota, "full", rest, unnest(generate_series(0, "full")) AS pass FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT *, {key.format(n="pass::VARCHAR")} AS key FROM x),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY source, pass ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM k)
+SELECT doc_id, source, tokens, pass, least(floor((pass + key / {float(mixing.KEY_SPACE)!r}::DOUBLE) * total / quota * blocks::DOUBLE), blocks - 1)::BIGINT AS block,
+       {key.format(n="'slot' || pass::VARCHAR")} AS slot
+FROM u, (SELECT greatest(1, ceil(budget / {mixing.BLOCK_TOKENS}.0))::BIGINT AS blocks FROM b)
+WHERE pass < "full" OR upto <= rest
+"""
+
+
 SUBSTRING = f"""
 WITH d AS (SELECT doc_id, {plain("coalesce(text, '')")} AS w FROM documents),
 k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 50)) AS i FROM d WHERE len(w) >= 50)),
@@ -154,4 +189,5 @@ SELECT s.doc_id, len(z)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc
 FROM s LEFT JOIN c USING (doc_id)
 """
 PII = _pii()
+MIXING = _mixing()
 LICENSES = _licenses()

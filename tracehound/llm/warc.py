@@ -57,10 +57,10 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
 
 
-def render(key: int | None, target: str, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP header but no payload."""
-    revisit = refers_to is not None
-    block = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % n_bytes, b"", b""]) + (b"" if revisit else payload)
+def render(key: int | None, target: str, payload: bytes, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; a revisit has the HTTP header and the digest but not the payload."""
+    revisit, digest = refers_to is not None, base32_sha1(payload)
+    block = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""]) + (b"" if revisit else payload)
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(key, digest, target)),
@@ -68,7 +68,7 @@ def render(key: int | None, target: str, payload: bytes, n_bytes: int, digest: s
         ("WARC-Target-URI", quote(target, safe=":/?#[]@!$&'()*+,;=%~-._")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
-        ("X-Payload-Length", str(n_bytes)),
+        ("X-Payload-Length", str(len(payload))),
     ]
     if key is not None:
         head.append(("X-Record-Key", str(key)))
@@ -139,20 +139,14 @@ def with_shards(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[Da
     return rows.withColumn("bin", at).join(few, "bin").drop("bin"), -(-size // shard_bytes) + 1
 
 
-def with_references(pages: DataFrame, key: str, target: str, payload: str, min_revisit_bytes: int) -> DataFrame:
-    """(key, target, payload, n, digest, refers_to); the payload of a revisit is left out.
+def revisits(rows: DataFrame, min_revisit_bytes: int) -> DataFrame:
+    """(key, exact, first): the rows that revisit another, as narrow rows.
 
-    Digests are compared as narrow rows; a payload in a third of all rows is one group whose
-    smallest id is a partial aggregate, and the large side of the join can be split."""
-    text = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    rows = pages.select(
-        F.col(key).cast("long").alias("key"), F.coalesce(F.col(target).cast("string"), F.lit("")).alias("target"),
-        F.col(payload).alias("payload"), F.length(text).cast("long").alias("n"), F.sha1(text).alias("digest"), F.sha2(text, 256).alias("exact"),
-    )
-    firsts = rows.where((F.col("n") >= min_revisit_bytes) & F.col("key").isNotNull()).groupBy("exact").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    referred = rows.join(firsts, "exact", "left")
-    refers = F.when((F.col("n") >= min_revisit_bytes) & (F.col("key") > F.col("first")), F.col("first"))
-    return referred.select("key", "target", "n", "digest", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    A payload in a third of all rows is one group whose smallest id is a partial aggregate, and
+    the large side of the join can be split."""
+    able = rows.where((F.col("n") >= min_revisit_bytes) & F.col("key").isNotNull()).select("key", "exact")
+    firsts = able.groupBy("exact").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return able.join(firsts, "exact").where("key > first").select("key", "exact", "first").distinct()
 
 
 def write_archive(
@@ -162,23 +156,35 @@ def write_archive(
     """Write ``pages`` under the folder URI ``out`` (shared by all executors); returns the manifest."""
     spark = pages.sparkSession
     sizes = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n"))
-    rows, n_shards = with_shards(with_references(pages, key, target, payload, min_revisit_bytes), sizes, shard_bytes)
+    text = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
+    rows = pages.select(
+        F.col(key).cast("long").alias("key"), F.unhex(F.sha2(text, 256)).alias("exact"), F.lit(None).cast("long").alias("refers"),
+        F.coalesce(F.col(target).cast("string"), F.lit("")).alias("target"), F.col(payload).alias("payload"),
+    )
+    # what refers to what travels as rows of its own that sort before the payloads they are about,
+    # so that payloads are exchanged once
+    about = revisits(rows.select("key", "exact", F.coalesce(F.octet_length("payload"), F.lit(0)).alias("n")), min_revisit_bytes)
+    about = about.select("key", "exact", F.col("first").alias("refers"), F.lit("").alias("target"), F.lit(None).cast("string").alias("payload"))
+    placed, n_shards = with_shards(rows.unionByName(about), sizes, shard_bytes)
     fs, root = filesystem(out)
     fs.create_dir(f"{root}/_temporary", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, done = RollingWriter(out, file_bytes), []
+        writer, done, subject, refers = RollingWriter(out, file_bytes), [], None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                k, url, n, digest, refers, html, shard = (batch.column(c)[r].as_py() for c in range(7))
+                k, exact, first, url, html, shard = (batch.column(c)[r].as_py() for c in range(6))
+                if first is not None:
+                    subject, refers = (k, exact), first
+                    continue
                 body = b"" if html is None else html.encode()
-                done += writer.put(shard, render(k, url, body, n, f"{base64.b32encode(bytes.fromhex(digest)).decode()}", refers))
+                done += writer.put(shard, render(k, url, body, refers if subject == (k, exact) else None))
         done += writer.close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "shard", "seq", "records", "bytes", "sha256"])
 
-    ordered = rows.select("key", "target", "n", "digest", "refers_to", "payload", "shard").repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "target")
-    ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
+    ordered = placed.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "exact", F.col("refers").desc_nulls_last(), "target")
+    ordered.select("key", "exact", "refers", "target", "payload", "shard").mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
     return read_manifest(spark, out)
 
 

@@ -180,7 +180,8 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["rep", "grp", "leader", "shingles"])
 
     wanted = groups.select(F.col("rep").alias("id"), "grp").join(leaders.select("grp", "leader"), "grp")
-    sets = scratch.keep("sets", texts.join(wanted, "id").select("id", "text", "grp", "leader").mapInArrow(cut, "rep long, grp long, leader long, shingles array<bigint>"))
+    # the wanted ids grow with the corpus: a sort-merge join at every size
+    sets = scratch.keep("sets", texts.join(wanted.hint("merge"), "id").select("id", "text", "grp", "leader").mapInArrow(cut, "rep long, grp long, leader long, shingles array<bigint>"))
 
     # 3. every member against its group's central member
     need = lambda a, b, inter: inter * 100 >= threshold_pct * (F.size(a) + F.size(b) - inter)

@@ -80,7 +80,7 @@ def test_search_mixed_case_and_sort_nulls_last(spark):
     assert rows(FL.search_rows(df, "", ["user"]), "endpoint_id") == [("Endpoint-A",), ("x",), ("y",)]
     asc = [r.user for r in S.sort_nulls_last(df, "user", True).collect()]
     desc = [r.user for r in S.sort_nulls_last(df, "user", False).collect()]
-    assert asc == ["Bob", "alice", None] and desc == ["alice", "Bob", None]
+    assert asc == ["alice", "Bob", None] and desc == ["Bob", "alice", None]
 
 
 def test_attach_events_edges(spark):

@@ -11,7 +11,7 @@ Typical use::
 
 from .functions.parse import normalize_events, parse_events, parse_events_with_quarantine, with_date, with_month
 from .operators.filters import filter_detections, filter_events, filter_in, multi_filter, recent_days, recent_hours
-from .operators.joins import add_hostnames, attach_events, checked_broadcast
+from .operators.joins import add_hostnames, attach_events
 from .operators.ordinal import next_rows, with_ordinal
 from .operators.rules import FAILED_LOGINS, FILE_WRITE_EXECUTE, SUSPICIOUS_PROCESS_NETWORK, Rule, RuleRegistry, Step, apply_rules
 from .operators.views import latest_by_key, merge_partials
@@ -32,7 +32,7 @@ from .sources.sinks import export_csv, publish_detections, write_detections, wri
 
 __all__ = [
     "FAILED_LOGINS", "FILE_WRITE_EXECUTE", "SUSPICIOUS_PROCESS_NETWORK", "Rule", "RuleRegistry", "Step",
-    "add_hostnames", "apply_rules", "attach_events", "checked_broadcast", "configure", "dashboard_snapshot",
+    "add_hostnames", "apply_rules", "attach_events", "configure", "dashboard_snapshot",
     "dashboard_stats", "endpoint_details", "export_csv", "filter_detections", "filter_events", "filter_in",
     "get_detections", "get_events", "latest_by_key", "list_endpoints", "list_users", "live_detections",
     "live_events", "load_table", "local_session", "merge_partials", "multi_filter", "next_rows",

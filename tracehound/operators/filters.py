@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.predicates import search as search_expr
 from ..functions.scalars import to_ts, yyyymm
 
-# IN lists up to this many values stay an ``isin`` predicate (pushed to the scan);
-# longer lists become a broadcast left-semi join against a one-column table.
-MAX_INLINE_IN = 1000
-
 
 def _ts(v) -> Column:
     return to_ts(v)
@@ -85,23 +81,20 @@ def filter_detections(
     if username:
         if events is None:
             raise ValueError("username filter needs the events table")
-        eps = events.where(F.col("user") == F.lit(username)).select("endpoint_id")
+        eps = events.where(F.col("user") == F.lit(username)).select("endpoint_id").distinct()
         df = df.join(eps, "endpoint_id", "left_semi")
     return df
 
 
 def filter_in(df: DataFrame, col: str, values: Iterable | DataFrame) -> DataFrame:
-    """``col IN (values)``.  Short literal lists stay a pushed-down predicate; long
-    lists or DataFrames become a left semi join (broadcast when the list is small)."""
+    """``col IN (values)``.  A literal list is a predicate that is pushed to the scan
+    (Spark plans a long one as a set lookup); values in a DataFrame, however many, are the
+    right side of a left semi join."""
     if isinstance(values, DataFrame):
         right = values.select(F.col(values.columns[0]).alias(col)).distinct()
         return df.join(right, col, "left_semi")
     vals = list(dict.fromkeys(values))
-    if len(vals) <= MAX_INLINE_IN:
-        return df.where(F.col(col).isin(vals)) if vals else df.where(F.lit(False))
-    spark = df.sparkSession
-    right = spark.createDataFrame([(v,) for v in vals], [col])
-    return df.join(F.broadcast(right), col, "left_semi")
+    return df.where(F.col(col).isin(vals)) if vals else df.where(F.lit(False))
 
 
 def recent_days(df: DataFrame, as_of: str | datetime | date, days: int = 1, col: str = "date") -> DataFrame:

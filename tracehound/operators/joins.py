@@ -2,9 +2,7 @@
 
 Join strategy is left to the planner with AQE on: a side whose *measured* shuffle
 size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` is broadcast at run
-time, anything larger stays a sort-merge join (with skew splitting).  An explicit
-broadcast is only placed behind :func:`checked_broadcast`, which proves a row bound
-first.
+time, anything larger stays a sort-merge join (with skew splitting).
 """
 
 from __future__ import annotations
@@ -16,22 +14,8 @@ from pyspark.sql import functions as F
 
 from ..schema import EVENT_COLUMNS
 
-# Lookup tables (endpoints, watch lists) up to this many rows are broadcast explicitly.
-MAX_BROADCAST_ROWS = 1_000_000
 
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when ``df`` is proven to hold at most ``max_rows`` rows.
-
-    The proof is a bounded count (``limit(max_rows + 1).count()``); above the bound the
-    DataFrame is returned as is and the planner (AQE) chooses a shuffle join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def add_hostnames(df: DataFrame, endpoints: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def add_hostnames(df: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Add ``hostname`` by endpoint_id; missing or empty hostname -> 'Unknown'.
 
     The lookup is reduced to one row per endpoint (latest wins is not needed: any
@@ -40,7 +24,7 @@ def add_hostnames(df: DataFrame, endpoints: DataFrame, max_rows: int = MAX_BROAD
     lookup = endpoints.groupBy("endpoint_id").agg(
         F.max(F.nullif(F.col("hostname"), F.lit(""))).alias("_host")
     )
-    joined = df.join(checked_broadcast(lookup, max_rows), "endpoint_id", "left")
+    joined = df.join(lookup, "endpoint_id", "left")
     return joined.withColumn("hostname", F.coalesce(F.col("_host"), F.lit("Unknown"))).drop("_host")
 
 
@@ -59,23 +43,17 @@ def detection_event_ids(det: DataFrame) -> DataFrame:
 
 def attach_events(
     det: DataFrame, events: DataFrame, fields: Sequence[str] = EVENT_COLUMNS, alias: str = "events",
-    max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Each detection with the array of its events in time order.
 
     One plan instead of one lookup per detection: explode the id lists, join the events
-    by id (the id list is broadcast when its count is within ``max_rows``, otherwise
-    a shuffle join chosen by AQE), collect per detection (at most one entry per listed
+    by id (AQE broadcasts the id list where its measured size allows), collect per detection (at most one entry per listed
     id), and left-join back.  Unknown ids vanish; an empty list gives ``[]``.
     """
     cols = list(dict.fromkeys(["timestamp", "id", *fields]))
     ev = events.select(*cols)
     pairs = detection_event_ids(det)
-    # a page of detections lists a few hundred ids: broadcast them (after a bounded
-    # count) and stream the events table past them instead of shuffling it
-    matched = ev.withColumnRenamed("id", "event_id").join(
-        checked_broadcast(pairs, max_rows), "event_id"
-    ).withColumnRenamed("event_id", "id")
+    matched = ev.withColumnRenamed("id", "event_id").join(pairs, "event_id").withColumnRenamed("event_id", "id")
     per_det = matched.groupBy("detection_id").agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias(alias)
     )

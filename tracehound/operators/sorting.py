@@ -43,9 +43,14 @@ def top_k(df: DataFrame, k: int, by: str, key: str | Sequence[str]) -> DataFrame
 
 def sort_nulls_last(df: DataFrame, col: str, ascending: bool = True, key: str | None = None) -> DataFrame:
     """Sort one column either way with missing values last in both directions."""
-    c = F.col(col).asc_nulls_last() if ascending else F.col(col).desc_nulls_last()
-    extra = [F.col(key).asc()] if key else []
-    return df.orderBy(c, *extra)
+    return df.orderBy(*nulls_last(df, col, ascending, key))
+
+
+def nulls_last(df: DataFrame, col: str, ascending: bool = True, key: str | None = None) -> list[Column]:
+    """The order of :func:`sort_nulls_last`; text is compared as a reader expects (letters before
+    case and accents), not by code point."""
+    c = F.collate(F.col(col), "UNICODE") if dict(df.dtypes)[col] == "string" else F.col(col)
+    return [c.asc_nulls_last() if ascending else c.desc_nulls_last(), *([F.col(key).asc()] if key else [])]
 
 
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ordinal import with_ordinal
 from ..operators.rules import apply_rules
 from ..sources.fixture import load_fixture_events
 from . import oracles as O
@@ -636,16 +637,22 @@ def _hosts_a6(spark, sf_dir):
     return a6.join(fixture_endpoints(spark).select("endpoint_id", "hostname"), "endpoint_id", "left")
 
 
-@register("sort_nulls_last_asc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname FROM a6 a
-LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id ORDER BY p.hostname ASC NULLS LAST, a.endpoint_id LIMIT 9""", views=True, endpoints=True))
+@register("sort_nulls_last_asc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname,
+  row_number() OVER (ORDER BY p.hostname ASC NULLS LAST, a.endpoint_id) AS place FROM a6 a
+LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id""", views=True, endpoints=True))
 def q_sort_nulls_last_asc(spark, sf_dir):
-    return S.sort_nulls_last(_hosts_a6(spark, sf_dir), "hostname", True, key="endpoint_id").limit(9)
+    hosts = _hosts_a6(spark, sf_dir)
+    order = S.nulls_last(hosts, "hostname", True, key="endpoint_id")
+    return with_ordinal(hosts, order, "place").withColumn("place", F.col("place") + 1)
 
 
-@register("sort_nulls_last_desc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname FROM a6 a
-LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id ORDER BY p.hostname DESC NULLS LAST, a.endpoint_id LIMIT 9""", views=True, endpoints=True))
+@register("sort_nulls_last_desc", O.sql("""SELECT a.endpoint_id, a.total_events, p.hostname,
+  row_number() OVER (ORDER BY p.hostname DESC NULLS LAST, a.endpoint_id) AS place FROM a6 a
+LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id""", views=True, endpoints=True))
 def q_sort_nulls_last_desc(spark, sf_dir):
-    return S.sort_nulls_last(_hosts_a6(spark, sf_dir), "hostname", False, key="endpoint_id").limit(9)
+    hosts = _hosts_a6(spark, sf_dir)
+    order = S.nulls_last(hosts, "hostname", False, key="endpoint_id")
+    return with_ordinal(hosts, order, "place").withColumn("place", F.col("place") + 1)
 
 
 @register("top_endpoints", O.sql("""SELECT endpoint_id, total_events FROM a6 ORDER BY total_events DESC, endpoint_id LIMIT 3""", views=True))

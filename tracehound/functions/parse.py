@@ -58,7 +58,9 @@ def _id_from_node(node: Column, id_default: Column) -> Column:
 
 
 def _long_from_node(node: Column, default: Column) -> Column:
-    return F.coalesce(F.try_variant_get(node, "$", "bigint"), default)
+    """A whole number, or numeric text ("12.7", "1.7e12"), whose fraction is cut off."""
+    text = F.try_variant_get(node, "$", "string").try_cast("double")
+    return F.coalesce(F.try_variant_get(node, "$", "bigint"), text.try_cast("bigint"), default)
 
 
 def _node_columns(df: DataFrame, v: Column, active: Column | None = None) -> DataFrame:
@@ -119,7 +121,15 @@ def _prepare(raw: DataFrame, col: str) -> DataFrame:
 def split_corrupt(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(parsable rows, rows that are not JSON).  Parsable rows carry the fast-path
     struct ``_f``, the flag ``_fast`` and, off the fast path, a VARIANT ``_v``."""
-    staged = _prepare(raw, col)
+    return split_staged(stage(raw, col))
+
+
+def stage(raw: DataFrame, col: str = "value") -> DataFrame:
+    """One parse of each message; :func:`split_staged` and :func:`parse_staged` use it several times."""
+    return _prepare(raw, col)
+
+
+def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = staged.where(F.col("_fast") | F.col("_v").isNotNull())
     bad = staged.where(~F.col("_fast") & F.col("_v").isNull()).drop("_f", "_fast", "_v")
     return good, bad
@@ -132,6 +142,12 @@ def parse_events(raw: DataFrame, col: str = "value", default_ts_ms: Column | Non
     return _from_staged(good, F.col(col), default_ts_ms)
 
 
+def parse_staged(staged: DataFrame, col: str = "value", default_ts_ms: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, messages that are not JSON) of a staged frame."""
+    good, bad = split_staged(staged)
+    return _from_staged(good, F.col(col), default_ts_ms), bad
+
+
 def parse_events_with_quarantine(
     raw: DataFrame, col: str = "value", default_ts_ms: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,8 @@ own event and on the events matched by earlier steps; the last step must lie str
 less than ``within_ms`` after the first.  There is no skipping after a match, so every
 event starts its own attempt (four failed logins give two RULE-001 matches).
 
-Batch evaluation is one pass: the next ``K-1`` events of every event are attached once
-(:func:`tracehound.operators.ordinal.next_rows`, exact and skew-proof), every rule is a
+Batch evaluation attaches the next ``K-1`` events of every event once for all rules
+(:func:`tracehound.operators.ordinal.next_rows`, exact and skew-proof); every rule is a
 Column expression over those structs, hits are collected into an array per event and
 exploded.  No Python runs per row.
 """
@@ -15,7 +15,7 @@ exploded.  No Python runs per row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from ..schema import DETECTION_COLUMNS
 from ..session import materialize as write_and_read
 from .ordinal import next_rows, next_rows_single_window
 
-# fields of an event a rule may look at
+# fields of an event a rule may look at: all of them
 MATCH_FIELDS = (
     "id",
     "ts_ms",
@@ -34,6 +34,9 @@ MATCH_FIELDS = (
     "event_type",
     "status",
     "direction",
+    "bytes",
+    "source_ip",
+    "destination_ip",
     "process_name",
     "user",
 )
@@ -59,6 +62,7 @@ class Rule:
     within_ms: int
     endpoint_step: str
     message: Callable[[dict[str, Column]], Column]
+    cite: tuple[str, ...] | None = None  # steps whose events are listed; all of them if None
 
     def __post_init__(self):
         if not 1 <= self.severity <= 5:
@@ -67,6 +71,12 @@ class Rule:
             raise ValueError("a rule needs at least one step")
         if self.endpoint_step not in {s.name for s in self.steps}:
             raise ValueError(f"unknown endpoint step {self.endpoint_step!r}")
+        if self.cite is not None and not set(self.cite) <= {s.name for s in self.steps}:
+            raise ValueError(f"unknown cited step in {self.cite!r}")
+
+    def citing(self, *steps: str) -> "Rule":
+        """The same rule listing only the events of the named steps."""
+        return replace(self, cite=steps)
 
 
 @dataclass
@@ -196,7 +206,8 @@ def _rule_hit(rule: Rule, steps_structs: list[Column]) -> Column:
     first = steps_structs[0]
     last = steps_structs[len(rule.steps) - 1]
     cond = cond & ((last["ts_ms"] - first["ts_ms"]) < F.lit(rule.within_ms))
-    event_ids = F.concat_ws(",", *[s["id"] for s in steps_structs[: len(rule.steps)]])
+    cited = [s.name for s in rule.steps if rule.cite is None or s.name in rule.cite]
+    event_ids = F.concat_ws(",", *[matched[name]["id"] for name in cited])
     detection = F.struct(
         F.sha2(F.concat(F.lit(rule.rule_id + "|"), event_ids), 256).alias("id"),
         last["timestamp"].alias("timestamp"),

@@ -101,6 +101,29 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app_id)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any file system Spark reads."""
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_children(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Paths of a folder's children whose names start with ``prefix``."""
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith(prefix)] if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder the library itself wrote (no error if there is none)."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def scratch_table_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for an intermediate table under the shared checkpoint folder."""
     import uuid

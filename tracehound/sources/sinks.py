@@ -1,8 +1,9 @@
 """Sinks (S3-S5, S7): stored tables, published detections, CSV export.
 
 Stored tables are Parquet partitioned by ``month`` (``year*100+month`` of ``date``)
-and sorted by (endpoint_id, timestamp) inside each file, so month filters prune
-directories and endpoint/time predicates skip row groups by their statistics.
+and, where they are written in batch, sorted by (endpoint_id, timestamp) inside each file, so
+month filters prune directories and endpoint/time predicates skip row groups by their
+statistics.  Streaming file sinks write unsorted; compaction (L3) sorts them.
 Streaming writes go through a checkpointed ``writeStream``: each micro-batch is one
 atomic append, and a restarted query resumes from the checkpoint without repeats.
 """

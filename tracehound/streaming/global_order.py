@@ -22,85 +22,85 @@ newly released events, so every (rule, start) pair is evaluated once.  Events at
 before the previous release bound are late: dropped from matching (they are still
 stored by the events sink).
 
-All state and outputs are written per batch id (``batch=<id>`` partitions, dynamic
-overwrite), so a replayed batch reproduces and replaces its own output: exactly once.
+Carried rows are bounded: a tail row that lies ``within`` or more before the watermark can
+begin no match any more and is dropped, and so are the state folders of all but the last two
+batches.
+
+A batch is done when its ``meta`` row is written, which happens last; handling a done batch
+again changes nothing, and one that was cut short writes the same partitions again.  The
+detections table (``month``, ``batch`` partitions) therefore holds each detection once.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.parse import with_month
 from ..operators.ordinal import next_rows
 from ..operators.rules import MATCH_FIELDS, Rule, RuleRegistry, _rule_hit
-from ..schema import DETECTION_COLUMNS
+from ..schema import DETECTION_COLUMNS, DETECTIONS
+from ..session import delete_path, path_exists
 
-CARRY_FIELDS = ("id", "ts_ms", "endpoint_id", "event_type", "status", "direction", "process_name", "user")
-CARRY_DDL = (
-    "id string, ts_ms bigint, endpoint_id string, event_type string, status string, "
-    "direction string, process_name string, user string, kind string"
-)
+CARRY_FIELDS = tuple(f for f in MATCH_FIELDS if f != "timestamp")
+CARRY_DDL = ", ".join(f"{f} {'bigint' if f in ('ts_ms', 'bytes') else 'string'}" for f in (*CARRY_FIELDS, "kind"))
 META_DDL = "max_seen bigint, released bigint"
 _NEVER = -(1 << 62)
 
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Store a micro-batch's rows in ``month``/``batch`` partitions; a replay replaces them."""
     (
-        df.withColumn("batch", F.lit(int(batch_id)))
+        with_month(df).withColumn("batch", F.lit(int(batch_id)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
+        .partitionBy("month", "batch")
         .parquet(path)
     )
 
 
-def _read_batch(spark: SparkSession, path: str, batch_id: int, ddl: str) -> DataFrame | None:
-    """The state written by batch ``batch_id`` (None before the first batch).  Works on
-    any Hadoop file system: a missing partition surfaces as an analysis error."""
-    if batch_id < 0:
-        return None
-    try:
-        return spark.read.schema(ddl).parquet(os.path.join(path, f"batch={batch_id}"))
-    except AnalysisException:
-        return None
-
-
 class GlobalRuleBatches:
-    """``foreachBatch`` handler computing global-scope detections per micro-batch."""
+    """``foreachBatch`` handler computing detections per micro-batch (either scope)."""
 
     def __init__(
         self, root: str, registry: RuleRegistry | list[Rule] | None = None, delay_ms: int = 5000,
-        scope: str = "global",
+        scope: str = "global", detections: str | None = None,
     ):
-        registry = registry or RuleRegistry.default()
+        registry = RuleRegistry.default() if registry is None else registry
         self.rules = registry.rules if isinstance(registry, RuleRegistry) else list(registry)
-        self.k = max(len(r.steps) for r in self.rules) - 1
+        self.k = max((len(r.steps) for r in self.rules), default=1) - 1
+        self.within_ms = max((r.within_ms for r in self.rules), default=0)
         self.delay_ms = int(delay_ms)
         if scope not in ("global", "endpoint"):
             raise ValueError("scope must be 'global' or 'endpoint'")
         self.partition = ("endpoint_id",) if scope == "endpoint" else ()
-        self.detections = os.path.join(root, f"detections_{scope}")
+        self.detections = detections or os.path.join(root, f"detections_{scope}")
         self.state = os.path.join(root, f"_{scope}_state", "carry")
         self.meta = os.path.join(root, f"_{scope}_state", "meta")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if path_exists(batch.sparkSession, os.path.join(self._of(self.meta, batch_id), "_SUCCESS")):
+            return  # a replay of a batch that is done
         batch = batch.persist()  # read once per micro-batch, used by several jobs
         try:
             self._process(batch, batch_id)
         finally:
             batch.unpersist()
 
+    @staticmethod
+    def _of(path: str, batch_id: int) -> str:
+        return os.path.join(path, f"batch={int(batch_id)}")
+
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carry = _read_batch(spark, self.state, batch_id - 1, CARRY_DDL)
-        meta = _read_batch(spark, self.meta, batch_id - 1, META_DDL)
+        carry = spark.createDataFrame([], CARRY_DDL)
         max_seen, released = (_NEVER, _NEVER)
-        if meta is not None:
-            row = meta.first()  # one row
+        if batch_id > 0:  # only the first batch has no state before it
+            carry = spark.read.schema(CARRY_DDL).parquet(self._of(self.state, batch_id - 1))
+            row = spark.read.schema(META_DDL).parquet(self._of(self.meta, batch_id - 1)).first()
             max_seen, released = row.max_seen, row.released
         new = batch.select(
             *[F.col(c) for c in CARRY_FIELDS if c != "ts_ms"], F.unix_millis("timestamp").alias("ts_ms")
@@ -109,8 +109,6 @@ class GlobalRuleBatches:
         if top is not None:
             max_seen = max(max_seen, int(top))
         wm = max_seen - self.delay_ms if max_seen != _NEVER else _NEVER
-        empty = spark.createDataFrame([], CARRY_DDL)
-        carry = carry if carry is not None else empty
         pending = carry.where(F.col("kind") == "pending").drop("kind").unionByName(new.select(*CARRY_FIELDS))
         tail = carry.where(F.col("kind") == "tail").drop("kind")
         release = pending.where(F.col("ts_ms") <= F.lit(wm))
@@ -121,39 +119,49 @@ class GlobalRuleBatches:
             .unionByName(release.withColumn("_tail", F.lit(False)))
             .withColumn("timestamp", F.timestamp_millis("ts_ms"))
         )
-        n_released = release.count()
-        new_tail = tail
-        if n_released:
+        new_tail, with_next = tail, None
+        if release.count():
             payload = [*MATCH_FIELDS, "_tail"]
-            with_next = next_rows(seq, ("ts_ms", "id"), self.k, payload, self.partition, prefix="_n")
+            if self.k:
+                with_next = next_rows(seq, ("ts_ms", "id"), self.k, payload, self.partition, prefix="_n").persist()
+                # rows with fewer than k successors (per endpoint in that scope)
+                new_tail = with_next.where(F.col(f"_n{self.k}").isNull()).select(*CARRY_FIELDS)
+            else:
+                with_next = seq.persist()
+                new_tail = with_next.where(F.lit(False)).select(*CARRY_FIELDS)
             current = F.struct(*[F.col(c) for c in payload])
             structs = [current] + [F.col(f"_n{i}") for i in range(1, self.k + 1)]
 
             def last_step_is_new(m: int):
                 return F.coalesce(~structs[m - 1]["_tail"], F.lit(False))
 
-            hits = F.array(
-                *[F.when(last_step_is_new(len(r.steps)), _rule_hit(r, structs)) for r in self.rules]
-            )
-            det = (
-                with_next.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("d"))
-                .select("d.*")
-                .withColumn("date", F.to_date("timestamp"))
-                .select(*DETECTION_COLUMNS)
-            )
-            _write(det, self.detections, batch_id)
-            # the new tail: rows with fewer than k successors (per endpoint in that scope)
-            if self.k:
-                new_tail = with_next.where(F.col(f"_n{self.k}").isNull()).select(*CARRY_FIELDS)
-            else:
-                new_tail = with_next.where(F.lit(False)).select(*CARRY_FIELDS)
+            if self.rules:
+                hits = F.array(
+                    *[F.when(last_step_is_new(len(r.steps)), _rule_hit(r, structs)) for r in self.rules]
+                )
+                det = (
+                    with_next.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("d"))
+                    .select("d.*")
+                    .withColumn("date", F.to_date("timestamp"))
+                    .select(*DETECTION_COLUMNS)
+                )
+                write_batch(det, self.detections, batch_id)
             released = max(released, wm)
-        state = hold.withColumn("kind", F.lit("pending")).unionByName(new_tail.withColumn("kind", F.lit("tail")))
-        _write(state, self.state, batch_id)
-        _write(spark.createDataFrame([(int(max_seen), int(released))], META_DDL), self.meta, batch_id)
+        live_tail = new_tail.where(F.col("ts_ms") > F.lit(wm - self.within_ms))
+        state = hold.withColumn("kind", F.lit("pending")).unionByName(live_tail.withColumn("kind", F.lit("tail")))
+        state.write.mode("overwrite").parquet(self._of(self.state, batch_id))
+        meta = spark.createDataFrame([(int(max_seen), int(released))], META_DDL)
+        meta.write.mode("overwrite").parquet(self._of(self.meta, batch_id))
+        if with_next is not None:
+            with_next.unpersist()
+        for path in (self.state, self.meta):  # a replay needs the batch before, nothing older
+            if batch_id > 1:
+                delete_path(spark, self._of(path, batch_id - 2))
 
     def read_detections(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.detections).drop("batch").select(*DETECTION_COLUMNS)
+        if not path_exists(spark, self.detections):
+            return spark.createDataFrame([], DETECTIONS)
+        return spark.read.schema(DETECTIONS).parquet(self.detections).select(*DETECTION_COLUMNS)
 
 
 def start_global_rules(

@@ -30,11 +30,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rules import Rule, RuleRegistry, _rule_hit
-from ..schema import DETECTION_COLUMNS
+from ..schema import DETECTION_COLUMNS, DETECTIONS
 from ..session import ship_package
 
-BUFFER_FIELDS = ("id", "ts_ms", "endpoint_id", "event_type", "status", "direction", "process_name", "user")
-_TYPES = {"ts_ms": T.LongType()}
+BUFFER_FIELDS = (
+    "id", "ts_ms", "endpoint_id", "event_type", "status", "direction", "bytes", "source_ip", "destination_ip",
+    "process_name", "user",
+)
+_TYPES = {"ts_ms": T.LongType(), "bytes": T.LongType()}
 
 STATE_SCHEMA = T.StructType(
     [T.StructField(f, _TYPES.get(f, T.StringType()), True) for f in BUFFER_FIELDS]
@@ -175,6 +178,8 @@ def stream_rules(
     if registry is None:
         registry = RuleRegistry.default()
     rules = registry.rules if isinstance(registry, RuleRegistry) else list(registry)
+    if not rules:  # no rules, no detections; the stream keeps its schema
+        return events.where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in DETECTIONS.fields])
     k = max(len(r.steps) for r in rules) - 1
     ship_package(events.sparkSession)
     src = events

@@ -3,25 +3,25 @@ detections, published alerts, incremental views, live feeds and dashboard snapsh
 
 Queries (each with its own checkpoint under ``root/_checkpoints``):
 
-``events``      raw -> parse -> normalise -> events table (file sink, exactly once).
-                Late events are stored too: no stateful operator precedes this sink.
-``quarantine``  text that is not JSON -> quarantine files (instead of failing the job).
-``detections``  raw -> parse -> normalise -> ordering buffer + rules -> detections
-                table (file sink, exactly once; detection ids are deterministic).
+``job``         one query over the raw messages: each micro-batch is parsed once and feeds the
+                events table, the quarantine folder and the rules, which write the
+                detections table.  All are ``batch`` partitions that a replay replaces.
+                Late events are stored too; only matching drops them.
 ``publish``     detections table as a stream -> JSON text (``ruleId`` etc.) -> topic
                 or files (at least once; consumers dedupe by ``id``).
 ``rollups``     per micro-batch rollups of events and detections -> ``batch=<id>``
-                partitions (idempotent on replay) -> summary views on demand.
-``live``        every ``refresh`` trigger: newest 20 events/detections and one
-                dashboard snapshot row appended to the snapshot table.
+                partitions (idempotent on replay, folded from time to time) -> summary views.
+``live``        every ``refresh``, with or without new events: newest 20 events and
+                detections, and one dashboard snapshot row appended to the snapshot table.
 
-Reading the detections table as a stream decouples publication and views from the
-stateful rule query, so the rule state is computed once.
+With ``impl="state"`` the rules are the keyed ordering buffer instead, and events, quarantine
+and detections are three file-sink queries.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.parse import normalize_events, parse_events_with_quarantine, with_month
+from ..functions.parse import normalize_events, parse_staged, parse_events_with_quarantine, stage, with_month
 from ..operators.rules import RuleRegistry
 from ..operators.sorting import latest
 from ..plans.dashboard import dashboard_snapshot
 from ..schema import DETECTIONS, EVENTS
-from ..session import configure
+from ..session import configure, delete_path, list_children, path_exists
+from ..sources.events import load_table
 from ..sources.sinks import publish_detections, write_detections, write_events
 from . import rollups as RU
-from .global_order import start_global_rules
+from .global_order import GlobalRuleBatches, write_batch
 from .ordering import stream_rules
 
 
+KEEP_LIVE_NS = 60 * 10**9  # replaced live lists stay this long for readers that still have them open
+
+
 @dataclass(frozen=True)
 class Layout:
     """Folder layout of one deployment under a shared root."""
@@ -114,38 +118,46 @@ def start_event_store(raw: DataFrame, layout: Layout, trigger: dict | None = Non
     return {"events": q_events, "quarantine": q_bad}
 
 
-def start_rules(
-    raw: DataFrame,
-    layout: Layout,
-    registry: RuleRegistry | None = None,
-    scope: str = "endpoint",
-    trigger: dict | None = None,
-    delay: str = "5 seconds",
-    impl: str = "micro_batch",
-) -> StreamingQuery | list[StreamingQuery]:
-    """Rule matching into the detections table.
-
-    ``impl="micro_batch"`` (default): each micro-batch goes through the distributed
-    ordinal with a small carried state (no single-key bottleneck for the global scope,
-    no hot task for a hot endpoint); its per-batch output is then streamed into the
-    month-partitioned detections table by a file sink.  ``impl="state"``: the keyed
-    ordering buffer (``transformWithStateInPandas``) keyed by endpoint, or by one key
-    for the global scope.
-    """
+class Job:
+    """``foreachBatch`` handler of the whole job: one parse feeds store, quarantine and rules."""
+
+    def __init__(self, layout: Layout, rules: GlobalRuleBatches):
+        self.layout, self.rules = layout, rules
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        staged = stage(batch.select("value")).persist()
+        try:
+            good, bad = parse_staged(staged)
+            events = normalize_events(good)
+            write_batch(events, self.layout.events, batch_id)
+            bad.select("value").write.mode("overwrite").text(os.path.join(self.layout.quarantine, f"batch={int(batch_id)}"))
+            self.rules(events, batch_id)
+        finally:
+            staged.unpersist()
+
+
+def start_job(
+    raw: DataFrame, layout: Layout, registry: RuleRegistry | None = None, scope: str = "endpoint",
+    trigger: dict | None = None, delay: str = "5 seconds",
+) -> tuple[StreamingQuery, Job]:
+    """Store, quarantine and rules as one query over the raw messages."""
+    job = Job(layout, GlobalRuleBatches(layout.root, registry, _duration_ms(delay), scope, layout.detections))
+    query = (
+        raw.writeStream.foreachBatch(job)
+        .option("checkpointLocation", layout.checkpoint("job"))
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
+    )
+    return query, job
+
+
+def start_keyed_rules(
+    raw: DataFrame, layout: Layout, registry: RuleRegistry | None = None, scope: str = "endpoint",
+    trigger: dict | None = None, delay: str = "5 seconds",
+) -> StreamingQuery:
+    """Rule matching by the keyed ordering buffer (``transformWithStateInPandas``), keyed by
+    endpoint, or by one key for the global scope."""
     events, _ = normalized_stream(raw)
-    if impl == "micro_batch":
-        spark = events.sparkSession
-        schema = _with_batch_schema(DETECTIONS)
-        q_rules, handler = start_global_rules(
-            events, layout.root, registry, _duration_ms(delay), trigger or {"processingTime": "10 seconds"}, scope
-        )
-        # the per-batch folder must exist before a stream can read it (any file system)
-        spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(handler.detections)
-        if trigger and trigger.get("availableNow"):
-            q_rules.awaitTermination()  # a one-shot run: the copy below then sees every batch
-        per_batch = spark.readStream.schema(schema).parquet(handler.detections).drop("batch")
-        q_copy = write_detections(per_batch, layout.detections, layout.checkpoint("detections"), trigger)
-        return [q_rules, q_copy]
     det = stream_rules(events, registry, scope, delay)
     return write_detections(det, layout.detections, layout.checkpoint("detections"), trigger)
 
@@ -157,8 +169,11 @@ def _duration_ms(text: str) -> int:
     return int(float(amount) * scale)
 
 
-def _with_batch_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
+def create_tables(spark: SparkSession, layout: Layout) -> None:
+    """Empty folders for the stored tables, so that streams can follow them from the start."""
+    for path, schema in ((layout.events, EVENTS), (layout.detections, DETECTIONS)):
+        if not path_exists(spark, path):
+            with_month(spark.createDataFrame([], schema)).write.mode("append").partitionBy("month").parquet(path)
 
 
 def detections_stream(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -183,9 +198,11 @@ def start_rollups(spark: SparkSession, layout: Layout, trigger: dict | None = No
 
     def events_batch(df: DataFrame, batch_id: int) -> None:
         RU.write_partial(RU.event_rollup(df), layout.event_rollup, batch_id)
+        RU.compact_rollup(spark, layout.event_rollup, batch_id, "events")
 
     def detections_batch(df: DataFrame, batch_id: int) -> None:
         RU.write_partial(RU.detection_rollup(df), layout.detection_rollup, batch_id)
+        RU.compact_rollup(spark, layout.detection_rollup, batch_id, "detections")
 
     t = trigger or {"processingTime": "1 second"}
     q_e = (
@@ -206,48 +223,80 @@ def current_views(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
     return RU.views_from_rollups(er, dr)
 
 
-def _refresh_latest(spark: SparkSession, fresh: DataFrame, path: str, n: int) -> None:
-    """Keep the newest ``n`` rows at ``path``: merge the batch's top-n with the held
-    top-n.  Both inputs are bounded by ``n`` rows, so the merged list is collected (at
-    most 2n rows) and rewritten; the table is never read and overwritten in one job."""
-    top = latest(fresh, n)
-    try:
-        held = spark.read.parquet(path)
-        top = latest(top.unionByName(held.select(*top.columns)), n)
-    except Exception:  # noqa: BLE001 - first refresh: nothing held yet
-        pass
-    rows = top.collect()
-    spark.createDataFrame(rows, top.schema).write.mode("overwrite").parquet(path)
+def stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A stored table, empty before anything is stored."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], EVENTS if table == "events" else DETECTIONS)
+    return load_table(spark, path, table)
+
+
+def live_list(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The last complete live list: each refresh is an ``at=<number>`` partition of its own, so a
+    reader never meets one that is being replaced."""
+    schema = EVENTS if table == "events" else DETECTIONS
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("at", T.LongType())])).parquet(path)
+    last = rows.agg(F.max("at")).first()[0]
+    return rows.where(F.col("at") == F.lit(last)).select(*schema.fieldNames())
+
+
+def _newest(spark: SparkSession, path: str, table: str, held_path: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of a stored table, kept at ``held_path``.
+
+    Once ``n`` rows are held, only months and rows from the oldest held one on are read: rows
+    before it cannot be among the newest any more.  At most ``n`` rows pass the driver."""
+    rows = stored(spark, path, table)
+    held = live_list(spark, held_path, table).agg(F.count("*").alias("n"), F.min("timestamp").alias("t")).first()
+    if held["n"] >= n:
+        rows = rows.where(F.col("timestamp") >= F.lit(held["t"]))
+        if "month" in rows.columns:
+            rows = rows.where(F.col("month") >= F.lit(held["t"].year * 100 + held["t"].month))
+    schema = EVENTS if table == "events" else DETECTIONS
+    top = spark.createDataFrame(latest(rows.select(*schema.fieldNames()), n).collect(), schema)
+    now = time.time_ns()
+    top.coalesce(1).withColumn("at", F.lit(now)).write.mode("append").partitionBy("at").parquet(held_path)
+    for old in list_children(spark, held_path, "at="):
+        if int(old.rpartition("=")[2]) < now - KEEP_LIVE_NS:
+            delete_path(spark, old)
+    return top
+
+
+def refresh_live(spark: SparkSession, layout: Layout, n: int = 20, as_of: str | None = None) -> None:
+    """One refresh of the live lists and one dashboard snapshot, from the stored tables.
+
+    Views come from the rollups; before the first rollup they are derived from the tables."""
+    configure(spark)
+    recent = _newest(spark, layout.events, "events", layout.live_events, n)
+    alerts = _newest(spark, layout.detections, "detections", layout.live_detections, n)
+    if path_exists(spark, layout.event_rollup):
+        views = current_views(spark, layout)
+    else:
+        views = RU.views_from_rollups(
+            RU.event_rollup(stored(spark, layout.events, "events")),
+            RU.detection_rollup(stored(spark, layout.detections, "detections")),
+        )
+    snap = dashboard_snapshot(recent, alerts, as_of or F.current_timestamp(), views)
+    snap.coalesce(1).write.mode("append").parquet(layout.snapshots)
+
+
+def prune_snapshots(spark: SparkSession, layout: Layout, keep_days: int, today) -> None:
+    """Keep the snapshots of the last ``keep_days`` days (rewritten to a folder beside, then swapped)."""
+    fresh = f"{layout.snapshots}_kept"
+    spark.read.parquet(layout.snapshots).where(F.col("snapshot_date") > F.date_sub(F.lit(today), keep_days)).write.mode("overwrite").parquet(fresh)
+    spark.read.parquet(fresh).write.mode("overwrite").parquet(layout.snapshots)
+    delete_path(spark, fresh)
 
 
 def start_live(
     spark: SparkSession, layout: Layout, refresh: str = "5 seconds", n: int = 20, as_of: str | None = None,
-    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """On every trigger refresh the live lists and append a dashboard snapshot."""
-
-    def live_batch(df: DataFrame, batch_id: int) -> None:
-        configure(spark)
-        _refresh_latest(spark, df.drop("month"), layout.live_events, n)
-        try:
-            det = spark.read.parquet(layout.detections).drop("month")
-        except Exception:  # noqa: BLE001 - no detections yet
-            det = spark.createDataFrame([], DETECTIONS)
-        try:
-            views = current_views(spark, layout)
-        except Exception:  # noqa: BLE001 - rollups not written yet
-            views = None
-        ev_recent = spark.read.parquet(layout.live_events)
-        det_recent = latest(det, n)
-        det_recent.write.mode("overwrite").parquet(layout.live_detections)
-        stamp = as_of or F.current_timestamp()
-        snap = dashboard_snapshot(ev_recent, spark.read.parquet(layout.live_detections), stamp, views)
-        snap.write.mode("append").parquet(layout.snapshots)
-
+    """Refresh by the clock, whether or not events arrive."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
     return (
-        events_stream(spark, layout).writeStream.foreachBatch(live_batch)
+        clock.writeStream.foreachBatch(lambda _, __: refresh_live(spark, layout, n, as_of))
         .option("checkpointLocation", layout.checkpoint("live"))
-        .trigger(**(trigger or {"processingTime": refresh})).start()
+        .trigger(processingTime=refresh).start()
     )
 
 
@@ -258,29 +307,29 @@ def run_pipeline(
     registry: RuleRegistry | None = None,
     scope: str = "endpoint",
     trigger: dict | None = None,
+    impl: str = "micro_batch",
 ) -> dict[str, StreamingQuery]:
-    """Start the store and rule queries over ``raw`` (a streaming ``value`` frame).
+    """Start the job over ``raw`` (a streaming ``value`` frame).
 
     Downstream queries (publisher, rollups, live) read the stored tables; start them
-    with :func:`start_publisher`, :func:`start_rollups` and :func:`start_live` once the
-    tables exist.
+    with :func:`start_publisher`, :func:`start_rollups` and :func:`start_live`.
     """
     configure(spark)
     layout = Layout(root)
-    out = start_event_store(raw, layout, trigger)
-    rules = start_rules(raw, layout, registry, scope, trigger)
-    if isinstance(rules, list):
-        out["rules"], out["detections"] = rules
-    else:
-        out["detections"] = rules
-    return out
+    create_tables(spark, layout)
+    if impl == "micro_batch":
+        return {"job": start_job(raw, layout, registry, scope, trigger)[0]}
+    return {**start_event_store(raw, layout, trigger), "detections": start_keyed_rules(raw, layout, registry, scope, trigger)}
 
 
 __all__ = [
     "Layout",
     "run_pipeline",
     "start_event_store",
-    "start_rules",
+    "start_job",
+    "start_keyed_rules",
+    "refresh_live",
+    "live_list",
     "start_publisher",
     "start_rollups",
     "start_live",

@@ -3,7 +3,7 @@
 Each micro-batch's rollup is appended into its own ``batch=<id>`` partition with
 dynamic partition overwrite, so a replayed batch replaces itself (exactly once).
 Readers merge partials with a second-level ``groupBy`` (the summing-table semantics);
-:func:`compact_rollup` folds them into one partition.  The rollup builders and the
+:func:`compact_rollup` folds them from time to time.  The rollup builders and the
 views derived from rollups live in ``operators.rollups``.
 """
 
@@ -28,6 +28,8 @@ from ..operators.rollups import (  # noqa: F401  (re-exported)
     user_events,
     views_from_rollups,
 )
+from ..schema import DETECTIONS, EVENTS
+from ..session import delete_path, path_exists
 
 
 # ------------------------------------------------------------------ upkeep
@@ -45,12 +47,26 @@ def write_partial(rollup: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_rollup(spark: SparkSession, path: str, kind: str = "events") -> DataFrame:
-    raw = spark.read.parquet(path).drop("batch")
+    """The merged partials; an empty rollup where none has been written."""
+    raw = event_rollup(spark.createDataFrame([], EVENTS)) if kind == "events" else detection_rollup(spark.createDataFrame([], DETECTIONS))
+    if path_exists(spark, path):
+        raw = spark.read.parquet(path).drop("batch")
     return merge_event_rollup(raw) if kind == "events" else merge_detection_rollup(raw)
 
 
-def compact_rollup(spark: SparkSession, path: str, out_path: str, kind: str = "events") -> DataFrame:
-    """Fold all batch partials into one partition at ``out_path`` (M2)."""
-    merged = read_rollup(spark, path, kind)
-    merged.withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("batch").parquet(out_path)
-    return merged
+def compact_rollup(spark: SparkSession, path: str, batch_id: int, kind: str = "events", every: int = 50) -> None:
+    """M2: after each ``every``-th batch fold that batch and the ones before it into its own
+    partition and drop the others.
+
+    The folded rows are written to a folder beside the table first, so a replay starts from
+    complete partials; at no time does a reader miss or double a batch for longer than the
+    swap of one partition."""
+    if batch_id % every or not batch_id:
+        return
+    done = f"{path}_folded"
+    if not path_exists(spark, f"{done}/batch={batch_id}/_SUCCESS"):
+        read_rollup(spark, path, kind).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+    write_partial(spark.read.parquet(f"{done}/batch={batch_id}"), path, batch_id)
+    for old in range(max(0, batch_id - 2 * every), batch_id):
+        delete_path(spark, f"{path}/batch={old}")
+    delete_path(spark, f"{done}/batch={batch_id - every}")

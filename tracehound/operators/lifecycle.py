@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_ts
+from ..session import delete_path, list_children
 from .views import latest_by_key
 
 # Retention of the stored tables in days.
@@ -19,21 +20,45 @@ DETECTIONS_TTL_DAYS = 90
 def apply_retention(df: DataFrame, days: int, as_of: str | datetime, col: str = "date") -> DataFrame:
     """L1: keep rows whose expiry (midnight of ``date + days``) is not before ``as_of``.
 
-    With a ``month`` partition column the predicate also prunes whole months: every
-    month strictly before the cut-off month is skipped without reading it.
+    The predicate compares the bare column with one day, so it prunes row groups; with a
+    ``month`` partition column it also skips every month before the first kept day's.
     """
-    cutoff = to_ts(as_of)
-    keep = F.date_add(F.col(col), days).cast("timestamp") >= cutoff
+    first_kept = first_kept_day(days, as_of)
+    keep = F.col(col) >= first_kept
     if "month" in df.columns:
-        first_kept_day = F.date_sub(F.to_date(cutoff), days)
-        keep = keep & (F.col("month") >= (F.year(first_kept_day) * 100 + F.month(first_kept_day)))
+        keep = keep & (F.col("month") >= _month(first_kept))
     return df.where(keep)
 
 
+def first_kept_day(days: int, as_of: str | datetime) -> Column:
+    """The earliest date whose midnight ``days`` later is not before ``as_of``."""
+    return F.date_sub(F.to_date(to_ts(as_of) + F.expr("INTERVAL 1 DAY - INTERVAL 1 MICROSECOND")), days)
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 100 + F.month(day)
+
+
+def expire(spark: SparkSession, path: str, days: int, as_of: str | datetime) -> list[int]:
+    """L1 on a stored table: remove the folders of wholly expired months; returns those months.
+
+    Expired days of the first kept month stay on disk until the month has expired and are
+    left out by :func:`apply_retention`."""
+    limit = spark.range(1).select(_month(first_kept_day(days, as_of))).first()[0]
+    gone = []
+    for folder in list_children(spark, path, "month="):
+        month = int(folder.rpartition("=")[2])
+        if month < limit:
+            delete_path(spark, folder)
+            gone.append(month)
+    return sorted(gone)
+
+
 def truncate_tables(spark: SparkSession, tables: Iterable[tuple[str, DataFrame]], fmt: str = "parquet") -> None:
-    """L2: empty every table, keeping its schema (overwrite with zero rows)."""
+    """L2: empty every table, keeping its schema and, where it has months, its layout."""
     for path, df in tables:
-        spark.createDataFrame([], df.schema).write.mode("overwrite").format(fmt).save(path)
+        writer = spark.createDataFrame([], df.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
+        (writer.partitionBy("month") if "month" in df.columns else writer).save(path)
 
 
 def compact(
@@ -45,7 +70,8 @@ def compact(
 ) -> DataFrame:
     """L3: collapse replaced rows (latest version per key) and optionally write them.
 
-    Output goes to a new location: Spark cannot overwrite the path it is reading.
+    Output goes to a new location: Spark cannot overwrite the path it is reading.  Use
+    :func:`compact_months` for a stored table.
     """
     out = latest_by_key(df, keys, version)
     if out_path:
@@ -54,3 +80,25 @@ def compact(
             w = w.partitionBy(*partition_by)
         w.parquet(out_path)
     return out
+
+
+def compact_months(
+    spark: SparkSession, path: str, table: str, keys: str | Sequence[str], version: str | Sequence[str], months: Sequence[int],
+) -> None:
+    """L3 on a stored table: collapse replaced rows of the given months and replace just those
+    partitions, sorted and in few files.
+
+    The compacted rows are written beside the table before any partition is replaced."""
+    from ..sources.events import load_table
+    from ..sources.sinks import SORT_KEYS
+
+    beside = f"{path.rstrip('/')}_compacting"
+    part = F.col("month").isin(list(months))
+    latest_by_key(load_table(spark, path, table).where(part), keys, version).write.mode("overwrite").partitionBy("month").parquet(beside)
+    fresh = spark.read.parquet(beside)
+    # `beside` holds no other month, so a dynamic overwrite leaves the other months alone
+    (
+        fresh.repartition(len(months), "month").sortWithinPartitions("month", *SORT_KEYS[table])
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    )
+    delete_path(spark, beside)

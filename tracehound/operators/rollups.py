@@ -1,8 +1,8 @@
 """Rollups from which the summary views derive (M3, M4).
 
 Every event view (A3, A4, A6, A7, A15) can be derived exactly from one rollup keyed by
-(endpoint_id, user, date, event_type) holding count, first/last seen and the first
-event; every detection view (A1, A2, A5) from a rollup keyed by (endpoint_id, date,
+(endpoint_id, user, date, event_type) holding count and first/last seen (fixed-width
+buffers, so the aggregation over all events hashes); every detection view (A1, A2, A5) from a rollup keyed by (endpoint_id, date,
 severity, rule_id).  Distinct counts stay exact because the distinct values are part
 of the rollup key.  A rollup is far smaller than the table it summarises.
 
@@ -30,7 +30,6 @@ def event_rollup(ev: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
-        F.min(F.struct("timestamp", "id")).alias("first_event"),
     )
 
 
@@ -46,7 +45,6 @@ def merge_event_rollup(er: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.min("first_event").alias("first_event"),
     )
 
 
@@ -84,7 +82,7 @@ def user_events(er: DataFrame) -> DataFrame:
 def endpoint_details_view(er: DataFrame, k: int = 10) -> DataFrame:
     """A6 from the event rollup."""
     agg = er.groupBy("endpoint_id").agg(
-        F.min_by("user", "first_event").alias("primary_user"),
+        F.min_by("user", F.struct("first_seen", "user")).alias("primary_user"),
         F.max("last_seen").alias("last_seen"),
         F.sum("n").cast("bigint").alias("total_events"),
         F.count_distinct("event_type").alias("unique_event_types"),

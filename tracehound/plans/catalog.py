@@ -467,7 +467,7 @@ def q_list_users(spark, sf_dir):
 
 def _endpoint_part(part: str):
     def fn(spark, sf_dir):
-        out = R.endpoint_details(events(spark, sf_dir), detections(spark, sf_dir), ENDPOINT)[part]
+        out = R.endpoint_details(events(spark, sf_dir), lambda: detections(spark, sf_dir), ENDPOINT)[part]
         if part == "details":
             out = out.withColumn("recent_event_types", F.array_join("recent_event_types", ","))
         if part == "detections":
@@ -494,7 +494,7 @@ for _part, _sql in _ENDPOINT_SQL.items():
 
 def _user_part(part: str):
     def fn(spark, sf_dir):
-        out = R.user_details(events(spark, sf_dir), detections(spark, sf_dir), USER)[part]
+        out = R.user_details(events(spark, sf_dir), lambda: detections(spark, sf_dir), USER)[part]
         if part == "details":
             out = out.withColumn("recent_endpoints", F.array_join("recent_endpoints", ","))
         if part == "detections":
@@ -780,3 +780,7 @@ def q_dashboard_zip_active_endpoints(spark, sf_dir):
     return zipped.select(F.posexplode("records").alias("pos", "r")).select(
         (F.col("pos") + 1).cast("int").alias("rank"), "r.endpoint_id", "r.user", "r.event_count"
     )
+
+
+# queries that go through stored tables, the stream job and rollups
+from . import stored  # noqa: E402, F401

@@ -113,7 +113,7 @@ a5 AS (SELECT p."user", d.date, d.severity, d.rule_id, count(*) detection_count
        FROM det d JOIN (SELECT DISTINCT "user", endpoint_id FROM ev2 WHERE "user" <> '') p
          ON d.endpoint_id = p.endpoint_id
        GROUP BY p."user", d.date, d.severity, d.rule_id),
-a6 AS (SELECT endpoint_id, first("user" ORDER BY "timestamp", id) primary_user,
+a6 AS (SELECT endpoint_id, first("user" ORDER BY "timestamp", "user") primary_user,
          max("timestamp") last_seen, count(*) total_events,
          count(DISTINCT event_type) unique_event_types, count(DISTINCT "user") unique_users,
          list_sort(list_distinct(list(event_type)))[1:10] recent_event_types

@@ -1,6 +1,6 @@
 """Request-level queries of the investigation service (Q1-Q4, Q7-Q11).
 
-Each request is one Spark plan (or a dict of independent plans) over the stored
+Each request is one Spark plan (or a mapping of independent plans) over the stored
 tables: filters reach the scan, paging is a top-k, and the detection -> events lookup
 is a single join instead of one query per detection.  Per-entity requests filter the
 events *before* aggregating, so a detail page reads one endpoint's or one user's rows.
@@ -8,6 +8,7 @@ events *before* aggregating, so a detail page reads one endpoint's or one user's
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -90,30 +91,51 @@ def list_users(ev: DataFrame) -> DataFrame:
     ).orderBy(F.col("last_seen").desc(), F.col("user"))
 
 
-def endpoint_details(ev: DataFrame, det: DataFrame, endpoint_id: str) -> dict[str, DataFrame]:
+class Parts(Mapping):
+    """Named answers of one request; each is planned when it is asked for, so an answer that
+    needs no detections plans (and runs) none."""
+
+    def __init__(self, parts: dict[str, Callable[[], DataFrame]]):
+        self._parts = parts
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._parts[name]()
+
+    def __iter__(self):
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
+def _frame(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    return df if isinstance(df, DataFrame) else df()
+
+
+def endpoint_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], endpoint_id: str) -> Mapping[str, DataFrame]:
     """Q8: details, eventSummary, events, detectionSummary, detections of one endpoint."""
     mine = ev.where(F.col("endpoint_id") == F.lit(endpoint_id))
-    my_det = det.where(F.col("endpoint_id") == F.lit(endpoint_id))
-    details = V.endpoint_details_view(mine, write_rollup=False).select(
-        "endpoint_id",
-        F.col("primary_user").alias("user"),
-        "last_seen",
-        F.col("total_events").alias("event_count"),
-        "unique_event_types",
-        "unique_users",
-        "recent_event_types",
-    )
-    summary = V.endpoint_event_summary(V.endpoint_events(mine)).orderBy(
-        F.col("event_count").desc(), F.col("event_type")
-    )
-    det_summary = V.endpoint_detection_summary(V.endpoint_detections(my_det))
-    return {
-        "details": details,
-        "eventSummary": summary,
-        "events": latest(mine, DETAIL_ROWS),
-        "detectionSummary": det_summary,
-        "detections": attach_events(latest(my_det, DETAIL_ROWS), ev),
-    }
+
+    def my_det() -> DataFrame:
+        return _frame(det).where(F.col("endpoint_id") == F.lit(endpoint_id))
+
+    return Parts({
+        "details": lambda: V.endpoint_details_view(mine, write_rollup=False).select(
+            "endpoint_id",
+            F.col("primary_user").alias("user"),
+            "last_seen",
+            F.col("total_events").alias("event_count"),
+            "unique_event_types",
+            "unique_users",
+            "recent_event_types",
+        ),
+        "eventSummary": lambda: V.endpoint_event_summary(V.endpoint_events(mine)).orderBy(
+            F.col("event_count").desc(), F.col("event_type")
+        ),
+        "events": lambda: latest(mine, DETAIL_ROWS),
+        "detectionSummary": lambda: V.endpoint_detection_summary(V.endpoint_detections(my_det())),
+        "detections": lambda: attach_events(latest(my_det(), DETAIL_ROWS), ev),
+    })
 
 
 def user_recent_endpoints(ev: DataFrame, user: str, k: int = 10) -> DataFrame:
@@ -124,52 +146,56 @@ def user_recent_endpoints(ev: DataFrame, user: str, k: int = 10) -> DataFrame:
     )
 
 
-def user_details(ev: DataFrame, det: DataFrame, user: str) -> dict[str, DataFrame]:
+def user_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], user: str) -> Mapping[str, DataFrame]:
     """Q10: details, eventSummary, events, detectionSummary, endpoints, detections of a user.
 
-    The endpoint hop (J5) is a semi join against at most 10 endpoint ids, so the
-    endpoint-detail aggregation reads only those endpoints' events.
+    The endpoint hop (J5) is a semi join against at most 10 endpoint ids.
     """
     mine = ev.where((F.col("user") == F.lit(user)) & (F.col("user") != ""))
-    details = V.user_details_view(mine, write_rollup=False).select(
-        "user",
-        "last_seen",
-        F.col("total_events").alias("event_count"),
-        "unique_event_types",
-        "unique_endpoints",
-        "recent_endpoints",
-    )
-    summary = V.user_event_summary(V.user_events(mine)).orderBy(
-        F.col("event_count").desc(), F.col("event_type")
-    )
-    # detections reach a user through every endpoint the user was seen on
-    user_pairs = V.user_endpoint_pairs(mine)
-    per_user = (
-        det.join(user_pairs.select("endpoint_id"), "endpoint_id", "left_semi")  # this user's endpoints only
-        .groupBy("endpoint_id", F.to_date("timestamp").alias("date"), "severity", "rule_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(user_pairs, "endpoint_id")
-        .groupBy("user", "date", "severity", "rule_id")
-        .agg(F.sum("_n").alias("detection_count"))
-    )
-    det_summary = V.user_detection_summary(per_user)
-    eps = user_recent_endpoints(ev, user)
-    ep_events = ev.join(F.broadcast(eps), "endpoint_id", "left_semi")  # <= 10 ids
-    endpoints = V.endpoint_details_view(ep_events, write_rollup=False).select(
-        "endpoint_id",
-        F.col("primary_user").alias("user"),
-        "last_seen",
-        F.col("total_events").alias("event_count"),
-    )
-    ep_det = det.join(F.broadcast(eps), "endpoint_id", "left_semi")
-    return {
-        "details": details,
-        "eventSummary": summary,
-        "events": latest(mine, DETAIL_ROWS),
-        "detectionSummary": det_summary,
+
+    def detection_summary() -> DataFrame:
+        # detections reach a user through every endpoint the user was seen on
+        user_pairs = V.user_endpoint_pairs(mine)
+        per_user = (
+            _frame(det).join(user_pairs.select("endpoint_id"), "endpoint_id", "left_semi")  # this user's endpoints only
+            .groupBy("endpoint_id", F.to_date("timestamp").alias("date"), "severity", "rule_id")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .join(user_pairs, "endpoint_id")
+            .groupBy("user", "date", "severity", "rule_id")
+            .agg(F.sum("_n").alias("detection_count"))
+        )
+        return V.user_detection_summary(per_user)
+
+    def endpoints() -> DataFrame:
+        ep_events = ev.join(F.broadcast(user_recent_endpoints(ev, user)), "endpoint_id", "left_semi")  # <= 10 ids
+        return V.endpoint_details_view(ep_events, write_rollup=False).select(
+            "endpoint_id",
+            F.col("primary_user").alias("user"),
+            "last_seen",
+            F.col("total_events").alias("event_count"),
+        )
+
+    def detections() -> DataFrame:
+        ep_det = _frame(det).join(F.broadcast(user_recent_endpoints(ev, user)), "endpoint_id", "left_semi")
+        return attach_events(latest(ep_det, DETAIL_ROWS), ev)
+
+    return Parts({
+        "details": lambda: V.user_details_view(mine, write_rollup=False).select(
+            "user",
+            "last_seen",
+            F.col("total_events").alias("event_count"),
+            "unique_event_types",
+            "unique_endpoints",
+            "recent_endpoints",
+        ),
+        "eventSummary": lambda: V.user_event_summary(V.user_events(mine)).orderBy(
+            F.col("event_count").desc(), F.col("event_type")
+        ),
+        "events": lambda: latest(mine, DETAIL_ROWS),
+        "detectionSummary": detection_summary,
         "endpoints": endpoints,
-        "detections": attach_events(latest(ep_det, DETAIL_ROWS), ev),
-    }
+        "detections": detections,
+    })
 
 
 # Q11: shortcuts by endpoint / by user

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -86,11 +87,10 @@ def test_repeated_id_with_two_texts_ties_them(spark):
 
 def test_bayes_keeps_pairs_at_the_threshold():
     least = near_dup.least_matches(0.85)
-    rng = np.random.default_rng(0)
-    hits = (rng.random((20_000, near_dup.HASHES)) < 0.85).reshape(20_000, -1, near_dup.BATCH).sum(axis=2).cumsum(axis=1)
-    assert (hits >= np.array(least)).all()
-    low = (rng.random((20_000, near_dup.HASHES)) < 0.4).reshape(20_000, -1, near_dup.BATCH).sum(axis=2).cumsum(axis=1)
-    assert (low >= np.array(least)).all(axis=1).mean() < 0.01
+    ends = range(near_dup.BATCH, near_dup.HASHES + 1, near_dup.BATCH)
+    tail = lambda p, k, m: sum(comb(k, j) * p**j * (1 - p) ** (k - j) for j in range(m))
+    assert sum(tail(0.85, k, m) for k, m in zip(ends, least, strict=True)) < 1e-6  # lost at the threshold, all batches
+    assert tail(0.4, near_dup.HASHES, least[-1]) > 0.99  # pruned far below it
 
 
 # ------------------------------------------------------------------ nearest neighbours

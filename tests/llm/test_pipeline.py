@@ -30,6 +30,7 @@ def corpus(spark):
         if kind == "copy":
             w = docs[i - 1][1].split()
             w[0] = "changed"
+            kind = "toxic" if fate[i - 1] == "toxic" else kind  # a copy of a toxic text is toxic
         docs.append((i, " ".join(w), "en", f"s{min(i % 9, 3)}", 0))
         labels.append((i, 1, int(kind == "toxic")))
         fate[i] = kind
@@ -58,7 +59,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark, corpus):
     every = [r[0] for r in docs]
     assert gone(every, kept["toxicity"]) == {i for i, k in fate.items() if k == "toxic"}
     copies = gone(kept["toxicity"], kept["near_duplicates"])
-    assert copies == {i for i, k in fate.items() if k == "copy" and fate[i - 1] != "toxic"}
+    assert copies == {i for i, k in fate.items() if k == "copy"}
     assert kept["near_duplicates"].count(1002) == 1
     assert gone(kept["near_duplicates"], kept["decontamination"]) == {i for i, k in fate.items() if k == "leak"} & set(kept["near_duplicates"])
     assert set(kept["personal_data"]) == set(kept["decontamination"]) == set(kept["mixture"])

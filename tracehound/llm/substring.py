@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkit import PLAIN_SEPARATORS, rolling, slices, window_starts, words_of
+from .textkit import PLAIN_SEPARATORS, mix64, rolling, slices, window_starts, words_of
 
 WINDOW = 50
 RANGE_BYTES = 12 << 20  # text bytes whose windows one hash range takes
@@ -84,105 +84,130 @@ def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
     return texts.mapInArrow(cut, "range int, blob binary")
 
 
-def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, mark, position) of a blob of ``probes``."""
+def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, their marks; hash, document row and position of each window) of a blob of ``probes``."""
     body = unpacked(blob)
     docs, n, width = (int(x) for x in np.frombuffer(body, np.int64, 3))
     ids, marks, offsets = (np.frombuffer(body, np.int64, docs, 24 + 8 * docs * j) for j in range(3))
-    ids, offsets = np.cumsum(ids), np.cumsum(offsets)
+    offsets = np.cumsum(offsets)
     at = 24 + 24 * docs
-    where = np.cumsum(np.frombuffer(body, np.uint16 if width == 2 else np.int64, n, at).astype(np.int64))
+    where = np.cumsum(np.frombuffer(body, np.uint16 if width == 2 else np.int64, n, at), dtype=np.int64)
     low = np.zeros((n, 8), np.uint8)
     low[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at + width * n).reshape(n, 6)
     row = np.searchsorted(offsets, where, side="right") - 1
-    return low.reshape(-1).view("<u8").astype(np.uint64), ids[row], marks[row], where - offsets[row]
+    return np.cumsum(ids), marks, low.reshape(-1).view("<u8"), row.astype(np.int32), (where - offsets[row]).astype(np.int32)
 
 
-def answers(block: int):
-    """Group function: one range's probes -> (doc, mark, blob) of shared windows and their first places."""
+def coded(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, and the number of each row's among them."""
+    order = np.lexsort(columns[::-1])
+    first = np.zeros(len(order), bool)
+    for c in columns:
+        first[1:] |= c[order][1:] != c[order][:-1]
+    first[:1] = True
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(first) - 1
+    return [c[order[first]] for c in columns], number
+
+
+def answers(block: int, ranges: int):
+    """Group function: one range's probes -> (part, blob) of shared windows with their first places,
+    by ``part`` of the document."""
 
     def answer(table: pa.Table) -> pa.Table:
-        columns = [[], [], []]
-        parts = [read_probes(b) for chunk in table.column("blob").chunks for b in chunk.to_pylist()]
-        if parts:
-            h, doc, mark, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            order = np.lexsort((pos, mark, doc, h))
-            h, doc, mark, pos = h[order], doc[order], mark[order], pos[order]
+        parts, blobs = [], []
+        ids, marks, h, row, pos = [], [], [], [], []
+        docs = 0
+        for chunk in table.column("blob").chunks:
+            for blob in chunk:
+                i, m, x, r, p = read_probes(blob.as_py())
+                for column, value in zip((ids, marks, h, row, pos), (i, m, x, r + np.int32(docs), p), strict=True):
+                    column.append(value)
+                docs += len(i)
+        ids, marks, h, row, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, marks, h, row, pos))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        order = order[np.append(False, same) | np.append(same, False)] if len(order) else order
+        h, pos, doc, mark = h[order], pos[order].astype(np.int64), ids[row[order]], marks[row[order]]
+        order = np.lexsort((pos, mark, doc, h))
+        h, pos, doc, mark = h[order], pos[order], doc[order], mark[order]
+        if len(h):
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             times = np.diff(np.append(first, len(h)))
-            last = first + times - 1
-            anchored = np.maximum.reduceat(pos % block == 0, first)
-            shared = np.repeat(doc[first] != doc[last], times)
+            shared = np.repeat(doc[first] != doc[first + times - 1], times)
+            flag = np.repeat(np.maximum.reduceat(pos % block == 0, first), times)[shared]
             ref = np.repeat(first, times)[shared]
-            flag = np.repeat(anchored, times)[shared]
             r_doc, r_mark, r_pos = doc[ref], mark[ref], pos[ref]
             doc, mark, pos = doc[shared], mark[shared], pos[shared]
-            order = np.lexsort((pos, mark, doc))
-            doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
-            if len(doc):
-                cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
-                for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-                    columns[0].append(doc[a])
-                    columns[1].append(mark[a])
-                    columns[2].append(packed(gaps(pos[a:b]).astype(np.int32), gaps(r_pos[a:b]).astype(np.int32), gaps(r_doc[a:b]), gaps(r_mark[a:b]), flag[a:b].astype(np.uint8)))
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc", "mark", "blob"])
+            to = (mix64(doc.view(np.uint64), 5) % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((pos, mark, doc, to))
+            to, doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (to, doc, mark, pos, r_doc, r_mark, r_pos, flag))
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True) if len(to) else []:
+                own, number = coded(doc[a:b], mark[a:b])
+                refs, ref = coded(r_doc[a:b], r_mark[a:b])
+                parts.append(int(to[a]))
+                blobs.append(packed(
+                    np.array([len(own[0]), len(refs[0]), b - a], np.int64), *own, *refs,
+                    gaps(number), gaps(ref), gaps(pos[a:b].astype(np.int32)), gaps(r_pos[a:b].astype(np.int32)), flag[a:b].astype(np.uint8)))
+        return pa.table([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return answer
 
 
-def read_answers(blobs: list[bytes]) -> list[np.ndarray]:
-    """(position, reference document, mark and position, anchor flag), by position."""
-    parts = []
-    for blob in blobs:
-        body = unpacked(blob)
-        n = len(body) // 25
-        pos, r_pos = (np.cumsum(np.frombuffer(body, np.int32, n, 4 * n * j)).astype(np.int64) for j in range(2))
-        r_doc, r_mark = (np.cumsum(np.frombuffer(body, np.int64, n, 8 * n + 8 * n * j)) for j in range(2))
-        parts.append((pos, r_doc, r_mark, r_pos, np.frombuffer(body, np.uint8, n, 24 * n)))
-    pos, r_doc, r_mark, r_pos, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
-    pos, order = np.unique(pos, return_index=True)
-    return [pos, r_doc[order], r_mark[order], r_pos[order], flag[order]]
-
-
-def merged(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
-    """Word ranges covered by windows of ``length`` words at ascending ``starts``."""
-    if not len(starts):
-        return [], []
-    new = np.append(True, np.diff(starts) > length)
-    a = starts[new]
-    b = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] + length
-    return a.tolist(), b.tolist()
-
-
-REPEATS = "doc long, mark long, starts array<int>, ends array<int>, open_at array<int>, open_key array<binary>"
-
-
-def extended(hits: DataFrame, block: int) -> DataFrame:
-    """(doc, mark, repeats of earlier documents as word ranges, undecided windows with their keys)."""
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, mark, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pos, r_doc, r_mark, r_pos, flag = read_answers(blobs)
-                j = np.searchsorted(pos, pos + block)
-                i = np.flatnonzero(pos[np.minimum(j, len(pos) - 1)] == pos + block)
-                j = j[i]
-                anchors = np.cumsum(flag, dtype=np.int64)
-                i, j = (x[anchors[j] - anchors[i] + flag[i] > 0] for x in (i, j))
-                diagonal = (r_doc[i] == r_doc[j]) & (r_mark[i] == r_mark[j]) & (r_pos[i] + block == r_pos[j])
-                starts, ends = merged(pos[i[diagonal & (r_doc[i] < doc)]], 2 * block)
-                k, m = i[~diagonal], j[~diagonal]
-                if not len(starts) and not len(k):
-                    continue
-                key = np.column_stack([r_doc[k], r_mark[k], r_pos[k], r_doc[m], r_mark[m], r_pos[m]])
-                for column, value in zip(out, (doc, mark, starts, ends, pos[k].tolist(), [x.tobytes() for x in key]), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [c.split()[0] for c in REPEATS.split(", ")])
-
-    return hits.mapInArrow(extend, REPEATS)
+def read_answers(blob: bytes) -> list[np.ndarray]:
+    """(document, mark, position, reference document, mark and position, anchor flag) of a blob."""
+    body = unpacked(blob)
+    own, refs, n = (int(x) for x in np.frombuffer(body, np.int64, 3))
+    at, out = 24, []
+    for size in (own, own, refs, refs):
+        out.append(np.frombuffer(body, np.int64, size, at))
+        at += 8 * size
+    number, ref, pos, r_pos = (np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * n * j), dtype=np.int64) for j in range(4))
+    return [out[0][number], out[1][number], pos, out[2][ref], out[3][ref], r_pos, np.frombuffer(body, np.uint8, n, at + 16 * n)]
+
+
+REPEATS = "doc long, mark long, start int, end int, key1 long, key2 long"
+
+
+def extended(block: int):
+    """Group function: the shared windows of one part's documents -> repeats of earlier documents as
+    word ranges, and undecided windows, which have keys of both halves' first places."""
+
+    def extend(table: pa.Table) -> pa.Table:
+        parts = [read_answers(blob.as_py()) for chunk in table.column("blob").chunks for blob in chunk]
+        doc, mark, pos, r_doc, r_mark, r_pos, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((pos, mark, doc))
+        doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
+        # equal rows of one id send the same windows
+        once = np.append(True, (pos[1:] != pos[:-1]) | (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]))
+        doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[once] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
+        text = np.cumsum(np.append(0, (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])))
+        place = text * (1 << 32) + pos
+        j = np.searchsorted(place, place + block)
+        i = np.flatnonzero(place[np.minimum(j, len(place) - 1)] == place + block)
+        j = j[i]
+        anchors = np.cumsum(flag, dtype=np.int64)
+        held = anchors[j] - anchors[i] + flag[i] > 0
+        i, j = i[held], j[held]
+        diagonal = (r_doc[i] == r_doc[j]) & (r_mark[i] == r_mark[j]) & (r_pos[i] + block == r_pos[j])
+        sure = i[diagonal & (r_doc[i] < doc[i])]
+        # consecutive or overlapping windows are one repeat
+        new = np.append(True, np.diff(place[sure]) > 2 * block)[: len(sure)]
+        first, last = sure[new], sure[np.append(np.flatnonzero(new)[1:] - 1, len(sure) - 1)] if len(sure) else sure
+        k, m = i[~diagonal], j[~diagonal]
+        keys = []
+        for salt in (1, 2):
+            key = np.zeros(len(k), np.uint64)
+            for column in (r_doc[k], r_mark[k], r_pos[k], r_doc[m], r_mark[m], r_pos[m]):
+                key = mix64(key ^ column.view(np.uint64), salt)
+            keys.append(pa.array(np.append(np.zeros(len(first), np.int64), key.view(np.int64)), mask=np.arange(len(first) + len(k)) < len(first)))
+        at = np.append(first, k)
+        ends = np.append(pos[last], pos[k]) + 2 * block
+        return pa.table([pa.array(doc[at]), pa.array(mark[at]), pa.array(pos[at].astype(np.int32)), pa.array(ends.astype(np.int32)), *keys], [c.split()[0] for c in REPEATS.split(", ")])
+
+    return extend
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -193,12 +218,12 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(block), "doc long, mark long, blob binary")
-    repeats = scratch.keep("repeats", extended(hits.groupBy("doc", "mark").agg(F.collect_list("blob").alias("blobs")), block))
-    sure = repeats.select("doc", "mark", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select("doc", "mark", F.col("r.starts").alias("start"), F.col("r.ends").alias("end"))
-    undecided = repeats.select("doc", "mark", F.explode(F.arrays_zip("open_at", "open_key")).alias("o")).select("doc", "mark", F.col("o.open_at").alias("start"), F.col("o.open_key").alias("key"))
-    least = undecided.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    settled = undecided.join(least, "key").where("doc > first").select("doc", "mark", "start", (F.col("start") + 2 * block).cast("int").alias("end"))
+    hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(block, ranges), "part int, blob binary")
+    repeats = scratch.keep("repeats", hits.groupBy("part").applyInArrow(extended(block), REPEATS))
+    sure = repeats.where("key1 IS NULL").select("doc", "mark", "start", "end")
+    undecided = repeats.where("key1 IS NOT NULL")
+    least = undecided.groupBy("key1", "key2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    settled = undecided.join(least, ["key1", "key2"]).where("doc > first").select("doc", "mark", "start", "end")
     return sure.unionByName(settled)
 
 

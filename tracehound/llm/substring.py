@@ -59,7 +59,7 @@ def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
                 w = words_of(batch.column(2), PLAIN_SEPARATORS, lower=False)
                 at, rows = window_starts(w.offsets, block)

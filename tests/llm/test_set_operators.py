@@ -128,6 +128,26 @@ def test_nearest_recall(spark, monkeypatch, per_block):
     assert [m[1] for m in sorted(got[1001])] == [3, 1000, 1002, 1003, 1004] if 1001 in got else True
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-3])
+def test_nearest_recall_in_a_group_of_near_equal_vectors(spark, monkeypatch, noise):
+    monkeypatch.setattr(neighbours, "NODES_PER_BLOCK", 800)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    v = np.concatenate([base + noise * rng.normal(size=(3000, 64)), rng.normal(size=(1000, 64))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 3000)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert len(got) == 60
+    hits = 0
+    for q, near in got.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(near & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(got), hits / 5 / len(got)
+
+
 def test_nearest_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]

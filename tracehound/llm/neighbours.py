@@ -17,8 +17,10 @@ searched once; its smallest ids are looked up at the end.  Nodes are dealt to bl
 Between blocks travel packed arrays, each vector once for each pair of blocks.  A node in very
 many neighbour lists (a hub) is named by one list of each sending block at most, so no block
 receives an unbounded number of messages for one node; that is NN-descent's own sampling, and
-affects which edges are tried, not which rows are indexed.  Every row is indexed.  Cosines in
-the graph use half-precision vectors; the final order uses the original vectors in doubles.
+affects which edges are tried, not which rows are indexed.  Every row is indexed.  The graph and
+the beams hold normalised float32 vectors; scores are cosine - 1, taken in doubles and kept as
+float32, so that close cosines near 1 do not tie.  Every node of a final beam gets the exact
+cosine of the original vectors in doubles, at its block; a block sends a query its best only.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those
 whose length is not the most frequent one (the smallest of equals).  Ties go to the smaller id.
@@ -48,10 +50,10 @@ STOP_SHARE = 0.015
 BEAM = 320
 EXPAND = 96
 MAX_SEARCH_ROUNDS = 40
-RERANK = 24
+NONE = -4  # score of an empty place; scores are cosine - 1
 BLOCK_ROWS = "block int, kind string, blob binary, changed long"
 
-NAMES = {"i8": np.int64, "f2": np.float16, "f4": np.float32, "u1": np.uint8}
+NAMES = {"i8": np.int64, "f4": np.float32, "f8": np.float64, "u1": np.uint8}
 
 
 def dump(**arrays: np.ndarray) -> bytes:
@@ -115,18 +117,18 @@ def filled(n: int, width: int, owner: np.ndarray, *columns: np.ndarray) -> list[
     return out
 
 
-def block_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.float32) @ b.astype(np.float32).T
+def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.float64) @ b.astype(np.float64).T - 1).astype(np.float32)
 
 
 def within(ids: np.ndarray, v: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact neighbours among the given nodes: (ids, cosines), -1 where there are fewer."""
+    """Exact neighbours among the given nodes: (ids, scores), -1 where there are fewer."""
     n = len(ids)
-    nbr, sim = np.full((n, degree), -1, np.int64), np.full((n, degree), -2, np.float32)
+    nbr, sim = np.full((n, degree), -1, np.int64), np.full((n, degree), NONE, np.float32)
     k = min(degree, n - 1)
     for a in range(0, n if k else 0, 1024):
-        s = block_cosines(v[a : a + 1024], v)
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -3
+        s = block_scores(v[a : a + 1024], v)
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = NONE - 1
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         nbr[a : a + 1024, :k] = ids[best]
         sim[a : a + 1024, :k] = np.take_along_axis(s, best, 1)
@@ -142,7 +144,7 @@ def start(blocks: int):
         order = np.argsort(ids)
         ids = ids[order]
         v = np.array(table.column("vec").to_pylist(), dtype=np.float64)[order]
-        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float16)
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
         nbr, sim = within(ids, v, DEGREE)
         if deal == 0:
             return table_of([(block, "state", dump(id=ids, vec=v, nbr=nbr, sim=sim, new=(nbr >= 0).astype(np.uint8)), len(ids) * DEGREE)])
@@ -235,15 +237,15 @@ def compare(blocks: int, cap: int):
         p_out, q_out, s_out = [], [], []
         for a in range(0, len(nodes), 256):
             m, f = member[a : a + 256], new[a : a + 256] > 0
-            v = vec[np.maximum(m, 0)].astype(np.float32)
-            s = np.matmul(v, v.transpose(0, 2, 1))
+            v = vec[np.maximum(m, 0)].astype(np.float64)
+            s = (np.matmul(v, v.transpose(0, 2, 1)) - 1).astype(np.float32)
             valid = (m >= 0)[:, :, None] & (m >= 0)[:, None, :] & (f[:, :, None] | f[:, None, :])
             valid[:, np.arange(width), np.arange(width)] = False
-            s = np.where(valid & (s > worst[np.maximum(m, 0)][:, :, None]), s, -3)
+            s = np.where(valid & (s > worst[np.maximum(m, 0)][:, :, None]), s, NONE - 1)
             k = min(EMIT, width)
             best = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
             score = np.take_along_axis(s, best, 2)
-            g, i, j = np.nonzero(score > -2.5)
+            g, i, j = np.nonzero(score > NONE)
             p_out.append(m[g, i])
             q_out.append(m[g, best[g, i, j]])
             s_out.append(score[g, i, j])
@@ -289,7 +291,7 @@ def merge(sample: int, blocks: int, seed: int):
         best = top_rows(owner, score, degree)
         owner, other, score, flag, known = (x[best] for x in (owner, other, score, flag, known))
         nbr, sim, fresh = filled(n, degree, owner, other, score, flag)
-        sim[nbr < 0] = -2
+        sim[nbr < 0] = NONE
         return table_of([(block, "state", dump(id=s["id"], vec=s["vec"], nbr=nbr, sim=sim, new=fresh), int((known == 0).sum()))])
 
     return run
@@ -345,7 +347,7 @@ def first_beams(blocks: int):
         s = got["state"][0]
         q = np.unique(gather(got["queries"], "id")[0])
         at = np.searchsorted(s["id"], q)
-        pool, sim = np.full((len(q), BEAM), -1, np.int64), np.full((len(q), BEAM), -2, np.float32)
+        pool, sim = np.full((len(q), BEAM), -1, np.int64), np.full((len(q), BEAM), NONE, np.float32)
         w = min(BEAM, s["nbr"].shape[1])
         pool[:, :w], sim[:, :w] = s["nbr"][at, :w], s["sim"][at, :w]
         return table_of([(int(key[0].as_py()), "beams", dump(id=q, vec=s["vec"][at], pool=pool, sim=sim, done=np.zeros(pool.shape, np.uint8)), len(q))])
@@ -428,7 +430,7 @@ def cosines(blocks: int):
         row, node = distinct_pairs(row, node)
         at = np.searchsorted(g["id"], node)
         score = np.concatenate([
-            np.einsum("nd,nd->n", vec[row[a : a + 65536]].astype(np.float32), g["vec"][at[a : a + 65536]].astype(np.float32)) for a in range(0, len(row), 65536)
+            (np.einsum("nd,nd->n", vec[row[a : a + 65536]].astype(np.float64), g["vec"][at[a : a + 65536]].astype(np.float64)) - 1).astype(np.float32) for a in range(0, len(row), 65536)
         ]) if len(row) else np.zeros(0, np.float32)
         keep = np.flatnonzero((score > worst[row]) & (ids[row] != node))
         keep = keep[top_rows(row[keep], score[keep], BEAM)]
@@ -463,13 +465,63 @@ def next_beams():
         best = top_rows(owner, score, BEAM)
         owner, node, score, flag = (x[best] for x in (owner, node, score, flag))
         pool, sim, done = filled(len(s["id"]), BEAM, owner, node, score, flag)
-        sim[pool < 0] = -2
+        sim[pool < 0] = NONE
         open_ = int(((pool >= 0) & (done == 0)).any(axis=1).sum())
         return table_of([(int(key[0].as_py()), "beams", dump(id=s["id"], vec=s["vec"], pool=pool, sim=sim, done=done), open_)])
 
     return run
 
 
+def exact_rows(key: tuple, table: pa.Table) -> pa.Table:
+    """A block's nodes with their original vectors."""
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids)
+    return table_of([(int(key[0].as_py()), "exact", dump(id=ids[order], vec=np.array(table.column("vec").to_pylist(), np.float64)[order]), 0)])
+
+
+def whole_beams(blocks: int):
+    """Exact vectors and final beams -> (query with original vector, node) pairs to the nodes' blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        got = rows_of(table)
+        if "beams" not in got:
+            return table_of([])
+        s, e = got["beams"][0], got["exact"][0]
+        near = np.concatenate([s["id"][:, None], s["pool"]], axis=1)  # its own class, too
+        row, slot = np.nonzero(np.append(np.ones((len(near), 1), bool), s["sim"] > NONE, axis=1))
+        return table_of(pairs_out("exact pairs", blocks, near[row, slot], row, s["id"], e["vec"][np.searchsorted(e["id"], s["id"])], s["sim"].min(axis=1)))
+
+    return run
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, each summed from the first component on."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def exact_cosines(most: int):
+    """Pairs at the nodes' block -> (q, near, score): the block's ``most`` best of each query, smaller ids first of equals."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        got = rows_of(table)
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if "exact pairs" in got:
+            e = got["exact"][0]
+            node, row, ids, vec, _ = met(got["exact pairs"])
+            at = np.searchsorted(e["id"], node)
+            lengths, own = np.sqrt(dots(vec, vec)), np.sqrt(dots(e["vec"], e["vec"]))
+            score = np.concatenate([dots(vec[row[a : a + 65536]], e["vec"][at[a : a + 65536]]) for a in range(0, len(row), 65536)]) / (lengths[row] * own[at])
+            order = np.argsort(node, kind="stable")
+            keep = order[top_rows(row[order], score[order], most)]
+            out = [ids[row[keep]], node[keep], score[keep]]
+        return pa.table([pa.array(c) for c in out], ["q", "near", "score"])
+
+    return run
+
+
 def by_block(df: DataFrame, run) -> DataFrame:
     return df.groupBy("block").applyInArrow(run, BLOCK_ROWS)
 
@@ -543,21 +595,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     graph = scratch.keep("graph", by_block(state.unionByName(state.mapInArrow(reverse_rows(blocks), BLOCK_ROWS)), adjacency()))
     beams = search(graph, state, numbered.where("asks").select("block", "id"), scratch, blocks)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(2).to_pylist():
-                s = load(blob)
-                best = np.argsort(-s["sim"], axis=1, kind="stable")[:, :RERANK]
-                near = np.concatenate([s["id"][:, None], np.take_along_axis(s["pool"], best, 1)], axis=1)  # its own class, too
-                q, near = np.repeat(s["id"], near.shape[1]), near.reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(q[near >= 0]), pa.array(near[near >= 0])], ["q", "near"])
-
-    pairs = scratch.keep("pairs", beams.mapInArrow(unpack, "q long, near long"))
-    # exact cosine on the original vectors, one pair of classes at a time
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = numbered.select(F.col("id").alias("near"), F.col("vec").alias("nv"))
-    asked = numbered.where("asks").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    scored = pairs.join(asked, "q").join(near, "near").select("q", "near", (dot("qv", "nv") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("nv", "nv")))).alias("score"))
+    # exact cosines of whole beams; the k + 1 best of a query are among the k + 1 best of each block
+    exact = numbered.select("block", "id", "vec").groupBy("block").applyInArrow(exact_rows, BLOCK_ROWS)
+    asked = by_block(exact.unionByName(beams), whole_beams(blocks))
+    scored = exact.unionByName(asked).groupBy("block").applyInArrow(exact_cosines(k + 1), "q long, near long, score double")
     best_classes = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "near"))).where(F.col("r") <= k + 1).drop("r")
     ids = rows.join(numbered.select("vec", F.col("id").alias("cls")), "vec").select("cls", "id", "asks")
     few = ids.select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")

@@ -217,6 +217,24 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed):
     assert got == brute_repeats(docs, 8)
 
 
+def test_a_run_sends_each_hash_once(spark):
+    """A line that fills all texts is one entry a run in its range, whatever the number of its places."""
+    texts = spark.createDataFrame([(i, i, "w " * 200) for i in range(300)], "id long, mark long, text string").coalesce(1)
+    sent = [len(substring.read_probes(r["blob"])[2]) for r in substring.probes(texts, 25, 4).collect() if r["range"] < 4]
+    assert sent == [1]
+
+
+@pytest.mark.parametrize("run_bytes", [300, 4 << 20])
+def test_frequent_passage_over_runs_equals_brute_force(spark, monkeypatch, run_bytes):
+    monkeypatch.setattr(substring, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(substring, "RUN_BYTES", run_bytes, raising=False)
+    rng = random.Random(5)
+    passage = [rng.choice("abcdef") for _ in range(40)]
+    docs = [(i, " ".join([rng.choice("abcdef") for _ in range(rng.randrange(20))] + (passage if i % 3 == 0 else ["w"] * rng.randrange(40)))) for i in range(150)]
+    got = sorted((tuple(r) for r in substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window=8, keep_text=False).collect()), key=str)
+    assert got == brute_repeats(docs, 8)
+
+
 def test_substring_odd_inputs(odd_docs, no_docs):
     kept = by_id(substring.remove_repeats(odd_docs), "n_words", "n_removed", "kept")
     assert kept[7] == (401, 400, "pre") and kept[6][1] == 0 and kept[4] == (0, 0, "")

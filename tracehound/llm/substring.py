@@ -3,10 +3,13 @@
 Words are taken unchanged.  The reference index holds the non-overlapping blocks of ``BLOCK``
 words of every document; every rolling window of ``BLOCK`` words probes it.  With windows of
 ``window`` = 2 * ``BLOCK`` words, any shared window holds a whole reference block of the other
-document, so each repeat has an anchor.  Blocks and probes meet by hash range: a task takes one
-range of all documents' hashes as packed arrays (a few bytes a window instead of a row each),
-and answers each probe that other documents share with its first place in the corpus, the
-smallest (document, position).
+document, so each repeat has an anchor.  Documents are cut in runs of some MB.  Blocks and
+probes meet by hash range: a run sends each of its distinct hashes once, with the first place
+(a partial minimum) as packed arrays (a few bytes a window instead of a row each), and a task
+takes one range of all runs' hashes and answers each one that other documents share with its
+first place in the corpus, the smallest (document, position).  A hash in any number of places is
+one entry a run there, so a range holds its even share of the windows and at most one entry a
+run more for each frequent hash.  Answers go back to their run, which holds the other places.
 
 A hit is then extended along its diagonal: a document's window of 2 * ``BLOCK`` words repeats an
 earlier document where its two halves point to places ``BLOCK`` words apart in one and the
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,7 @@ from .scratch import Scratch
 from .textkit import PLAIN_SEPARATORS, mix64, rolling, slices, window_starts, words_of
 
 WINDOW = 50
+RUN_BYTES = 4 << 20  # text bytes cut at once
 RANGE_BYTES = 12 << 20  # text bytes whose windows one hash range takes
 LOW = np.uint64((1 << 48) - 1)
 
@@ -54,38 +59,63 @@ def gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def first_places(h: np.ndarray, row: np.ndarray, pos: np.ndarray, doc: np.ndarray, mark: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first place of each distinct hash, its flags, and of every place the index of its hash's first):
+    flag 1 says that a place is a reference block, 2 that several documents hold the hash."""
+    order = np.lexsort((pos, mark[row], doc[row], h))
+    new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    times = np.diff(np.append(new, len(h)))
+    anchor = np.maximum.reduceat((pos[order] % block == 0).astype(np.uint8), new)
+    several = doc[row[order[new]]] != doc[row[order[new + times - 1]]]
+    ref = np.empty(len(h), np.int64)
+    ref[order] = np.repeat(order[new], times)
+    return order[new], anchor + np.uint8(2) * several.astype(np.uint8), ref
+
+
 def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
-    """(range, blob): windows of a run of documents whose hash falls in the range."""
+    """(range, run, blob): distinct windows of a run of documents whose hash falls in the range, with
+    their first places in the run; and to ranges from ``ranges`` on each run's documents and further places."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, number = TaskContext.get(), 0
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", RUN_BYTES):
                 ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
                 w = words_of(batch.column(2), PLAIN_SEPARATORS, lower=False)
                 at, rows = window_starts(w.offsets, block)
                 if not len(at):
                     continue
+                run, number = (context.partitionId() << 32) + number, number + 1
+                offsets = np.asarray(w.offsets[:-1], dtype=np.int64)
                 h = rolling(w.hash, block)[at]
+                row = np.searchsorted(offsets, at, side="right") - 1
+                first, flag, ref = first_places(h, row, at - offsets[row], ids, marks, block)
+                head = np.array([len(ids)], np.int64)
+                docs = (gaps(ids), marks, gaps(offsets))
+                more = np.flatnonzero(ref != np.arange(len(ref)))
+                places = [ranges + run % ranges], [packed(head, np.array([len(more)], np.int64), *docs, gaps(at[more].astype(np.int64)), gaps(at[ref[more]].astype(np.int64)))]
+                by_place = np.argsort(first)
+                first, flag = first[by_place], flag[by_place]
+                h, at = h[first], at[first]
                 part = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                h, at, part = h[order] & LOW, at[order], part[order]
+                h, at, part, flag = h[order] & LOW, at[order], part[order], flag[order]
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 ends = np.append(starts[1:], len(part))
-                head = np.array([len(ids)], np.int64)
-                docs = (gaps(ids), marks, gaps(w.offsets[:-1]))
                 blobs = []
                 for a, b in zip(starts, ends, strict=True):
                     low = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     step = gaps(at[a:b])
-                    step = step.astype(np.uint16) if step.max() < 1 << 16 else step
-                    blobs.append(packed(head, np.array([b - a, step.itemsize], np.int64), *docs, step, np.ascontiguousarray(low)))
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
+                    step = step.astype(np.uint16) if step.max() < 1 << 16 else step.astype(np.int64)
+                    blobs.append(packed(head, np.array([b - a, step.itemsize], np.int64), *docs, step, np.ascontiguousarray(low), flag[a:b]))
+                to = np.append(part[starts], places[0]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), run, np.int64)), pa.array(blobs + places[1], pa.binary())], ["range", "run", "blob"])
 
-    return texts.mapInArrow(cut, "range int, blob binary")
+    return texts.mapInArrow(cut, "range int, run long, blob binary")
 
 
-def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, their marks; hash, document row and position of each window) of a blob of ``probes``."""
+def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, their marks; hash, document row, position, place in the run and flags of each window) of a blob of ``probes``."""
     body = unpacked(blob)
     docs, n, width = (int(x) for x in np.frombuffer(body, np.int64, 3))
     ids, marks, offsets = (np.frombuffer(body, np.int64, docs, 24 + 8 * docs * j) for j in range(3))
@@ -95,7 +125,17 @@ def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     low = np.zeros((n, 8), np.uint8)
     low[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at + width * n).reshape(n, 6)
     row = np.searchsorted(offsets, where, side="right") - 1
-    return np.cumsum(ids), marks, low.reshape(-1).view("<u8"), row.astype(np.int32), (where - offsets[row]).astype(np.int32)
+    flag = np.frombuffer(body, np.uint8, n, at + (width + 6) * n)
+    return np.cumsum(ids), marks, low.reshape(-1).view("<u8"), row.astype(np.int32), (where - offsets[row]).astype(np.int32), where.astype(np.int32), flag
+
+
+def read_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, marks, offsets; further places and the first places of their hashes) of a run."""
+    body = unpacked(blob)
+    docs, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
+    ids, marks, offsets = (np.frombuffer(body, np.int64, docs, 16 + 8 * docs * j) for j in range(3))
+    at, first = (np.cumsum(np.frombuffer(body, np.int64, n, 16 + 24 * docs + 8 * n * j)) for j in range(2))
+    return np.cumsum(ids), marks, np.cumsum(offsets), at, first
 
 
 def coded(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -110,74 +150,91 @@ def coded(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[order[first]] for c in columns], number
 
 
-def answers(block: int, ranges: int):
-    """Group function: one range's probes -> (part, blob) of shared windows with their first places,
-    by ``part`` of the document."""
+def answers(ranges: int):
+    """Group function: one range's probes -> (run, kind, blob) of shared windows with their first places,
+    by run; the runs' own places pass through."""
 
     def answer(table: pa.Table) -> pa.Table:
-        parts, blobs = [], []
-        ids, marks, h, row, pos = [], [], [], [], []
+        names = ["run", "kind", "blob"]
+        runs = table.column("run").to_numpy()
+        if table.column("range")[0].as_py() >= ranges:
+            return pa.table([pa.array(runs), pa.array(np.ones(len(runs), np.int32)), table.column("blob")], names)
+        columns: list[list] = [[] for _ in range(8)]
         docs = 0
-        for chunk in table.column("blob").chunks:
-            for blob in chunk:
-                i, m, x, r, p = read_probes(blob.as_py())
-                for column, value in zip((ids, marks, h, row, pos), (i, m, x, r + np.int32(docs), p), strict=True):
-                    column.append(value)
-                docs += len(i)
-        ids, marks, h, row, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, marks, h, row, pos))
+        for number, blob in enumerate(b for chunk in table.column("blob").chunks for b in chunk):
+            i, m, x, r, p, w, f = read_probes(blob.as_py())
+            for column, value in zip(columns, (i, m, x, r + np.int32(docs), p, w, f, np.full(len(x), number, np.int32)), strict=True):
+                column.append(value)
+            docs += len(i)
+        ids, marks, h, row, pos, place, flag, sender = (np.concatenate(x) for x in columns)
+        del columns
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        order = order[np.append(False, same) | np.append(same, False)] if len(order) else order
-        h, pos, doc, mark = h[order], pos[order].astype(np.int64), ids[row[order]], marks[row[order]]
-        order = np.lexsort((pos, mark, doc, h))
-        h, pos, doc, mark = h[order], pos[order], doc[order], mark[order]
+        # a hash that one document of one run holds is not shared
+        order = order[np.append(False, same) | np.append(same, False) | (flag[order] > 1)]
+        h, row, pos, place, flag, sender = (x[order] for x in (h, row, pos, place, flag, sender))
+        out_runs, blobs = [], []
         if len(h):
+            doc, mark = ids[row], marks[row]
+            order = np.lexsort((pos, mark, doc, h))
+            h, pos, doc, mark, place, flag, sender = (x[order] for x in (h, pos, doc, mark, place, flag, sender))
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             times = np.diff(np.append(first, len(h)))
-            shared = np.repeat(doc[first] != doc[first + times - 1], times)
-            flag = np.repeat(np.maximum.reduceat(pos % block == 0, first), times)[shared]
+            shared = np.repeat((doc[first] != doc[first + times - 1]) | (np.maximum.reduceat(flag, first) > 1), times)
+            anchor = np.repeat(np.maximum.reduceat(flag & 1, first), times)[shared]
             ref = np.repeat(first, times)[shared]
-            r_doc, r_mark, r_pos = doc[ref], mark[ref], pos[ref]
-            doc, mark, pos = doc[shared], mark[shared], pos[shared]
-            to = (mix64(doc.view(np.uint64), 5) % np.uint64(ranges)).astype(np.int64)
-            order = np.lexsort((pos, mark, doc, to))
-            to, doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (to, doc, mark, pos, r_doc, r_mark, r_pos, flag))
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
-            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True) if len(to) else []:
-                own, number = coded(doc[a:b], mark[a:b])
-                refs, ref = coded(r_doc[a:b], r_mark[a:b])
-                parts.append(int(to[a]))
+            place, sender = place[shared], sender[shared]
+            order = np.lexsort((place, sender))
+            place, sender, ref, anchor = place[order], sender[order], ref[order], anchor[order]
+            cuts = np.flatnonzero(np.append(True, sender[1:] != sender[:-1])) if len(sender) else []
+            for a, b in zip(cuts, np.append(cuts[1:], len(sender)), strict=True) if len(sender) else []:
+                refs, number = coded(doc[ref[a:b]], mark[ref[a:b]])
+                out_runs.append(int(runs[sender[a]]))
                 blobs.append(packed(
-                    np.array([len(own[0]), len(refs[0]), b - a], np.int64), *own, *refs,
-                    gaps(number), gaps(ref), gaps(pos[a:b].astype(np.int32)), gaps(r_pos[a:b].astype(np.int32)), flag[a:b].astype(np.uint8)))
-        return pa.table([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                    np.array([len(refs[0]), b - a], np.int64), *refs,
+                    gaps(number), gaps(place[a:b].astype(np.int32)), gaps(pos[ref[a:b]].astype(np.int32)), anchor[a:b].astype(np.uint8)))
+        return pa.table([pa.array(out_runs, pa.int64()), pa.array(np.zeros(len(blobs), np.int32)), pa.array(blobs, pa.binary())], names)
 
     return answer
 
 
 def read_answers(blob: bytes) -> list[np.ndarray]:
-    """(document, mark, position, reference document, mark and position, anchor flag) of a blob."""
+    """(place in the run, reference document, mark and position, anchor flag) of a blob."""
     body = unpacked(blob)
-    own, refs, n = (int(x) for x in np.frombuffer(body, np.int64, 3))
-    at, out = 24, []
-    for size in (own, own, refs, refs):
-        out.append(np.frombuffer(body, np.int64, size, at))
-        at += 8 * size
-    number, ref, pos, r_pos = (np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * n * j), dtype=np.int64) for j in range(4))
-    return [out[0][number], out[1][number], pos, out[2][ref], out[3][ref], r_pos, np.frombuffer(body, np.uint8, n, at + 16 * n)]
+    refs, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
+    r_doc, r_mark = (np.frombuffer(body, np.int64, refs, 16 + 8 * refs * j) for j in range(2))
+    at = 16 + 16 * refs
+    ref, place, r_pos = (np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * n * j), dtype=np.int64) for j in range(3))
+    return [place, r_doc[ref], r_mark[ref], r_pos, np.frombuffer(body, np.uint8, n, at + 12 * n)]
 
 
 REPEATS = "doc long, mark long, start int, end int, key1 long, key2 long"
 
 
 def extended(block: int):
-    """Group function: the shared windows of one part's documents -> repeats of earlier documents as
+    """Group function: the shared windows of one run's documents -> repeats of earlier documents as
     word ranges, and undecided windows, which have keys of both halves' first places."""
 
     def extend(table: pa.Table) -> pa.Table:
-        parts = [read_answers(blob.as_py()) for chunk in table.column("blob").chunks for blob in chunk]
-        doc, mark, pos, r_doc, r_mark, r_pos, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts, own = [], None
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
+            if kind:
+                own = blob
+            else:
+                parts.append(read_answers(blob.as_py()))
+        if not parts:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], [c.split()[0] for c in REPEATS.split(", ")])
+        answered = [np.concatenate(x) for x in zip(*parts, strict=True)]
         del parts
+        ids, marks, offsets, more, first = read_places(own.as_py())
+        # the other places of an answered hash have the same answer
+        answered = [x[np.argsort(answered[0])] for x in answered]
+        at = np.minimum(np.searchsorted(answered[0], first), len(answered[0]) - 1)
+        hit = answered[0][at] == first
+        place = np.concatenate([answered[0], more[hit]])
+        r_doc, r_mark, r_pos, flag = (np.concatenate([x, x[at[hit]]]) for x in answered[1:])
+        row = np.searchsorted(offsets, place, side="right") - 1
+        doc, mark, pos = ids[row], marks[row], place - offsets[row]
         order = np.lexsort((pos, mark, doc))
         doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
         # equal rows of one id send the same windows
@@ -218,8 +275,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(block, ranges), "part int, blob binary")
-    repeats = scratch.keep("repeats", hits.groupBy("part").applyInArrow(extended(block), REPEATS))
+    hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(ranges), "run long, kind int, blob binary")
+    repeats = scratch.keep("repeats", hits.groupBy("run").applyInArrow(extended(block), REPEATS))
     sure = repeats.where("key1 IS NULL").select("doc", "mark", "start", "end")
     undecided = repeats.where("key1 IS NOT NULL")
     least = undecided.groupBy("key1", "key2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")

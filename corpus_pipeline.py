@@ -32,15 +32,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at 0.8 over five-word shingles the smallest id stays; of rows
-    that share that id the first by their columns stays."""
-    found = near_dup.near_duplicates(docs.select("doc_id", "text"), words=5, threshold_pct=80)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    # removed ids grow with the corpus: a sort-merge join at every size, whose partitioning the window reuses
-    rest = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti")
-    order = [F.col(c) for c, kind in docs.dtypes if c != "doc_id" and not any(x in kind for x in ("map<", "variant", "interval"))]
-    first = rest.withColumn(f"{WORK}_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return first.where(F.col(f"{WORK}_row") == 1).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of texts linked at 0.8 over five-word shingles the smallest id stays, one text of it;
+    of rows that share id and text the first by their columns stays.  Texts that only share an id are not
+    linked, so each group keeps a row."""
+    scratch = Scratch(spark, "pipeline-texts")
+    order = [F.col(c) for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+    # the row limit is applied before the exchange, too: a task sends one row of an id and text
+    first = docs.where("doc_id IS NOT NULL").withColumn(f"{WORK}_row", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
+    # numbers are read from the written table, as another computation could deal them otherwise
+    rows = scratch.keep("rows", first.where(F.col(f"{WORK}_row") == 1).drop(f"{WORK}_row").withColumn(f"{WORK}_key", F.monotonically_increasing_id()))
+    found = near_dup.near_duplicates(rows.select(f"{WORK}_key", "text"), id_col=f"{WORK}_key", words=5, threshold_pct=80)
+    named = rows.select(F.col(f"{WORK}_key").alias("id"), F.struct("doc_id", F.xxhash64("text").alias("hash"), F.col(f"{WORK}_key").alias("key")).alias("place"))
+    stays = found.join(named, "id").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.key").alias(f"{WORK}_key"))
+    # kept texts grow with the corpus: a sort-merge join at every size
+    return rows.join(stays.hint("merge"), f"{WORK}_key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

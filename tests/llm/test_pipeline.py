@@ -68,6 +68,13 @@ def test_stages_take_effect_and_keep_clean_documents(spark, corpus):
         assert t == (original[i] and re.sub(r"joe@example\.org", "[EMAIL]", original[i]))
 
 
+def test_texts_that_share_an_id_are_not_lost(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (7, a), (9, b), (5, a), (6, a + " more"), (8, None), (8, ""), (None, a)]
+    out = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(5, a), (5, b), (8, None), (8, ""), (None, a)], key=str)
+
+
 def test_run_applies_the_stages(spark, corpus):
     d, docs, fate = corpus
     out = P.run(spark, d)

@@ -188,6 +188,106 @@ c AS (SELECT doc_id, min(node) AS m FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(z)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, least(s.doc_id, coalesce(m, s.doc_id)) = s.doc_id AS kept
 FROM s LEFT JOIN c USING (doc_id)
 """
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES = f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, {lowered(f"trim(line, {_BLANKS})")} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+r AS (SELECT doc_id, i, line, top IS NOT NULL AND doc_id IS DISTINCT FROM top AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: a bitwise fold, -1 stands for one shift."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), {fold}), 4294967295::BIGINT)"
+
+
+def _conversations() -> str:
+    """Forward over the rows: for each state the cheapest edits so far, the ASCII-least of equals."""
+    text = "coalesce({0}::VARCHAR, ' ')".format
+    after = "(CASE {0} WHEN 2 THEN 3 ELSE 2 END)".format  # the state after a user or assistant turn
+    inserted = "CASE {0} WHEN 2 THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END".format
+    more = f"unnest([{{'s': s, 'c': 0, 'l': '', 'o': ''}}, {{'s': {after('s')}, 'c': 2, 'l': 'I', 'o': {inserted(after('s'))}}}, " \
+           f"{{'s': {after(after('s'))}, 'c': 4, 'l': 'II', 'o': {inserted(after('s'))} || {inserted(after(after('s')))}}}])"
+    best = "conv, i, s, min(cost) AS cost, min_by(audit, printf('%09d', cost) || audit) AS audit, min_by(out, printf('%09d', cost) || audit) AS out"
+    keep = "CASE WHEN ini = 's' AND s = 0 THEN 1 WHEN ini = 'u' AND s <> 2 THEN 2 WHEN ini = 'a' AND s = 2 THEN 3 END"
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, {text("conv_id")} AS conv, turn, {text("role")} AS role, {text("text")} AS text, {crc32(f"{text('conv_id')} || ':' || {text('turn')}")} % 20 AS how FROM conversations),
+d AS (
+  SELECT conv, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE how <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         substr(role, 1, 1) AS ini, right(rtrim(text, {_BLANKS}), 1) AS e FROM d),
+f AS (
+  SELECT *, CASE WHEN e = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(ini) OVER (PARTITION BY conv ORDER BY i) AS prev FROM o),
+r AS (
+  SELECT {best} FROM (SELECT conv, i, m.s AS s, m.c AS cost, m.l AS audit, m.o AS out FROM (SELECT conv, 0::BIGINT AS i, {more} AS m FROM (SELECT DISTINCT conv, 0 AS s FROM f))) GROUP BY conv, i, s
+  UNION ALL
+  SELECT {best} FROM (
+    SELECT conv, i, m.s AS s, cost + m.c AS cost, audit || m.l AS audit, out || m.o AS out FROM (
+      SELECT conv, i, s, cost, audit, out, {more} AS m FROM (
+        SELECT conv, i, e.s AS s, cost + e.c AS cost, audit || e.l AS audit, out || e.o AS out FROM (
+          SELECT r.conv, f.i, cost, audit, out, unnest(
+            [{{'s': s, 'c': 3, 'l': 'D', 'o': ''}}] ||
+            CASE WHEN fault IN ('blank', 'duplicate') THEN [] ELSE [{{'s': {after('s')}, 'c': 2 + (fault = 'truncated')::INTEGER, 'l': 'R', 'o': {inserted(after('s'))} || text}}] END ||
+            CASE WHEN fault IN ('blank', 'duplicate') OR ({keep}) IS NULL THEN [] ELSE [{{'s': {keep}, 'c': (fault = 'truncated')::INTEGER, 'l': 'K', 'o': chr(10) || role || ':' || text}}] END) AS e
+          FROM r JOIN f ON f.conv = r.conv AND f.i = r.i + 1))))
+  GROUP BY conv, i, s),
+n AS (
+  SELECT conv, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+b AS (
+  SELECT n.conv, min(cost) AS cost, min_by(audit, printf('%09d', cost) || audit) AS audit, min_by(out, printf('%09d', cost) || audit) AS out
+  FROM r JOIN n ON n.conv = r.conv AND n.n = r.i WHERE s IN (0, 3) GROUP BY n.conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(out, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM c) LEFT JOIN n USING (conv) LEFT JOIN b USING (conv)
+"""
+
+
+def _merkle(levels: int = 7) -> str:
+    """One CTE a level and tree, a node alone at its level is handed on as it is."""
+    enc = lambda v: f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    row = lambda text: "sha256(" + " || ".join(enc(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    changed = f"CASE WHEN doc_id IS NOT NULL AND {crc32('coalesce(doc_id::VARCHAR, chr(48))')} % 3 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END"
+    ctes = [
+        f"l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {row('text')} AS leaf, {row(f'({changed})')} AS claim FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS cnt FROM l)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            run = "PARTITION BY tree, idx // 8 ORDER BY idx ROWS BETWEEN"
+            ctes.append(
+                f"{name}s{k} AS (SELECT tree, idx, cnt, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {name}{k})")
+            ctes.append(
+                f"{name}{k + 1} AS (SELECT tree, idx // 8 AS idx, (max(cnt) + 7) // 8 AS cnt, CASE WHEN max(cnt) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h "
+                f"FROM {name}{k} GROUP BY tree, idx // 8)")
+
+    climb("a")
+    ctes.append(f"b0 AS (SELECT '' AS tree, tree AS sub, row_number() OVER (ORDER BY tree) - 1 AS idx, h, count(*) OVER () AS cnt FROM a{levels})")
+    climb("b")
+    ctes.append(f"p0 AS (SELECT a0.doc_id, a0.leaf, a0.tree, a0.idx, b0.idx AS top, b0.h AS subroot, b{levels}.h AS root, claim AS f, '' AS proof FROM a0 JOIN b0 ON b0.sub = a0.tree, b{levels})")
+    at = 0
+    for name, tree, idx in (("a", "tree", "idx"), ("b", "''", "top")):
+        for k in range(levels):
+            ctes.append(
+                f"p{at + 1} AS (SELECT p.* REPLACE (CASE WHEN s.cnt = 1 THEN f ELSE sha256(lft || f || rgt) END AS f, CASE WHEN s.cnt = 1 THEN proof ELSE proof || lft || rgt END AS proof) "
+                f"FROM p{at} p JOIN {name}s{k} s ON s.tree = p.{tree} AND s.idx = p.{idx} // {8**k})".replace("p.''", "''"))
+            at += 1
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM p{at}"
+
+
+CONVERSATIONS = _conversations()
+MERKLE = _merkle()
 PII = _pii()
 MIXING = _mixing()
 LICENSES = _licenses()

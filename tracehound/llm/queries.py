@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_table_path
-from . import decontam, licenses, mixing, near_dup, neighbours, oracles, pii, quality, substring, toxicity, warc
+from . import conversations, decontam, licenses, lines, merkle, mixing, near_dup, neighbours, oracles, pii, quality, substring, toxicity, warc
+from .scratch import Scratch
+from .sqltext import ascii_lower
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -131,3 +133,36 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "tokens", "pass", "block", "slot")
+
+
+@register("op11_line_dedup", oracles.LINES)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scratch = Scratch(spark, "lines")
+    bitmaps = scratch.keep("bitmaps", lines.line_bitmaps(docs, scratch))
+    scratch.drop("bitmaps")
+    left = lines.drop_lines(docs, bitmaps)
+    return left.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+@register("op12_conversations", oracles.CONVERSATIONS)
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    scratch = Scratch(spark, "conversations")
+    report = scratch.keep("report", conversations.repair(rows, scratch))
+    scratch.drop("report")
+    return report.withColumnRenamed("conv", "conv_id")
+
+
+@register("op13_merkle", oracles.MERKLE)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    low = F.when(F.col("text").isNotNull(), ascii_lower(F.col("text")))
+    changed = F.when(tampered, low).otherwise(F.col("text"))
+    claim = merkle.leaf_digest([changed if c == "text" else F.col(c) for c in merkle.FIELDS])
+    scratch = Scratch(spark, "merkle")
+    leaves = scratch.keep("digests", merkle.leaves_of(docs, claim))
+    proofs = scratch.keep("proofs", merkle.prove(merkle.build_manifest(leaves, scratch), scratch))
+    scratch.drop("proofs")
+    return proofs.withColumnRenamed("id", "doc_id")

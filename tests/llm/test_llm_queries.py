@@ -14,7 +14,7 @@ def con():
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     assert set(Q.ORACLES) == set(Q.QUERIES) - {"op1_toxicity", "op6_nearest", "op9_quality"}
 
 

@@ -30,7 +30,7 @@ def test_event_filters_reach_scan_and_prune_months(spark, scratch):
 
 
 def test_rules_plan_has_no_unpartitioned_window_over_events(spark):
-    det = apply_rules(load_fixture_events(spark, SF_SMALL))
+    det = apply_rules(load_fixture_events(spark, SF_SMALL), num_partitions=4)  # few rows would be one bucket
     p = plan(det)
     # every lead window is partitioned by the bucket id, never a global single partition
     specs = [line.rsplit("], [", 2)[1] for line in p.splitlines() if "Window [lead(" in line]

@@ -140,18 +140,63 @@ def test_next_rows_partitioned_nulls(spark):
 def test_hot_key_is_spread_over_balanced_partitions(spark):
     """60% of the rows share one endpoint AND one millisecond: the range partitions on
     the unique (endpoint, timestamp, id) key stay balanced, and matches stay exact."""
-    from tracehound.operators.ordinal import _ranged
+    from tracehound.operators.ordinal import _bucketed, _keys
 
     hot = [ev(f"h{i:05d}", 1000, endpoint="hot") for i in range(1800)]
     cold = [ev(f"c{i:05d}", i, endpoint=f"e{i % 7}", user=f"u{i % 3}") for i in range(1200)]
     df = events_df(spark, hot + cold)
-    ranged, _, n = _ranged(df, ["endpoint_id", "timestamp", "id"], 8)
-    sizes = [r["count"] for r in ranged.groupBy("_pid").count().collect()]
+    rows, n = _bucketed(df, _keys(["endpoint_id", "timestamp", "id"]), 8)
+    sizes = [r["count"] for r in rows.groupBy("_b").count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * (3000 / 8)
     for scope in ("global", "endpoint"):
         assert run(spark, hot + cold, scope, num_partitions=8) == run(spark, hot + cold, scope, strategy="single")
 
 
+def test_ordinal_by_any_order(spark):
+    """Descending keys, nulls, locale text, few and many buckets, equal split keys."""
+    from pyspark.sql import functions as F
+
+    from tracehound.operators.ordinal import Key
+    from tracehound.operators.sorting import nulls_last, nulls_last_keys
+
+    names = ["b", "B", "a", None, "é", "", "Z", "zz", None, "e"]
+    df = spark.createDataFrame([(i, names[i % 10], float(i % 7) if i % 11 else None) for i in range(200)], "id long, name string, x double")
+    for asc in (True, False):
+        for col in ("name", "x"):
+            want = [r.id for r in df.orderBy(*nulls_last(df, col, asc, "id")).collect()]
+            for n in (1, 3, 50):
+                got = with_ordinal(df, nulls_last_keys(df, col, asc, "id"), num_partitions=n).orderBy("_ord").collect()
+                assert [r.id for r in got] == want and [r._ord for r in got] == list(range(200))
+    down = with_ordinal(df, [Key(F.col("x"), False), Key(F.col("id"), False)], num_partitions=9).orderBy("_ord")
+    assert [r.id for r in down.collect()] == [r.id for r in df.orderBy(F.desc("x"), F.desc("id")).collect()]
+    assert with_ordinal(df.limit(0), ["id"]).count() == 0
+
+
+def test_buckets_follow_the_rows():
+    from tracehound.operators.ordinal import MAX_BUCKETS, bucket_count
+
+    assert [bucket_count(n, 8) for n in (0, 1, 20_000, 20_001, 10**6, 10**8)] == [1, 1, 1, 2, 8, 200]
+    assert bucket_count(10**13, 8) == MAX_BUCKETS
+
+
+def test_next_rows_writes_nothing_and_exchanges_once(spark):
+    """One full exchange, used twice; no table is left in the checkpoint folder."""
+    import os
+
+    from tracehound.session import checkpoint_dir
+
+    df = events_df(spark, [ev(f"x{i:04d}", i * 1000) for i in range(500)])
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = next_rows(df, ["timestamp", "id"], 2, list(df.columns), num_partitions=6)
+    rows = out.collect()
+    assert set(os.listdir(folder)) == before
+    assert sum(r._next2 is None for r in rows) == 2
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "shufflepartitionidpassthrough" in line]
+    assert len(dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1
+
+
 def test_plugin_rules_single_and_custom_steps(spark):
     """Rules are plain data (steps of Column conditions); a one-step rule and a
     custom two-step rule run through the same one-pass evaluation."""

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinal import Key
+
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -53,6 +55,12 @@ def nulls_last(df: DataFrame, col: str, ascending: bool = True, key: str | None
     return [c.asc_nulls_last() if ascending else c.desc_nulls_last(), *([F.col(key).asc()] if key else [])]
 
 
+def nulls_last_keys(df: DataFrame, col: str, ascending: bool = True, key: str | None = None) -> list[Key]:
+    """The same order for :func:`operators.ordinal.with_ordinal`."""
+    c = F.collate(F.col(col), "UNICODE") if dict(df.dtypes)[col] == "string" else F.col(col)
+    return [Key(F.col(col).isNull()), Key(c, ascending), *([Key(F.col(key))] if key else [])]
+
+
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:
     """Number of pages of ``size`` rows (one-row result)."""
     return df.agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("bigint").alias("pages"))

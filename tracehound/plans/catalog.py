@@ -642,7 +642,7 @@ def _hosts_a6(spark, sf_dir):
 LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id""", views=True, endpoints=True))
 def q_sort_nulls_last_asc(spark, sf_dir):
     hosts = _hosts_a6(spark, sf_dir)
-    order = S.nulls_last(hosts, "hostname", True, key="endpoint_id")
+    order = S.nulls_last_keys(hosts, "hostname", True, key="endpoint_id")
     return with_ordinal(hosts, order, "place").withColumn("place", F.col("place") + 1)
 
 
@@ -651,7 +651,7 @@ def q_sort_nulls_last_asc(spark, sf_dir):
 LEFT JOIN endpoints p ON p.endpoint_id = a.endpoint_id""", views=True, endpoints=True))
 def q_sort_nulls_last_desc(spark, sf_dir):
     hosts = _hosts_a6(spark, sf_dir)
-    order = S.nulls_last(hosts, "hostname", False, key="endpoint_id")
+    order = S.nulls_last_keys(hosts, "hostname", False, key="endpoint_id")
     return with_ordinal(hosts, order, "place").withColumn("place", F.col("place") + 1)
 
 

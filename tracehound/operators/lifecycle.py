@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_ts
-from ..session import delete_path, list_children
 from .views import latest_by_key
 
 # Retention of the stored tables in days.
@@ -39,26 +38,23 @@ def _month(day: Column) -> Column:
     return F.year(day) * 100 + F.month(day)
 
 
-def expire(spark: SparkSession, path: str, days: int, as_of: str | datetime) -> list[int]:
-    """L1 on a stored table: remove the folders of wholly expired months; returns those months.
+def expire(spark: SparkSession, path: str, days: int, as_of: str | datetime, table: str = "events") -> list[int]:
+    """L1 on a stored table: take wholly expired months out of it, in one step; returns those months.
 
-    Expired days of the first kept month stay on disk until the month has expired and are
+    Expired days of the first kept month stay stored until the month has expired and are
     left out by :func:`apply_retention`."""
+    from ..sources.sinks import table_store
+
     limit = spark.range(1).select(_month(first_kept_day(days, as_of))).first()[0]
-    gone = []
-    for folder in list_children(spark, path, "month="):
-        month = int(folder.rpartition("=")[2])
-        if month < limit:
-            delete_path(spark, folder)
-            gone.append(month)
-    return sorted(gone)
+    return table_store(spark, path, table).drop_months(limit)
+
 
+def truncate_tables(spark: SparkSession, tables: Mapping[str, str]) -> None:
+    """L2: empty every stored table (path -> "events" or "detections"), each in one step."""
+    from ..sources.sinks import table_store
 
-def truncate_tables(spark: SparkSession, tables: Iterable[tuple[str, DataFrame]], fmt: str = "parquet") -> None:
-    """L2: empty every table, keeping its schema and, where it has months, its layout."""
-    for path, df in tables:
-        writer = spark.createDataFrame([], df.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
-        (writer.partitionBy("month") if "month" in df.columns else writer).save(path)
+    for path, table in tables.items():
+        table_store(spark, path, table).create().truncate()
 
 
 def compact(
@@ -84,21 +80,12 @@ def compact(
 
 def compact_months(
     spark: SparkSession, path: str, table: str, keys: str | Sequence[str], version: str | Sequence[str], months: Sequence[int],
-) -> None:
-    """L3 on a stored table: collapse replaced rows of the given months and replace just those
-    partitions, sorted and in few files.
-
-    The compacted rows are written beside the table before any partition is replaced."""
-    from ..sources.events import load_table
-    from ..sources.sinks import SORT_KEYS
-
-    beside = f"{path.rstrip('/')}_compacting"
-    part = F.col("month").isin(list(months))
-    latest_by_key(load_table(spark, path, table).where(part), keys, version).write.mode("overwrite").partitionBy("month").parquet(beside)
-    fresh = spark.read.parquet(beside)
-    # `beside` holds no other month, so a dynamic overwrite leaves the other months alone
-    (
-        fresh.repartition(len(months), "month").sortWithinPartitions("month", *SORT_KEYS[table])
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    )
-    delete_path(spark, beside)
+) -> bool:
+    """L3 on a stored table: collapse replaced rows of the given months and put one sorted folder in
+    place of theirs, in one step.
+
+    May run beside writers and readers: rows stored meanwhile stay as they are, and queries that
+    follow the table see no row again.  False if another rewrite of these months came first."""
+    from ..sources.sinks import table_store
+
+    return table_store(spark, path, table).rewrite(list(months), lambda rows: latest_by_key(rows, keys, version), "compact")

@@ -65,12 +65,17 @@ def q_stored_compact(spark, sf_dir):
     return load_table(spark, path, "detections").select(*det.columns)
 
 
-@register("truncated_events", O.sql(f"SELECT {O.EVENTS_COLS} FROM ev2 WHERE false"))
+@register("truncated_events", O.sql("""SELECT 'before' AS state, CAST(month(date) + 100 * year(date) AS INTEGER) AS month, count(*) AS rows FROM ev2 GROUP BY ALL
+UNION ALL SELECT 'after', CAST(month(date) + 100 * year(date) AS INTEGER), count(*) FROM ev2 WHERE event_type = 'login' GROUP BY ALL"""))
 def q_truncated_events(spark, sf_dir):
+    """Rows a month before, and after emptying the table and storing the logins anew."""
     path = scratch_table_path(spark, "truncated")
     write_table(events(spark, sf_dir), path, "events")
-    L.truncate_tables(spark, [(path, load_table(spark, path, "events"))])
-    return load_table(spark, path, "events").select(*EVENT_COLUMNS)
+    count = lambda state: load_table(spark, path, "events").groupBy("month").agg(F.count("*").alias("rows")).select(F.lit(state).alias("state"), "month", "rows")
+    before = count("before")
+    L.truncate_tables(spark, {path: "events"})
+    write_table(events(spark, sf_dir).where("event_type = 'login'"), path, "events")
+    return before.unionByName(count("after"))
 
 
 # ------------------------------------------------------------------ stream job

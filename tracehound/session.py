@@ -124,6 +124,48 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def modified_ms(spark: SparkSession, path: str) -> int:
+    """Modification time of a file or folder."""
+    fs, p = _hadoop(spark, path)
+    return int(fs.getFileStatus(p).getModificationTime())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small UTF-8 file."""
+    fs, p = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file in one step: under a hidden name, then renamed.  False if the path is taken."""
+    import uuid
+
+    folder, _, name = path.rpartition("/")
+    fs, hidden = _hadoop(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(hidden, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    rename = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(hidden, hadoop.Path(path), options)
+    except Exception:
+        fs.delete(hidden, False)
+        if not path_exists(spark, path):
+            raise
+        return False
+    return True
+
+
 def scratch_table_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for an intermediate table under the shared checkpoint folder."""
     import uuid

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parse import parse_variant_events
-from ..schema import DETECTIONS, EVENTS
 from ..session import configure
-
-_TABLE_SCHEMAS = {"events": EVENTS, "detections": DETECTIONS}
+from .sinks import SCHEMAS, table_store
 
 
 def read_raw_events(
@@ -59,14 +58,13 @@ def read_event_file(spark: SparkSession, path: str, default_ts_ms=None) -> DataF
 
 
 def load_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """A stored table (Parquet, partitioned by ``month``); filters on ``month``
-    prune directories, other predicates are pushed into the Parquet reader."""
+    """A stored table; filters on ``month`` prune directories, other predicates are pushed into
+    the Parquet reader.  Parquet folders that another program wrote are read as they are."""
     configure(spark)
-    reader = spark.read
-    if name in _TABLE_SCHEMAS:
+    if name in SCHEMAS:
+        store = table_store(spark, path, name)
+        if store.exists():
+            return store.read()
         # fixed schema: no inference pass over the files
-        schema = _TABLE_SCHEMAS[name]
-        from pyspark.sql import types as T
-
-        reader = reader.schema(T.StructType(schema.fields + [T.StructField("month", T.IntegerType())]))
-    return reader.parquet(path)
+        return spark.read.schema(T.StructType([*SCHEMAS[name].fields, T.StructField("month", T.IntegerType())])).parquet(path)
+    return spark.read.parquet(path)

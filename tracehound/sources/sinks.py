@@ -1,32 +1,57 @@
 """Sinks (S3-S5, S7): stored tables, published detections, CSV export.
 
-Stored tables are Parquet partitioned by ``month`` (``year*100+month`` of ``date``)
-and, where they are written in batch, sorted by (endpoint_id, timestamp) inside each file, so
+Stored tables are :class:`~tracehound.sources.store.Store` tables: Parquet folders by write and
+``month`` (``year*100+month`` of ``date``), sorted by (endpoint_id, timestamp) inside each file, so
 month filters prune directories and endpoint/time predicates skip row groups by their
-statistics.  Streaming file sinks write unsorted; compaction (L3) sorts them.
-Streaming writes go through a checkpointed ``writeStream``: each micro-batch is one
-atomic append, and a restarted query resumes from the checkpoint without repeats.
+statistics.  Streaming writes store a micro-batch once, under its batch id; small folders are
+folded from time to time, beside the stream.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parse import with_month
+from ..schema import DETECTIONS, EVENTS
+from .store import Store
 
 SORT_KEYS = {"events": ("endpoint_id", "timestamp"), "detections": ("severity", "rule_id", "timestamp")}
+SCHEMAS = {"events": EVENTS, "detections": DETECTIONS}
+
+
+def table_store(spark: SparkSession, path: str, table: str) -> Store:
+    """The stored events or detections at ``path``."""
+    return Store(spark, path, SCHEMAS[table], sort=SORT_KEYS[table])
 
 
-def _prepared(df: DataFrame, table: str) -> DataFrame:
+def prepared(df: DataFrame, table: str) -> DataFrame:
+    """The table's columns and the month."""
     out = df if "month" in df.columns else with_month(df)
-    return out.sortWithinPartitions("month", *SORT_KEYS[table]) if not df.isStreaming else out
+    return out.select(*SCHEMAS[table].fieldNames(), "month")
 
 
 def write_table(df: DataFrame, path: str, table: str = "events", mode: str = "append") -> None:
-    """Batch append (or overwrite) of events/detections into the month-partitioned table."""
-    _prepared(df, table).write.mode(mode).partitionBy("month").parquet(path)
+    """Batch append (or overwrite) of events/detections into the stored table."""
+    store = table_store(df.sparkSession, path, table)
+    if mode == "overwrite":
+        store.replace(prepared(df, table))
+    elif mode == "append":
+        store.append(prepared(df, table))
+    else:
+        raise ValueError("mode must be 'append' or 'overwrite'")
+
+
+def write_batch(df: DataFrame, path: str, table: str, batch_id: int, writer: str) -> bool:
+    """Store a micro-batch's rows once, and fold small folders; False if the batch was stored before."""
+    store = table_store(df.sparkSession, path, table)
+    stored = store.append(prepared(df, table), batch_id, writer)
+    if stored:
+        store.fold()
+    return stored
 
 
 def write_events(df: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None):
@@ -50,16 +75,11 @@ def write_detections(df: DataFrame, path: str, checkpoint: str | None = None, tr
 def _stream_to(df: DataFrame, path: str, checkpoint: str | None, trigger: dict, table: str) -> StreamingQuery:
     if not checkpoint:
         raise ValueError("a streaming sink needs a checkpoint location")
-    writer: DataStreamWriter = (
-        _prepared(df, table)
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("month")
-        .outputMode("append")
-        .trigger(**trigger)
+    writer = f"sink{hashlib.sha256(checkpoint.encode()).hexdigest()[:8]}"  # batch ids count within a checkpoint
+    return (
+        df.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, path, table, batch_id, writer))
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
     )
-    return writer.start()
 
 
 def detections_json(det: DataFrame) -> DataFrame:
@@ -83,7 +103,7 @@ def detections_json(det: DataFrame) -> DataFrame:
 
 def publish_detections(
     det: DataFrame, fmt: str = "text", path: str | None = None, checkpoint: str | None = None,
-    trigger: dict | None = None, **options,
+    trigger: dict | None = None, mode: str = "append", **options,
 ):
     """Publish detections as JSON text (at least once).
 
@@ -102,7 +122,7 @@ def publish_detections(
         if trigger:
             w = w.trigger(**trigger)
         return w.start()
-    w = payload.write.mode("append").format(fmt).options(**options)
+    w = payload.write.mode(mode).format(fmt).options(**options)
     return w.save(path) if path else w.save()
 
 

@@ -27,8 +27,8 @@ begin no match any more and is dropped, and so are the state folders of all but
 batches.
 
 A batch is done when its ``meta`` row is written, which happens last; handling a done batch
-again changes nothing, and one that was cut short writes the same partitions again.  The
-detections table (``month``, ``batch`` partitions) therefore holds each detection once.
+again changes nothing, and of one that was cut short the detections table takes the rows only
+if its log does not name the batch yet.
 """
 
 from __future__ import annotations
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.parse import with_month
 from ..operators.ordinal import next_rows
 from ..operators.rules import MATCH_FIELDS, Rule, RuleRegistry, _rule_hit
-from ..schema import DETECTION_COLUMNS, DETECTIONS
+from ..schema import DETECTION_COLUMNS
 from ..session import delete_path, path_exists
+from ..sources.sinks import table_store, write_batch
 
 CARRY_FIELDS = tuple(f for f in MATCH_FIELDS if f != "timestamp")
 CARRY_DDL = ", ".join(f"{f} {'bigint' if f in ('ts_ms', 'bytes') else 'string'}" for f in (*CARRY_FIELDS, "kind"))
@@ -51,17 +51,6 @@ META_DDL = "max_seen bigint, released bigint"
 _NEVER = -(1 << 62)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store a micro-batch's rows in ``month``/``batch`` partitions; a replay replaces them."""
-    (
-        with_month(df).withColumn("batch", F.lit(int(batch_id)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month", "batch")
-        .parquet(path)
-    )
-
-
 class GlobalRuleBatches:
     """``foreachBatch`` handler computing detections per micro-batch (either scope)."""
 
@@ -77,19 +66,24 @@ class GlobalRuleBatches:
         if scope not in ("global", "endpoint"):
             raise ValueError("scope must be 'global' or 'endpoint'")
         self.partition = ("endpoint_id",) if scope == "endpoint" else ()
+        self.writer = f"rules-{scope}"
         self.detections = detections or os.path.join(root, f"detections_{scope}")
         self.state = os.path.join(root, f"_{scope}_state", "carry")
         self.meta = os.path.join(root, f"_{scope}_state", "meta")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if path_exists(batch.sparkSession, os.path.join(self._of(self.meta, batch_id), "_SUCCESS")):
-            return  # a replay of a batch that is done
+        if self.done(batch.sparkSession, batch_id):
+            return
         batch = batch.persist()  # read once per micro-batch, used by several jobs
         try:
             self._process(batch, batch_id)
         finally:
             batch.unpersist()
 
+    def done(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether this or a later batch was handled to its end."""
+        return any(path_exists(spark, os.path.join(self._of(self.meta, b), "_SUCCESS")) for b in (batch_id, batch_id + 1))
+
     @staticmethod
     def _of(path: str, batch_id: int) -> str:
         return os.path.join(path, f"batch={int(batch_id)}")
@@ -145,7 +139,7 @@ class GlobalRuleBatches:
                     .withColumn("date", F.to_date("timestamp"))
                     .select(*DETECTION_COLUMNS)
                 )
-                write_batch(det, self.detections, batch_id)
+                write_batch(det, self.detections, "detections", batch_id, self.writer)
             released = max(released, wm)
         live_tail = new_tail.where(F.col("ts_ms") > F.lit(wm - self.within_ms))
         state = hold.withColumn("kind", F.lit("pending")).unionByName(live_tail.withColumn("kind", F.lit("tail")))
@@ -159,9 +153,7 @@ class GlobalRuleBatches:
                 delete_path(spark, self._of(path, batch_id - 2))
 
     def read_detections(self, spark: SparkSession) -> DataFrame:
-        if not path_exists(spark, self.detections):
-            return spark.createDataFrame([], DETECTIONS)
-        return spark.read.schema(DETECTIONS).parquet(self.detections).select(*DETECTION_COLUMNS)
+        return table_store(spark, self.detections, "detections").read().select(*DETECTION_COLUMNS)
 
 
 def start_global_rules(

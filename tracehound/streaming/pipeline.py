@@ -5,21 +5,22 @@ Queries (each with its own checkpoint under ``root/_checkpoints``):
 
 ``job``         one query over the raw messages: each micro-batch is parsed once and feeds the
                 events table, the quarantine folder and the rules, which write the
-                detections table.  All are ``batch`` partitions that a replay replaces.
+                detections table.  A batch handled again changes nothing.
                 Late events are stored too; only matching drops them.
-``publish``     detections table as a stream -> JSON text (``ruleId`` etc.) -> topic
-                or files (at least once; consumers dedupe by ``id``).
-``rollups``     per micro-batch rollups of events and detections -> ``batch=<id>``
-                partitions (idempotent on replay, folded from time to time) -> summary views.
+``publish``     follows the detections table -> JSON text (``ruleId`` etc.) -> topic
+                (at least once; consumers dedupe by ``id``) or one folder a batch.
+``rollups``     follow the stored tables: a rollup of each appended row, once -> summary views.
 ``live``        every ``refresh``, with or without new events: newest 20 events and
-                detections, and one dashboard snapshot row appended to the snapshot table.
+                detections, and one dashboard snapshot row in the snapshot table.
 
-With ``impl="state"`` the rules are the keyed ordering buffer instead, and events, quarantine
-and detections are three file-sink queries.
+Tables are stores (``sources.store``): what a query follows are the rows that a writer appended,
+each once, whatever folding and compaction do meanwhile.  With ``impl="state"`` the rules are the
+keyed ordering buffer instead, and events, quarantine and detections are three queries.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import time
 from dataclasses import dataclass
@@ -35,13 +36,14 @@ from ..operators.sorting import latest
 from ..plans.dashboard import dashboard_snapshot
 from ..schema import DETECTIONS, EVENTS
 from ..session import configure, delete_path, list_children, path_exists
-from ..sources.events import load_table
-from ..sources.sinks import publish_detections, write_detections, write_events
+from ..sources.sinks import publish_detections, table_store, write_batch, write_detections, write_events
+from ..sources.store import Store
 from . import rollups as RU
-from .global_order import GlobalRuleBatches, write_batch
+from .global_order import GlobalRuleBatches
 from .ordering import stream_rules
 
 
+SNAPSHOT_DAYS = 30
 KEEP_LIVE_NS = 60 * 10**9  # replaced live lists stay this long for readers that still have them open
 
 
@@ -94,10 +96,6 @@ class Layout:
         return os.path.join(self.root, "_checkpoints", query)
 
 
-def _with_month_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("month", T.IntegerType())])
-
-
 def normalized_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse + normalise a raw ``value`` stream; returns (events, quarantined text)."""
     parsed, bad = parse_events_with_quarantine(raw)
@@ -125,11 +123,13 @@ class Job:
         self.layout, self.rules = layout, rules
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.rules.done(batch.sparkSession, batch_id):
+            return
         staged = stage(batch.select("value")).persist()
         try:
             good, bad = parse_staged(staged)
             events = normalize_events(good)
-            write_batch(events, self.layout.events, batch_id)
+            write_batch(events, self.layout.events, "events", batch_id, "job")
             bad.select("value").write.mode("overwrite").text(os.path.join(self.layout.quarantine, f"batch={int(batch_id)}"))
             self.rules(events, batch_id)
         finally:
@@ -170,50 +170,40 @@ def _duration_ms(text: str) -> int:
 
 
 def create_tables(spark: SparkSession, layout: Layout) -> None:
-    """Empty folders for the stored tables, so that streams can follow them from the start."""
-    for path, schema in ((layout.events, EVENTS), (layout.detections, DETECTIONS)):
-        if not path_exists(spark, path):
-            with_month(spark.createDataFrame([], schema)).write.mode("append").partitionBy("month").parquet(path)
-
-
-def detections_stream(spark: SparkSession, layout: Layout) -> DataFrame:
-    """The detections table read back as a stream (only committed files)."""
-    return spark.readStream.schema(_with_month_schema(DETECTIONS)).parquet(layout.detections)
+    """Empty stored tables, unless there are some."""
+    table_store(spark, layout.events, "events").create()
+    table_store(spark, layout.detections, "detections").create()
 
 
-def events_stream(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.readStream.schema(_with_month_schema(EVENTS)).parquet(layout.events)
+def start_publisher(spark: SparkSession, layout: Layout, fmt: str = "text", trigger: dict | None = None, **options) -> StreamingQuery:
+    """Publish every stored detection.  Text goes to one folder a batch, which a replay replaces."""
 
+    def publish(det: DataFrame, batch_id: int) -> None:
+        if fmt == "text":
+            publish_detections(det, fmt, path=os.path.join(layout.published, f"batch={int(batch_id)}"), mode="overwrite", **options)
+        else:
+            publish_detections(det, fmt, **options)
 
-def start_publisher(spark: SparkSession, layout: Layout, fmt: str = "text", trigger: dict | None = None, **options) -> StreamingQuery:
-    det = detections_stream(spark, layout).drop("month")
-    return publish_detections(
-        det, fmt, path=layout.published if fmt == "text" else None,
-        checkpoint=layout.checkpoint("publish"), trigger=trigger, **options,
-    )
+    return table_store(spark, layout.detections, "detections").follow(publish, layout.checkpoint("publish"), trigger or {"processingTime": "200 milliseconds"})
 
 
 def start_rollups(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> dict[str, StreamingQuery]:
-    """M3: per-batch rollups of the stored events and detections."""
+    """M3: rollups of the stored events and detections, each row counted once."""
+    kinds = {
+        "events": (layout.events, layout.event_rollup, RU.event_rollup),
+        "detections": (layout.detections, layout.detection_rollup, RU.detection_rollup),
+    }
 
-    def events_batch(df: DataFrame, batch_id: int) -> None:
-        RU.write_partial(RU.event_rollup(df), layout.event_rollup, batch_id)
-        RU.compact_rollup(spark, layout.event_rollup, batch_id, "events")
+    def start(kind: str) -> StreamingQuery:
+        table, rollup, build = kinds[kind]
 
-    def detections_batch(df: DataFrame, batch_id: int) -> None:
-        RU.write_partial(RU.detection_rollup(df), layout.detection_rollup, batch_id)
-        RU.compact_rollup(spark, layout.detection_rollup, batch_id, "detections")
+        def handle(rows: DataFrame, batch_id: int) -> None:
+            RU.write_partial(build(rows), rollup, batch_id, kind)
+            RU.compact_rollup(spark, rollup, batch_id, kind)
 
-    t = trigger or {"processingTime": "1 second"}
-    q_e = (
-        events_stream(spark, layout).writeStream.foreachBatch(events_batch)
-        .option("checkpointLocation", layout.checkpoint("rollup_events")).trigger(**t).start()
-    )
-    q_d = (
-        detections_stream(spark, layout).writeStream.foreachBatch(detections_batch)
-        .option("checkpointLocation", layout.checkpoint("rollup_detections")).trigger(**t).start()
-    )
-    return {"rollup_events": q_e, "rollup_detections": q_d}
+        return table_store(spark, table, kind).follow(handle, layout.checkpoint(f"rollup_{kind}"), trigger or {"processingTime": "1 second"})
+
+    return {f"rollup_{kind}": start(kind) for kind in kinds}
 
 
 def current_views(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
@@ -225,9 +215,7 @@ def current_views(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
 
 def stored(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A stored table, empty before anything is stored."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], EVENTS if table == "events" else DETECTIONS)
-    return load_table(spark, path, table)
+    return table_store(spark, path, table).read()
 
 
 def live_list(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -244,15 +232,12 @@ def live_list(spark: SparkSession, path: str, table: str) -> DataFrame:
 def _newest(spark: SparkSession, path: str, table: str, held_path: str, n: int) -> DataFrame:
     """The newest ``n`` rows of a stored table, kept at ``held_path``.
 
-    Once ``n`` rows are held, only months and rows from the oldest held one on are read: rows
-    before it cannot be among the newest any more.  At most ``n`` rows pass the driver."""
-    rows = stored(spark, path, table)
+    Months are read from the last one back until ``n`` rows are found; once ``n`` rows are held,
+    rows before the oldest held one are left out as well.  At most ``n`` rows pass the driver."""
+    store = table_store(spark, path, table)
     held = live_list(spark, held_path, table).agg(F.count("*").alias("n"), F.min("timestamp").alias("t")).first()
-    if held["n"] >= n:
-        rows = rows.where(F.col("timestamp") >= F.lit(held["t"]))
-        if "month" in rows.columns:
-            rows = rows.where(F.col("month") >= F.lit(held["t"].year * 100 + held["t"].month))
-    schema = EVENTS if table == "events" else DETECTIONS
+    rows = store.newest(n, lambda df: df, F.col("timestamp") >= F.lit(held["t"]) if held["n"] >= n else None)
+    schema = store.schema
     top = spark.createDataFrame(latest(rows.select(*schema.fieldNames()), n).collect(), schema)
     now = time.time_ns()
     top.coalesce(1).withColumn("at", F.lit(now)).write.mode("append").partitionBy("at").parquet(held_path)
@@ -262,14 +247,15 @@ def _newest(spark: SparkSession, path: str, table: str, held_path: str, n: int)
     return top
 
 
-def refresh_live(spark: SparkSession, layout: Layout, n: int = 20, as_of: str | None = None) -> None:
-    """One refresh of the live lists and one dashboard snapshot, from the stored tables.
+def refresh_live(spark: SparkSession, layout: Layout, n: int = 20, as_of: str | None = None, keep_days: int = SNAPSHOT_DAYS) -> None:
+    """One refresh of the live lists and one dashboard snapshot, from the stored tables; snapshots
+    older than ``keep_days`` go.
 
     Views come from the rollups; before the first rollup they are derived from the tables."""
     configure(spark)
     recent = _newest(spark, layout.events, "events", layout.live_events, n)
     alerts = _newest(spark, layout.detections, "detections", layout.live_detections, n)
-    if path_exists(spark, layout.event_rollup):
+    if RU.rollup_store(spark, layout.event_rollup, "events").exists():
         views = current_views(spark, layout)
     else:
         views = RU.views_from_rollups(
@@ -277,15 +263,32 @@ def refresh_live(spark: SparkSession, layout: Layout, n: int = 20, as_of: str |
             RU.detection_rollup(stored(spark, layout.detections, "detections")),
         )
     snap = dashboard_snapshot(recent, alerts, as_of or F.current_timestamp(), views)
-    snap.coalesce(1).write.mode("append").parquet(layout.snapshots)
+    snap.coalesce(1).write.mode("append").partitionBy("snapshot_date").parquet(layout.snapshots)
+    prune_snapshots(spark, layout, keep_days)
+
+
+def _snapshot_days(spark: SparkSession, layout: Layout) -> list[tuple[dt.date, str]]:
+    found = ((p.rpartition("=")[2], p) for p in list_children(spark, layout.snapshots, "snapshot_date="))
+    return sorted((dt.date.fromisoformat(day), p) for day, p in found)
+
+
+def prune_snapshots(spark: SparkSession, layout: Layout, keep_days: int) -> list[dt.date]:
+    """Remove the folders of snapshot days more than ``keep_days`` before the newest one; returns those days."""
+    days = _snapshot_days(spark, layout)
+    old = [(day, p) for day, p in days if day <= days[-1][0] - dt.timedelta(days=keep_days)]
+    for _, path in old:
+        delete_path(spark, path)
+    return [day for day, _ in old]
 
 
-def prune_snapshots(spark: SparkSession, layout: Layout, keep_days: int, today) -> None:
-    """Keep the snapshots of the last ``keep_days`` days (rewritten to a folder beside, then swapped)."""
-    fresh = f"{layout.snapshots}_kept"
-    spark.read.parquet(layout.snapshots).where(F.col("snapshot_date") > F.date_sub(F.lit(today), keep_days)).write.mode("overwrite").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(layout.snapshots)
-    delete_path(spark, fresh)
+def newest_snapshot(spark: SparkSession, layout: Layout) -> DataFrame:
+    """M5 / Q5: the newest snapshot row; only the newest day is read (no rows before the first snapshot)."""
+    days = _snapshot_days(spark, layout)
+    if not days:
+        empty = {t: spark.createDataFrame([], k) for t, k in (("events", EVENTS), ("detections", DETECTIONS))}
+        return dashboard_snapshot(empty["events"], empty["detections"], F.current_timestamp()).limit(0)
+    rows = spark.read.option("basePath", layout.snapshots).parquet(days[-1][1])
+    return rows.orderBy(F.col("snapshot_timestamp").desc()).limit(1)
 
 
 def start_live(
@@ -331,6 +334,8 @@ __all__ = [
     "refresh_live",
     "live_list",
     "start_publisher",
+    "newest_snapshot",
+    "prune_snapshots",
     "start_rollups",
     "start_live",
     "current_views",

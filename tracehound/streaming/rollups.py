@@ -1,16 +1,15 @@
 """Incremental upkeep of the summary views (M3) from streaming micro-batches.
 
-Each micro-batch's rollup is appended into its own ``batch=<id>`` partition with
-dynamic partition overwrite, so a replayed batch replaces itself (exactly once).
-Readers merge partials with a second-level ``groupBy`` (the summing-table semantics);
-:func:`compact_rollup` folds them from time to time.  The rollup builders and the
+Each micro-batch's rollup is stored once under its batch id (``sources.store``): a batch handled
+again adds nothing.  Readers merge partials with a second-level ``groupBy`` (the summing-table
+semantics); :func:`compact_rollup` puts one merged partial in place of the others from time to
+time, in one step, so a reader counts every batch once at any moment.  The rollup builders and the
 views derived from rollups live in ``operators.rollups``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.rollups import (  # noqa: F401  (re-exported)
     DETECTION_ROLLUP_KEYS,
@@ -29,44 +28,34 @@ from ..operators.rollups import (  # noqa: F401  (re-exported)
     views_from_rollups,
 )
 from ..schema import DETECTIONS, EVENTS
-from ..session import delete_path, path_exists
+from ..sources.store import Store
 
 
 # ------------------------------------------------------------------ upkeep
 
 
-def write_partial(rollup: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch's rollup in partition ``batch=<id>`` (replays overwrite)."""
-    (
-        rollup.withColumn("batch", F.lit(int(batch_id)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(path)
-    )
+def rollup_store(spark: SparkSession, path: str, kind: str = "events") -> Store:
+    empty = event_rollup(spark.createDataFrame([], EVENTS)) if kind == "events" else detection_rollup(spark.createDataFrame([], DETECTIONS))
+    return Store(spark, path, empty.schema, months=False)
+
+
+def write_partial(rollup: DataFrame, path: str, batch_id: int, kind: str = "events") -> bool:
+    """Store one micro-batch's rollup; False if that batch was stored before."""
+    return rollup_store(rollup.sparkSession, path, kind).append(rollup, batch_id, "rollup")
+
+
+def _merge(kind: str):
+    return merge_event_rollup if kind == "events" else merge_detection_rollup
 
 
 def read_rollup(spark: SparkSession, path: str, kind: str = "events") -> DataFrame:
     """The merged partials; an empty rollup where none has been written."""
-    raw = event_rollup(spark.createDataFrame([], EVENTS)) if kind == "events" else detection_rollup(spark.createDataFrame([], DETECTIONS))
-    if path_exists(spark, path):
-        raw = spark.read.parquet(path).drop("batch")
-    return merge_event_rollup(raw) if kind == "events" else merge_detection_rollup(raw)
-
-
-def compact_rollup(spark: SparkSession, path: str, batch_id: int, kind: str = "events", every: int = 50) -> None:
-    """M2: after each ``every``-th batch fold that batch and the ones before it into its own
-    partition and drop the others.
-
-    The folded rows are written to a folder beside the table first, so a replay starts from
-    complete partials; at no time does a reader miss or double a batch for longer than the
-    swap of one partition."""
-    if batch_id % every or not batch_id:
-        return
-    done = f"{path}_folded"
-    if not path_exists(spark, f"{done}/batch={batch_id}/_SUCCESS"):
-        read_rollup(spark, path, kind).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-    write_partial(spark.read.parquet(f"{done}/batch={batch_id}"), path, batch_id)
-    for old in range(max(0, batch_id - 2 * every), batch_id):
-        delete_path(spark, f"{path}/batch={old}")
-    delete_path(spark, f"{done}/batch={batch_id - every}")
+    return _merge(kind)(rollup_store(spark, path, kind).read())
+
+
+def compact_rollup(spark: SparkSession, path: str, batch_id: int, kind: str = "events", every: int = 50) -> bool:
+    """M2: once ``every`` partials are live, put one in their place."""
+    store = rollup_store(spark, path, kind)
+    if len(store.state()["live"]) < every:
+        return False
+    return store.rewrite(None, _merge(kind), "fold")

@@ -20,7 +20,7 @@ def is_suspicious_process(col: str | Column, names: Iterable[str] = SUSPICIOUS_P
     """True when the lower-cased name contains any watch-list entry; null gives false.
 
     A fixed short list compiles to an OR of ``contains`` inside codegen.  For a large
-    watch list, join against a table of names instead (see ``filters.filter_in``).
+    watch list see ``operators.watchlist.on_watch_list``.
     """
     low = F.lower(_c(col))
     expr = None

@@ -34,7 +34,8 @@ def _month_bounds(df: DataFrame, from_, to) -> Column | None:
     return cond
 
 
-def _time_range(df: DataFrame, from_, to, col: str = "timestamp") -> DataFrame:
+def filter_time(df: DataFrame, from_, to, col: str = "timestamp") -> DataFrame:
+    """inclusive time range, with the months it lies in where ``df`` has them."""
     if from_:
         df = df.where(F.col(col) >= _ts(from_))
     if to:
@@ -61,7 +62,7 @@ def filter_events(
 ) -> DataFrame:
     """optional equality on endpoint, type, user; inclusive time range."""
     df = multi_filter(ev, {"endpoint_id": endpoint_id, "event_type": event_type, "user": username})
-    return _time_range(df, from_, to)
+    return filter_time(df, from_, to)
 
 
 def filter_detections(
@@ -77,7 +78,7 @@ def filter_detections(
     """Detections filtered like events; ``username`` keeps detections on
     endpoints where that user has any event (left semi join)."""
     df = multi_filter(det, {"severity": severity, "rule_id": rule_id, "endpoint_id": endpoint_id})
-    df = _time_range(df, from_, to)
+    df = filter_time(df, from_, to)
     if username:
         if events is None:
             raise ValueError("username filter needs the events table")

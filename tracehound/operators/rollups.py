@@ -14,7 +14,7 @@ partial rollups and merges them on read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .distinct import smallest_distinct
@@ -79,30 +79,37 @@ def user_events(er: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_details_view(er: DataFrame, k: int = 10) -> DataFrame:
-    """A6 from the event rollup."""
-    agg = er.groupBy("endpoint_id").agg(
+def endpoint_totals(er: DataFrame) -> DataFrame:
+    """A6 without its list of types."""
+    return er.groupBy("endpoint_id").agg(
         F.min_by("user", F.struct("first_seen", "user")).alias("primary_user"),
         F.max("last_seen").alias("last_seen"),
         F.sum("n").cast("bigint").alias("total_events"),
         F.count_distinct("event_type").alias("unique_event_types"),
         F.count_distinct("user").alias("unique_users"),
     )
+
+
+def endpoint_details_view(er: DataFrame, k: int = 10) -> DataFrame:
+    """A6 from the event rollup."""
     types = smallest_distinct(er, "endpoint_id", "event_type", k, "recent_event_types")
-    return agg.join(types, "endpoint_id", "left")
+    return endpoint_totals(er).join(types, "endpoint_id", "left")
 
 
-def user_details_view(er: DataFrame, k: int = 10) -> DataFrame:
-    """A7 from the event rollup."""
-    named = er.where(F.col("user") != "")
-    agg = named.groupBy("user").agg(
+def user_totals(er: DataFrame) -> DataFrame:
+    """A7 without its list of endpoints."""
+    return er.where(F.col("user") != "").groupBy("user").agg(
         F.max("last_seen").alias("last_seen"),
         F.sum("n").cast("bigint").alias("total_events"),
         F.count_distinct("event_type").alias("unique_event_types"),
         F.count_distinct("endpoint_id").alias("unique_endpoints"),
     )
-    eps = smallest_distinct(named, "user", "endpoint_id", k, "recent_endpoints")
-    return agg.join(eps, "user", "left")
+
+
+def user_details_view(er: DataFrame, k: int = 10) -> DataFrame:
+    """A7 from the event rollup."""
+    eps = smallest_distinct(er.where(F.col("user") != ""), "user", "endpoint_id", k, "recent_endpoints")
+    return user_totals(er).join(eps, "user", "left")
 
 
 def detection_summary(dr: DataFrame) -> DataFrame:
@@ -122,16 +129,29 @@ def endpoint_detections(dr: DataFrame) -> DataFrame:
     )
 
 
+USERS_PER_SALT = 10_000
+
+
+def fan_out(per_endpoint: DataFrame, pairs: DataFrame) -> GroupedData:
+    """Groups of detections of an endpoint met with each user of it, by (user, date, severity, rule).
+
+    Users of an endpoint are dealt to salts of about :data:`USERS_PER_SALT`; only the groups of an
+    endpoint with more users are repeated, once a salt.  So an endpoint that a third of all users share
+    is met in many tasks."""
+    users = pairs.groupBy("endpoint_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / USERS_PER_SALT), F.lit(1)).cast("int").alias("_salts"))
+    dealt = per_endpoint.join(users, "endpoint_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    hot = users.where("_salts > 1")
+    # few endpoints are hot (at most the pairs / USERS_PER_SALT); the planner measures them
+    salted = pairs.join(hot, "endpoint_id", "left").withColumn("_salt", F.pmod(F.xxhash64("user"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    return dealt.drop("_salts").join(salted, ["endpoint_id", "_salt"]).groupBy("user", "date", "severity", "rule_id")
+
+
 def user_detections(dr: DataFrame, er: DataFrame) -> DataFrame:
     """A5 from both rollups: always the full join (later events of a user on an
     endpoint also count earlier detections there, D9)."""
     pairs = er.where(F.col("user") != "").select("user", "endpoint_id").distinct()
     per_endpoint = dr.groupBy(*DETECTION_ROLLUP_KEYS).agg(F.sum("n").alias("_n"))
-    return (
-        per_endpoint.join(pairs, "endpoint_id")
-        .groupBy("user", "date", "severity", "rule_id")
-        .agg(F.sum("_n").cast("bigint").alias("detection_count"))
-    )
+    return fan_out(per_endpoint, pairs).agg(F.sum("_n").cast("bigint").alias("detection_count"))
 
 
 def views_from_rollups(er: DataFrame, dr: DataFrame) -> dict[str, DataFrame]:

@@ -79,11 +79,7 @@ def user_detections(det: DataFrame, ev: DataFrame) -> DataFrame:
     per_endpoint = det.groupBy(
         "endpoint_id", F.to_date("timestamp").alias("date"), "severity", "rule_id"
     ).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        per_endpoint.join(user_endpoint_pairs(ev), "endpoint_id")
-        .groupBy("user", "date", "severity", "rule_id")
-        .agg(F.sum("_n").alias("detection_count"))
-    )
+    return RU.fan_out(per_endpoint, user_endpoint_pairs(ev)).agg(F.sum("_n").alias("detection_count"))
 
 
 def _rollup(ev: DataFrame, write: bool) -> DataFrame:

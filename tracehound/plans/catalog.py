@@ -554,9 +554,8 @@ _DASH = {
 
 def _dash_part(part: str):
     def fn(spark, sf_dir):
-        stats = D.dashboard_stats(_snapshot(spark, sf_dir), fixture_endpoints(spark))
-        out = stats[part]
-        return out.withColumn("rank", F.col("rank").cast("int"))
+        ev = events(spark, sf_dir)
+        return D.dashboard_section(part, ev, lambda: detections(spark, sf_dir), AS_OF, fixture_endpoints(spark))
 
     return fn
 
@@ -570,8 +569,7 @@ for _part, _sql in _DASH.items():
   (SELECT CAST(coalesce(sum(event_count), 0) AS BIGINT) FROM a3 WHERE {_DAY}) total_events,
   (SELECT CAST(coalesce(sum(detection_count), 0) AS BIGINT) FROM a2 WHERE {_DAY}) total_detections""", views=True))
 def q_dashboard_totals(spark, sf_dir):
-    snap = _snapshot(spark, sf_dir)
-    return snap.select("snapshot_date", "snapshot_hour", "snapshot_minute", "snapshot_timestamp", "total_events", "total_detections")
+    return D.dashboard_totals(events(spark, sf_dir), lambda: detections(spark, sf_dir), AS_OF)
 
 
 @register("dashboard_event_type_pct", O.sql(f"""SELECT event_type, count, CAST(count AS DOUBLE) / max(count) OVER () * 100.0 pct_of_max FROM

@@ -10,6 +10,7 @@ come from one sort per section, so parallel fields cannot misalign.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import to_ts
-from ..operators import views as V
 from ..operators.filters import recent_days, recent_hours
 from ..operators.joins import add_hostnames
 from ..operators.sorting import latest, top_k
+from ..operators import rollups as RU
 from ..session import materialize
-from ..streaming import rollups as RU
+from .requests import Parts
+
+Frame = DataFrame | Callable[[], DataFrame]
 
 # Section sizes of the dashboard.
 EVENT_TYPES_TOP = 10
@@ -135,37 +138,55 @@ def _widen(df: DataFrame, section: str) -> DataFrame:
     return df.select(*cols)
 
 
-def snapshot_sections(ev: DataFrame, det: DataFrame, as_of, views: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The dashboard sections.  ``views`` may supply the summary views already kept
-    up to date (e.g. from the streaming rollups); otherwise they are derived from
-    rollups built with one pass over ``ev`` / ``det``.  ``ev`` and ``det`` are then only
-    read again for the newest rows (top-k)."""
-    if views is None:
-        # one scan of the events into a small rollup (written once), from which all
-        # five views derive exactly, instead of five scans of the events table
-        er = materialize(RU.event_rollup(ev), "event-rollup")
-        dr = materialize(RU.detection_rollup(det), "detection-rollup")
-        views = RU.views_from_rollups(er, dr)
-
-    def view(name, build):
-        return views[name] if name in views else build()
-
-    a2 = view("endpoint_detections", lambda: V.endpoint_detections(det))
-    a3 = view("endpoint_events", lambda: V.endpoint_events(ev))
-    a5 = view("user_detections", lambda: V.user_detections(det, ev))
-    a6 = view("endpoint_details", lambda: V.endpoint_details_view(ev))
-    a7 = view("user_details", lambda: V.user_details_view(ev))
-    sev = severity_distribution(a5, as_of)
-    return {
-        "totals_events": total_events(a3, as_of),
-        "totals_detections": total_detections(a2, as_of),
-        "severity": _ranked(sev, [F.col("severity")]),
-        "event_types": event_type_distribution(a3, as_of),
-        "active_endpoints": active_endpoints(a6, as_of),
-        "active_users": active_users(a7, as_of),
-        "recent_events": recent_events(ev),
-        "recent_detections": recent_detections(det),
-    }
+def snapshot_sections(ev: DataFrame, det: Frame, as_of, views: Mapping[str, DataFrame] | None = None) -> Mapping[str, DataFrame]:
+    """The dashboard sections, each planned when it is asked for.  ``views`` may supply the summary
+    views already kept up to date (e.g. from the streaming rollups); otherwise a section derives what it
+    shows from ``ev`` or ``det`` (a frame, or a function that gives it) and nothing else."""
+    frames: dict[str, DataFrame] = {}
+
+    def detections() -> DataFrame:
+        if "det" not in frames:
+            frames["det"] = det if isinstance(det, DataFrame) else det()
+        return frames["det"]
+
+    given = views or {}
+    a2 = lambda: given["endpoint_detections"] if given else RU.endpoint_detections(RU.detection_rollup(_since(detections(), as_of)))
+    a3 = lambda: given["endpoint_events"] if given else RU.endpoint_events(RU.event_rollup(_since(ev, as_of)))
+    a5 = lambda: given["user_detections"] if given else RU.user_detections(RU.detection_rollup(_since(detections(), as_of)), RU.event_rollup(ev))
+    a6 = lambda: given["endpoint_details"] if given else RU.endpoint_totals(RU.event_rollup(ev))
+    a7 = lambda: given["user_details"] if given else RU.user_totals(RU.event_rollup(ev))
+    return Parts({
+        "totals_events": lambda: total_events(a3(), as_of),
+        "totals_detections": lambda: total_detections(a2(), as_of),
+        "severity": lambda: _ranked(severity_distribution(a5(), as_of), [F.col("severity")]),
+        "event_types": lambda: event_type_distribution(a3(), as_of),
+        "active_endpoints": lambda: active_endpoints(a6(), as_of),
+        "active_users": lambda: active_users(a7(), as_of),
+        "recent_events": lambda: recent_events(ev),
+        "recent_detections": lambda: recent_detections(detections()),
+    })
+
+
+def _since(df: DataFrame, as_of) -> DataFrame:
+    """Rows of the trailing day and later, by the time column (and months, where there are some)."""
+    first = F.date_sub(F.to_date(to_ts(as_of)), 1)
+    recent = df.where(F.col("timestamp") >= first.cast("timestamp"))
+    return recent.where(F.col("month") >= F.year(first) * 100 + F.month(first)) if "month" in df.columns else recent
+
+
+def dashboard_section(name: str, ev: DataFrame, det: Frame, as_of, endpoints: DataFrame | None = None, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """One section of the response (Q5), planned alone: its records by rank, hostnames added to the
+    recent events and detections."""
+    rows = snapshot_sections(ev, det, as_of, views)[name].select("rank", *SECTION_FIELDS[name])
+    if endpoints is not None and name in ("recent_events", "recent_detections"):
+        rows = add_hostnames(rows, endpoints)
+    return rows
+
+
+def dashboard_totals(ev: DataFrame, det: Frame, as_of, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Snapshot time and the two totals, without the sections."""
+    sections = snapshot_sections(ev, det, as_of, views)
+    return _assembled({name: sections[name] for name in ("totals_events", "totals_detections")}, as_of, [])
 
 
 def _drop_rank(fields):
@@ -175,11 +196,8 @@ def _drop_rank(fields):
     return project
 
 
-def dashboard_snapshot(
-    ev: DataFrame, det: DataFrame, as_of: str | datetime, views: dict[str, DataFrame] | None = None
-) -> DataFrame:
-    """One row: snapshot time, totals, and one ordered array of records per section."""
-    sections = snapshot_sections(ev, det, as_of, views)
+def _assembled(sections: Mapping[str, DataFrame], as_of, names) -> DataFrame:
+    """One row of a tagged union of (bounded) sections: no joins."""
     parts = [_widen(df, name) for name, df in sections.items()]
     wide = parts[0]
     for p in parts[1:]:
@@ -188,7 +206,8 @@ def dashboard_snapshot(
         F.coalesce(F.max("total_events"), F.lit(0)).cast("bigint").alias("total_events"),
         F.coalesce(F.max("total_detections"), F.lit(0)).cast("bigint").alias("total_detections"),
     ]
-    for name, fields in SECTION_FIELDS.items():
+    for name in names:
+        fields = SECTION_FIELDS[name]
         rec = F.struct(F.col("rank"), *[F.col(c) for c in fields])
         collected = F.array_sort(F.collect_list(F.when(F.col("section") == name, rec)))
         aggs.append(F.transform(collected, _drop_rank(fields)).alias(name))
@@ -202,6 +221,18 @@ def dashboard_snapshot(
     return wide.agg(*aggs).select(*head, "*")
 
 
+def dashboard_snapshot(
+    ev: DataFrame, det: DataFrame, as_of: str | datetime, views: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """One row: snapshot time, totals, and one ordered array of records per section.
+
+    Without ``views`` both rollups are built in one pass each and written once: all sections read those
+    small tables, and the rows themselves only for the newest ones (top-k)."""
+    if views is None:
+        views = RU.views_from_rollups(materialize(RU.event_rollup(ev), "event-rollup"), materialize(RU.detection_rollup(det), "detection-rollup"))
+    return _assembled(snapshot_sections(ev, det, as_of, views), as_of, SECTION_FIELDS)
+
+
 def dashboard_stats(snapshot: DataFrame, endpoints: DataFrame) -> dict[str, DataFrame]:
     """Q5: response form of the newest snapshot: totals default 0, records per
     section, hostnames added to the recent events and detections."""

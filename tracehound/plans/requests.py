@@ -11,16 +11,24 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import views as V
 from ..operators.filters import filter_detections, filter_events
-from ..operators.joins import attach_events
+from ..operators.joins import attach_events, held_page
+from ..operators.rules import RuleRegistry
 from ..operators.sorting import latest, newest_first, page
+from ..sources.store import Store
 
 LIVE_ROWS = 20
 DETAIL_ROWS = 20
+WITHIN_MS = max(r.within_ms for r in RuleRegistry.default().rules)  # longest span of a detection's events
+
+
+def _page_with_events(page_: DataFrame, ev: DataFrame, limit: int, within_ms: int) -> DataFrame:
+    """A page of detections, evaluated once, with its events from the time that it spans."""
+    return attach_events(held_page(page_, limit), ev, within_ms=within_ms)
 
 
 def get_events(
@@ -55,16 +63,23 @@ def get_detections(
     to: str | datetime | None = None,
     username: str | None = None,
     with_events: bool = True,
+    within_ms: int = WITHIN_MS,
 ) -> DataFrame:
-    """Q3: filtered detections, newest first, paged, each with its events."""
+    """Q3: filtered detections, newest first, paged, each with its events (``within_ms``: the longest
+    span of the rules that made them)."""
     df = filter_detections(det, ev, severity, rule_id, endpoint_id, from_, to, username)
     out = page(df, newest_first(), limit, offset)
-    return attach_events(out, ev) if with_events else out
+    return _page_with_events(out, ev, limit, within_ms) if with_events else out
 
 
-def live_detections(det: DataFrame, ev: DataFrame, n: int = LIVE_ROWS) -> DataFrame:
+def live_detections(det: DataFrame, ev: DataFrame, n: int = LIVE_ROWS, within_ms: int = WITHIN_MS) -> DataFrame:
     """Q4: the newest ``n`` detections with their events."""
-    return attach_events(latest(det, n), ev)
+    return _page_with_events(latest(det, n), ev, n, within_ms)
+
+
+def newest_stored(store: Store, n: int = LIVE_ROWS, where: Column | None = None) -> DataFrame:
+    """Q2 / W3 on a stored table: its newest ``n`` rows, from the last months that hold as many."""
+    return store.newest(n, lambda rows: latest(rows.select(*store.schema.fieldNames()), n), where)
 
 
 def list_endpoints(ev: DataFrame) -> DataFrame:
@@ -112,7 +127,9 @@ def _frame(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     return df if isinstance(df, DataFrame) else df()
 
 
-def endpoint_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], endpoint_id: str) -> Mapping[str, DataFrame]:
+def endpoint_details(
+    ev: DataFrame, det: DataFrame | Callable[[], DataFrame], endpoint_id: str, within_ms: int = WITHIN_MS,
+) -> Mapping[str, DataFrame]:
     """Q8: details, eventSummary, events, detectionSummary, detections of one endpoint."""
     mine = ev.where(F.col("endpoint_id") == F.lit(endpoint_id))
 
@@ -134,7 +151,7 @@ def endpoint_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], en
         ),
         "events": lambda: latest(mine, DETAIL_ROWS),
         "detectionSummary": lambda: V.endpoint_detection_summary(V.endpoint_detections(my_det())),
-        "detections": lambda: attach_events(latest(my_det(), DETAIL_ROWS), ev),
+        "detections": lambda: _page_with_events(latest(my_det(), DETAIL_ROWS), ev, DETAIL_ROWS, within_ms),
     })
 
 
@@ -146,7 +163,9 @@ def user_recent_endpoints(ev: DataFrame, user: str, k: int = 10) -> DataFrame:
     )
 
 
-def user_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], user: str) -> Mapping[str, DataFrame]:
+def user_details(
+    ev: DataFrame, det: DataFrame | Callable[[], DataFrame], user: str, within_ms: int = WITHIN_MS,
+) -> Mapping[str, DataFrame]:
     """Q10: details, eventSummary, events, detectionSummary, endpoints, detections of a user.
 
     The endpoint hop (J5) is a semi join against at most 10 endpoint ids.
@@ -177,7 +196,7 @@ def user_details(ev: DataFrame, det: DataFrame | Callable[[], DataFrame], user:
 
     def detections() -> DataFrame:
         ep_det = _frame(det).join(F.broadcast(user_recent_endpoints(ev, user)), "endpoint_id", "left_semi")
-        return attach_events(latest(ep_det, DETAIL_ROWS), ev)
+        return _page_with_events(latest(ep_det, DETAIL_ROWS), ev, DETAIL_ROWS, within_ms)
 
     return Parts({
         "details": lambda: V.user_details_view(mine, write_rollup=False).select(

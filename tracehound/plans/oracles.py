@@ -130,10 +130,13 @@ endpoints AS (SELECT 'endpoint-'||CAST(i AS VARCHAR) endpoint_id, 'host-'||CAST(
    make_timestamp((1704067200000 + i*3600000)*1000) last_seen FROM range(8) r(i))"""
 
 
-def sql(body: str, *, det: bool = False, det_ep: bool = False, views: bool = False, endpoints: bool = False) -> str:
+def sql(body: str, *, det: bool = False, det_ep: bool = False, views: bool = False, endpoints: bool = False, matched: str | None = None) -> str:
+    """``matched``: a query for the events that the rules see, all of ``ev2`` if not given."""
     parts = [EV]
+    if matched is not None:
+        parts.append(f"ev3 AS ({matched})")
     if det or views:
-        parts.append(DET)
+        parts.append(DET if matched is None else DET.replace("FROM ev2", "FROM ev3"))
     if det_ep:
         parts.append(DET_EP)
     if views:

@@ -137,12 +137,16 @@ class Store:
     def fold(self, at: int = FOLD_AT) -> None:
         """Merge the folders of a month and level into one of the next level, once there are ``at`` of them:
         a row is rewritten once a level, and a month keeps fewer than ``at`` folders a level."""
-        counts: dict[tuple, int] = {}
-        for _, month, level in self.state()["live"]:
-            counts[month, level] = counts.get((month, level), 0) + 1
-        for (month, level), n in sorted(counts.items(), key=lambda x: (x[0][0] or 0, x[0][1])):
-            if n >= at:
-                self.rewrite(None if month is None else [month], lambda df: df, "fold", level)
+        while True:
+            counts: dict[tuple, int] = {}
+            for _, month, level in self.state()["live"]:
+                counts[month, level] = counts.get((month, level), 0) + 1
+            full = [(level, month) for (month, level), n in counts.items() if n >= at]
+            if not full:
+                return
+            level, month = min(full, key=lambda x: (x[0], x[1] or 0))
+            if not self.rewrite(None if month is None else [month], lambda df: df, "fold", level):
+                return  # another rewrite was first; the next batch folds
 
     def drop_months(self, before: int) -> list[int]:
         """Take months before ``before`` out of the table; returns them."""

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import BLANKS, quoted
+from .lines import BLANKS
 from .scratch import Scratch
+from .sqltext import quoted
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1  # fixed values: costs of the edits
 START, S, U, A = range(4)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import shared
+from .sqltext import quoted
 from .textkit import ALNUM_SEPARATORS, rolling, slices, window_starts, words_of
 
 SHINGLE = 3
@@ -50,7 +52,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
                         owner.append(items[i])
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(owner, pa.string())], ["words", "item"])
 
-    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(cut, "words binary, item string").distinct()
+    return benchmark.select(F.col(quoted(id_col)).cast("string").alias("item"), F.col(quoted(text_col)).alias("text")).mapInArrow(cut, "words binary, item string").distinct()
 
 
 class Block:
@@ -94,11 +96,11 @@ class Block:
             self.probes[k] = (distinct, np.append(first, len(h)), i, at)
 
 
-def shingle_counts(texts: DataFrame, shared, spark) -> DataFrame:
+def shingle_counts(texts: DataFrame, held) -> DataFrame:
     """(size, hash, n): how often each benchmark shingle stands in the documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = held()
         sums = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -142,14 +144,14 @@ def row_hits(block: Block, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return (np.concatenate(starts), np.concatenate(numbers)) if starts else (empty, empty)
 
 
-def scan_block(docs: DataFrame, text_col: str, result: str, shared, last: bool, keep_text: bool) -> DataFrame:
+def scan_block(docs: DataFrame, text_col: str, result: str, held, last: bool, keep_text: bool) -> DataFrame:
     """Add (or extend) ``result`` by the hits of one block."""
     names = [n for n in docs.columns if n != result and (keep_text or not last or n != text_col)]
     schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(result, T._parse_datatype_string(RESULT))])
     earlier = result in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = held()
         for whole in batches:
             for batch in slices(whole, text_col):
                 at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
@@ -200,14 +202,14 @@ def find_contamination(
     """Add ``result``: n_words, n_hit, hit word ranges (starts, ends exclusive) and the ids
     (as strings, sorted) of the items with a window in the text."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     docs = docs.drop(result)
+    texts = docs.select(F.col(quoted(text_col)).alias("text"))  # of the table itself, without the scans of earlier blocks
     pairs = item_windows(benchmark, item_id_col, item_text_col, window)
     blocks = max(1, -(-pairs.count() // block_windows))
     for b in range(blocks):
         block = Block(pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == b).collect(), window)
         shingles = block.shingles()
-        counted = shingle_counts(docs.select(F.col(text_col).alias("text")), sc.broadcast(shingles), spark).collect() if shingles else []
+        counted = shingle_counts(texts, shared(spark, shingles)).collect() if shingles else []
         block.choose({(r["size"], int(np.int64(r["hash"]).view(np.uint64))): r["n"] for r in counted})
-        docs = scan_block(docs, text_col, result, sc.broadcast(block), b == blocks - 1, keep_text)
+        docs = scan_block(docs, text_col, result, shared(spark, block), b == blocks - 1, keep_text)
     return docs

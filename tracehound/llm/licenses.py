@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sqltext import alnum_words, let
+from .sqltext import alnum_words, let, match_starts, quoted
 
 GRAM = 3
 MERGE_DIAGONALS = 2
@@ -61,13 +61,9 @@ def phrase_places(words: Column) -> Column:
         n = len(phrase.split())
 
         def starts(pieces: Column) -> Column:
-            return F.transform(
-                F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-                lambda p, i: F.struct(
-                    F.lit(label).alias("label"),
-                    (F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + spaces(x)) + i * n).cast("long").alias("place"),
-                ),
-            )
+            gaps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), spaces)
+            places = let(gaps, lambda g: match_starts(g, F.array_repeat(F.lit(n), F.size(g))))
+            return F.transform(places, lambda x: F.struct(F.lit(label).alias("label"), x.cast("long").alias("place")))
 
         empty = F.array().cast("array<struct<label:string,place:bigint>>")
         return F.when(F.contains(joined, F.lit(f" {phrase} ")), let(F.split(joined, f" {phrase}(?= )", -1), starts)).otherwise(empty)
@@ -78,7 +74,7 @@ def phrase_places(words: Column) -> Column:
 
 def method_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified spans: (id, label, first, last, coverage); ``last`` is exclusive, both in words."""
-    words = docs.select(F.col(id_col).alias("id"), alnum_words(F.col(text_col)).alias("w")).where(F.size("w") >= GRAM)
+    words = docs.select(F.col(quoted(id_col)).alias("id"), alnum_words(F.col(quoted(text_col))).alias("w")).where(F.size("w") >= GRAM)
     runs = words.select("id", F.posexplode(F.slice(F.arrays_zip(
         F.col("w").alias("w0"), F.slice("w", F.lit(2), F.size("w")).alias("w1"), F.slice("w", F.lit(3), F.size("w")).alias("w2"),
     ), F.lit(1), F.size("w") - (GRAM - 1))))
@@ -102,8 +98,8 @@ def method_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, places (phrase label and word position), method labels and coverage."""
-    words = alnum_words(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), words.alias("w")).select(
+    words = alnum_words(F.col(quoted(text_col)))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), words.alias("w")).select(
         "id", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("places"),
     )
     # at most one label a template, so the gathered set is bounded by the fixed table

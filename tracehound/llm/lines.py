@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
-from .sqltext import ascii_lower
+from .sqltext import ascii_lower, quoted
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -36,10 +36,6 @@ GONE, OPEN, EDGE = 0, 1, 2
 MARKS = "kind int, h1 bigint, h2 bigint, id bigint, text_hash bigint, pos int, docs array<bigint>"
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """One row a line whose key has at least ``min_chars`` code points."""
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))

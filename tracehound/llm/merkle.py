@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import quoted
 from .scratch import Scratch
+from .sqltext import quoted
 
 ARITY = 8
 BAND = 4  # levels a builder owns: blocks of ARITY ** BAND nodes

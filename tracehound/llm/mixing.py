@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .sqltext import quoted
 
 ENTROPY = 0.97
 REPETITION = 4.0
@@ -124,22 +125,23 @@ def mix_sources(
     Sorted by (block, slot) it is the order of training."""
     scratch = Scratch(docs.sparkSession, "mixing")
     docs = docs.drop(*[c for c in RESULTS if c not in (id_col, text_col, source_col)])
-    sized = docs.withColumn("tokens", token_count(F.col(text_col)))
-    narrow = scratch.keep("sizes", sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), "tokens"))
+    sized = docs.withColumn("tokens", token_count(F.col(quoted(text_col))))
+    narrow = scratch.keep("sizes", sized.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("src"), "tokens"))
     counts = narrow.groupBy("src").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     weights, budget = mixture_weights(scratch.keep("counts", counts), "src", scratch, entropy, repetition, budget)
     plan = weights.withColumn("full", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
     cuts = last_pass_cuts(narrow, plan, "src")
     plan = scratch.keep("plan", plan.join(cuts, F.col("src").eqNullSafe(F.col("s")), "left").select(
-        F.col("src").alias("plan_source"), F.col("tokens").alias("plan_tokens"), "quota", "full", "cut"))
+        F.col("src").alias("_mix_source"), F.col("tokens").alias("_mix_tokens"), F.col("quota").alias("_mix_quota"), F.col("full").alias("_mix_full"),
+        F.col("cut").alias("_mix_cut")))
     scratch.drop("plan")
     rows = sized if keep_text else sized.drop(text_col)
-    joined = rows.join(plan, F.col(source_col).eqNullSafe(F.col("plan_source")))
-    passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    scheduled = joined.withColumn("pass", F.explode(passes)).withColumn("plan_key", order_key(SEED, F.col("pass"), F.col(id_col)))
-    scheduled = scheduled.where((F.col("pass") < F.col("full")) | (F.col("plan_key") <= F.col("cut")))
+    joined = rows.join(plan, F.col(quoted(source_col)).eqNullSafe(F.col("_mix_source")))
+    passes = F.sequence(F.lit(0).cast("long"), F.col("_mix_full"))
+    scheduled = joined.withColumn("pass", F.explode(passes)).withColumn("_mix_key", order_key(SEED, F.col("pass"), F.col(quoted(id_col))))
+    scheduled = scheduled.where((F.col("pass") < F.col("_mix_full")) | (F.col("_mix_key") <= F.col("_mix_cut")))
     blocks = max(1, -(-budget // block_tokens))
-    place = (F.col("pass") + F.col("plan_key") / F.lit(float(KEY_SPACE))) * F.col("plan_tokens") / F.col("quota")
+    place = (F.col("pass") + F.col("_mix_key") / F.lit(float(KEY_SPACE))) * F.col("_mix_tokens") / F.col("_mix_quota")
     block = F.least(F.floor(place * F.lit(float(blocks))), F.lit(blocks - 1)).cast("long")
-    slot = order_key(SEED, F.concat(F.lit("slot"), F.col("pass").cast("string")), F.col(id_col))
-    return scheduled.withColumn("block", block).withColumn("slot", slot).drop("plan_source", "plan_tokens", "quota", "full", "cut", "plan_key")
+    slot = order_key(SEED, F.concat(F.lit("slot"), F.col("pass").cast("string")), F.col(quoted(id_col)))
+    return scheduled.withColumn("block", block).withColumn("slot", slot).drop("_mix_source", "_mix_tokens", "_mix_quota", "_mix_full", "_mix_cut", "_mix_key")

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
+from .sqltext import quoted
 from .textkit import PLAIN_SEPARATORS, mix64, rolling, slices, window_starts, words_of
 
 BANDS, ROWS = 24, 4
@@ -151,7 +152,7 @@ def near_duplicates(
     100 * intersection >= ``threshold_pct`` * union)."""
     t = threshold_pct / 100
     scratch = Scratch(docs.sparkSession, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     signed = scratch.keep("signed", signatures(texts, words))
     known = signed.where("id IS NOT NULL AND n > 0")
 

@@ -12,7 +12,8 @@ searched once; its smallest ids are looked up at the end.  Nodes are dealt to bl
   Rounds end when few neighbour entries change;
 * search: a query starts at its own node's neighbours; a round expands its best unexpanded
   nodes (their blocks look up the adjacency, the candidates' blocks compute the cosine) and
-  keeps the best ``BEAM``; it ends when all of them are expanded.
+  keeps the best ``BEAM``; it ends when all of them are expanded.  The graph stays where it
+  is; only queries and candidates travel.
 
 Between blocks travel packed arrays, each vector once for each pair of blocks.  A node in very
 many neighbour lists (a hub) is named by one list of each sending block at most, so no block
@@ -38,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .sqltext import quoted
 from .textkit import mix64
 
 DEGREE = 24
@@ -49,7 +51,8 @@ MAX_ROUNDS = 12
 STOP_SHARE = 0.015
 BEAM = 320
 EXPAND = 96
-MAX_SEARCH_ROUNDS = 40
+MIN_BLOCKS = 4  # small tables go through the same rounds between blocks
+MOST_TASKS = 10_000
 NONE = -4  # score of an empty place; scores are cosine - 1
 BLOCK_ROWS = "block int, kind string, blob binary, changed long"
 
@@ -526,6 +529,21 @@ def by_block(df: DataFrame, run) -> DataFrame:
     return df.groupBy("block").applyInArrow(run, BLOCK_ROWS)
 
 
+def beside(held: DataFrame, df: DataFrame, run, schema: str = BLOCK_ROWS) -> DataFrame:
+    """The same for rows that go to the blocks of ``held``, which is dealt by block already and stays where it is."""
+
+    def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(key, pa.concat_tables([left, right]))
+
+    return held.groupBy("block").cogroup(df.groupBy("block")).applyInArrow(both, schema)
+
+
+def in_place(df: DataFrame, blocks: int) -> DataFrame:
+    """A frame dealt by block once and kept by the executors, on disk where memory is short; a lost
+    part is read again from the written table behind it."""
+    return df.repartition(min(blocks, MOST_TASKS), "block").persist()
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
@@ -537,13 +555,11 @@ def build_graph(nodes: DataFrame, scratch: Scratch, blocks: int, total: int) ->
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(1).to_numpy(zero_copy_only=False)
-            for number in range(DEALS if blocks > 1 else 1):
+            for number in range(DEALS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number, np.int32)), pa.array(block_of(ids, blocks, number).astype(np.int32)), b.column(1), b.column(2)], ["deal", "block", "id", "vec"])
 
     dealt = nodes.mapInArrow(deal, "deal int, block int, id long, vec array<double>")
     first = dealt.groupBy("deal", "block").applyInArrow(start(blocks), BLOCK_ROWS)
-    if blocks == 1:
-        return scratch.keep("state", first)  # one block holds all nodes: its neighbours are exact
     state = scratch.keep("state", by_block(first, merge(0, blocks, 0)))
     for number in range(MAX_ROUNDS):
         sent = scratch.keep("sent", state.mapInArrow(edge_rows(blocks, SAMPLE, number), BLOCK_ROWS))
@@ -563,26 +579,29 @@ def search(graph: DataFrame, state: DataFrame, queries: DataFrame, scratch: Scra
 
     asked = queries.groupBy("block").applyInArrow(pack, BLOCK_ROWS)
     beams = scratch.keep("beams", by_block(state.unionByName(asked), first_beams(blocks)))
-    for _ in range(MAX_SEARCH_ROUNDS):
-        pairs = by_block(graph.unionByName(beams.mapInArrow(expansions(blocks), BLOCK_ROWS)), look_up(blocks))
-        found = by_block(graph.unionByName(pairs), cosines(blocks))
-        beams = scratch.keep("beams", by_block(beams.unionByName(found), next_beams()))
-        if not beams.agg(F.sum("changed")).first()[0]:
-            break
-    return beams
+    held = in_place(graph, blocks)
+    try:
+        while True:  # a round closes nodes for good or ends a query, so the rounds end
+            pairs = beside(held, beams.mapInArrow(expansions(blocks), BLOCK_ROWS), look_up(blocks))
+            found = beside(held, pairs, cosines(blocks))
+            beams = scratch.keep("beams", by_block(beams.unionByName(found), next_beams()))
+            if not beams.agg(F.sum("changed")).first()[0]:
+                return beams
+    finally:
+        held.unpersist()
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found by cosine of each row that ``is_query`` marks."""
     scratch = Scratch(vectors.sparkSession, "nn")
-    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = vectors.where(usable(F.col(quoted(vector_col))) & F.col(quoted(id_col)).isNotNull()).select(
+        F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     length = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").select("d").first()
     rows = rows.where(F.size("vec") == (length["d"] if length else 0))
     # one node for equal vectors; of each class the k + 1 smallest ids can appear in a result
     classes = scratch.keep("classes", rows.groupBy("vec").agg(F.min("id").alias("node"), F.max("asks").alias("asks"), F.count("*").alias("copies")))
     total = classes.count()
-    blocks = max(1, -(-total // NODES_PER_BLOCK))
+    blocks = max(MIN_BLOCKS, -(-total // NODES_PER_BLOCK))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -604,4 +623,6 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     few = ids.select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     answers = ids.where("asks").select(F.col("cls").alias("q"), F.col("id").alias("query_id")).join(best_classes, "q").join(few.select(F.col("cls").alias("near"), F.col("id").alias("vec_id")), "near").where(F.col("query_id") != F.col("vec_id"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = scratch.keep("found", ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    scratch.drop("found")
+    return found

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sqltext import let, match_starts
+from .sqltext import let, match_starts, quoted, running_max
 
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
@@ -161,20 +161,20 @@ def kind_spans(text: Column, kind: Kind) -> Column:
 def find_pii(df: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """Add ``out_col``: all spans (kind, start, end in code points, score), by kind as listed
     in ``KINDS``, then by start."""
-    text = F.coalesce(df[text_col], F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     return df.withColumn(out_col, F.concat(*[kind_spans(text, k) for k in KINDS]))
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
     """Replace every span by its kind in brackets; overlapping spans become one, named after
     the first.  Texts without spans, null ones included, stay as they are."""
-    text, spans = F.col(text_col), F.col(spans_col)
+    text, spans = F.col(quoted(text_col)), F.col(quoted(spans_col))
 
     def merged(xs: Column) -> Column:
         """Spans that start behind all earlier ones open a group; its end is the largest end before the next."""
-        reach = lambda upto: F.coalesce(F.array_max(F.transform(F.slice(xs, F.lit(1), upto), lambda y: y["end"])), F.lit(0))
-        marked = F.transform(xs, lambda x, i: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), reach(i).alias("before"), (x["start"] >= reach(i)).alias("opens")))
-        last = reach(F.size(xs))
+        ends = F.transform(xs, lambda x: x["end"])
+        marked = F.zip_with(xs, running_max(ends), lambda x, reach: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), reach.alias("before"), (x["start"] >= reach).alias("opens")))
+        last = F.array_max(ends)
         return let(
             F.filter(marked, lambda x: x["opens"]),
             lambda heads: F.concat(

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import shared
+from .sqltext import quoted
 from .textkit import PLAIN_SEPARATORS, rolling, slices, text_buffers, window_starts, words_of
 
 MAX_POSITIVE = 6_000
@@ -200,16 +202,16 @@ def fit_quality(
     max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
 ) -> Model | None:
     """Fit outside the held-out fold; both samples are bounded, and so is the broadcast of their ids."""
-    free = lambda df, c: df.where(F.col(c).isNotNull() & (F.pmod(F.crc32(F.col(c).cast("string")), F.lit(5)) != 0)).select(F.col(c).alias("id"))
-    trusted = free(labels.where(F.col(label) == 1), id_col).distinct().orderBy(F.xxhash64("id"), "id").limit(max_positive)
+    free = lambda df, c: df.where(F.col(quoted(c)).isNotNull() & (F.pmod(F.crc32(F.col(quoted(c)).cast("string")), F.lit(5)) != 0)).select(F.col(quoted(c)).alias("id"))
+    trusted = free(labels.where(F.col(quoted(label)) == 1), id_col).distinct().orderBy(F.xxhash64("id"), "id").limit(max_positive)
     web = free(docs, id_col).distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_unlabelled)
     chosen = (
         trusted.select("id", F.lit(1).alias("p"), F.lit(0).alias("u")).unionByName(web.select("id", F.lit(0).alias("p"), F.lit(1).alias("u")))
         .groupBy("id").agg((F.max("p") == 1).alias("positive"), (F.max("u") == 1).alias("unlabelled"))
     )
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     rows = (
-        texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "positive", "unlabelled", "text")
+        texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).groupBy("id", "positive", "unlabelled").agg(F.min("text").alias("text"))  # one row an id
         .mapInArrow(pack, "id long, positive boolean, unlabelled boolean, x binary").collect()
     )
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["x"])))
@@ -223,12 +225,12 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text",
     docs = docs.drop(out_col)
     if model is None:
         return docs.withColumn(out_col, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = held()
         for whole in batches:
             for batch in slices(whole, text_col, 2 << 20):
                 z = m.logits(features(batch.column(batch.schema.get_field_index(text_col))))

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_table_path
 
 
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast whose classes travel with it, so that executors need no copy of the package."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 class Scratch:
     """Tables written to cut lineage: ``keep`` writes one and reads it back, ``drop`` removes
     all but those named (a lazy result still reads its own)."""

@@ -11,6 +11,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALNUM_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference that also holds dots and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
@@ -29,6 +34,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 BLOCK = 256
 
 
+def running_max(values: Column) -> Column:
+    """For each entry of an array the largest of those before it (0 for the first); entries are at least 0.
+
+    Blocks make the work grow with n times the block, not with n squared."""
+
+    def top(xs: Column) -> Column:
+        return F.coalesce(F.array_max(xs), F.lit(0))
+
+    def before(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / BLOCK).cast("int")), lambda b: top(F.slice(vs, b * BLOCK + 1, F.lit(BLOCK))))
+        upto = let(blocks, lambda bs: F.transform(bs, lambda x, i: top(F.slice(bs, F.lit(1), i))))
+        block = lambda i: F.floor(i / BLOCK).cast("int")
+        return let(upto, lambda us: F.transform(vs, lambda x, i: F.greatest(F.element_at(us, block(i) + 1), top(F.slice(vs, block(i) * BLOCK + 1, i % BLOCK)))))
+
+    return let(values, lambda vs: F.when(F.size(vs) > 0, before(vs)).otherwise(vs))
+
+
 def match_starts(gaps: Column, lengths: Column) -> Column:
     """Start of each match from the text lengths before it (``gaps``) and its own length.
 

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .sqltext import quoted
 from .textkit import PLAIN_SEPARATORS, mix64, rolling, slices, window_starts, words_of
 
 WINDOW = 50
@@ -272,7 +273,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     ``mark`` is xxhash64 of the text, which tells rows of one id apart.  ``window`` must be even."""
     block = window // 2
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(quoted(text_col)).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
     hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(ranges), "run long, kind int, blob binary")
@@ -288,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_words, n_removed, kept_sha256, and (``keep_text``) the kept words joined by one space."""
     scratch = Scratch(docs.sparkSession, "substring")
     ranges = find_repeats(docs, scratch, id_col, text_col, window).groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_mark"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text_col).alias("text_mark"), F.col(quoted(text_col)).alias("text"))
     joined = texts.join(ranges, (F.col("id") == F.col("doc")) & (F.col("text_mark") == F.col("mark")), "left").select("id", "text", F.col("cuts.start").alias("starts"), F.col("cuts.end").alias("ends"))
     names = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
     kinds = ["long", "long", "long", "string", *(["string"] if keep_text else [])]

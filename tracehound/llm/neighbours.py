@@ -566,7 +566,7 @@ def build_graph(nodes: DataFrame, scratch: Scratch, blocks: int, total: int) ->
         answered = by_block(state.unionByName(sent.where("kind = 'edges'")), answer_edges(blocks))
         candidates = by_block(sent.where("kind = 'vectors'").unionByName(answered), compare(blocks, SAMPLE))
         state = scratch.keep("state", by_block(state.unionByName(candidates), merge(SAMPLE, blocks, number)))
-        if state.agg(F.sum("changed")).first()[0] < STOP_SHARE * total * DEGREE:
+        if (state.agg(F.sum("changed")).first()[0] or 0) <= STOP_SHARE * total * DEGREE:
             break
     return state
 

@@ -5,9 +5,10 @@ words of every document; every rolling window of ``BLOCK`` words probes it.  Wit
 ``window`` = 2 * ``BLOCK`` words, any shared window holds a whole reference block of the other
 document, so each repeat has an anchor.  Documents are cut in runs of some MB.  Blocks and
 probes meet by hash range: a run sends each of its distinct hashes once, with the first place
-(a partial minimum) as packed arrays (a few bytes a window instead of a row each), and a task
-takes one range of all runs' hashes and answers each one that other documents share with its
-first place in the corpus, the smallest (document, position).  A hash in any number of places is
+(a partial minimum) as packed arrays (a few bytes a window instead of a row each, and the ids of the
+documents that these windows are in), and a task takes one range of all runs' hashes and answers
+each one that other documents share with its first place in the corpus: the smallest document, then
+run and place in the run.  A hash in any number of places is
 one entry a run there, so a range holds its even share of the windows and at most one entry a
 run more for each frequent hash.  Answers go back to their run, which holds the other places.
 
@@ -60,10 +61,11 @@ def gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def first_places(h: np.ndarray, row: np.ndarray, pos: np.ndarray, doc: np.ndarray, mark: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_places(h: np.ndarray, row: np.ndarray, pos: np.ndarray, doc: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the first place of each distinct hash, its flags, and of every place the index of its hash's first):
-    flag 1 says that a place is a reference block, 2 that several documents hold the hash."""
-    order = np.lexsort((pos, mark[row], doc[row], h))
+    flag 1 says that a place is a reference block, 2 that several documents hold the hash.  Places come in
+    the order of their documents."""
+    order = np.argsort(h, kind="stable")
     new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
     times = np.diff(np.append(new, len(h)))
     anchor = np.maximum.reduceat((pos[order] % block == 0).astype(np.uint8), new)
@@ -73,15 +75,25 @@ def first_places(h: np.ndarray, row: np.ndarray, pos: np.ndarray, doc: np.ndarra
     return order[new], anchor + np.uint8(2) * several.astype(np.uint8), ref
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers of at least 0 in 2 bytes where they fit, else in 8."""
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x.astype(np.int64)
+
+
 def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
     """(range, run, blob): distinct windows of a run of documents whose hash falls in the range, with
-    their first places in the run; and to ranges from ``ranges`` on each run's documents and further places."""
+    their first places in the run and the ids of just the documents of these; and once a run, to ranges
+    from ``ranges`` on, its documents and further places.  So what a run sends grows with its windows,
+    however many ranges there are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         for whole in batches:
             for batch in slices(whole, "text", RUN_BYTES):
                 ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                order = np.lexsort((marks, ids))
+                if (np.diff(order) < 0).any():
+                    batch, ids, marks = batch.take(pa.array(order)), ids[order], marks[order]
                 w = words_of(batch.column(2), PLAIN_SEPARATORS, lower=False)
                 at, rows = window_starts(w.offsets, block)
                 if not len(at):
@@ -90,44 +102,48 @@ def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
                 offsets = np.asarray(w.offsets[:-1], dtype=np.int64)
                 h = rolling(w.hash, block)[at]
                 row = np.searchsorted(offsets, at, side="right") - 1
-                first, flag, ref = first_places(h, row, at - offsets[row], ids, marks, block)
-                head = np.array([len(ids)], np.int64)
-                docs = (gaps(ids), marks, gaps(offsets))
+                first, flag, ref = first_places(h, row, at - offsets[row], ids, block)
                 more = np.flatnonzero(ref != np.arange(len(ref)))
-                places = [ranges + run % ranges], [packed(head, np.array([len(more)], np.int64), *docs, gaps(at[more].astype(np.int64)), gaps(at[ref[more]].astype(np.int64)))]
+                own = packed(np.array([len(ids), len(more)], np.int64), gaps(ids), marks, gaps(offsets), gaps(at[more].astype(np.int64)), gaps(at[ref[more]].astype(np.int64)))
+                # rows of one id in a run are told apart by their number among these
+                new_id = np.append(True, np.diff(ids) != 0)
+                twin = np.arange(len(ids)) - np.flatnonzero(new_id)[np.cumsum(new_id) - 1]
                 by_place = np.argsort(first)
                 first, flag = first[by_place], flag[by_place]
-                h, at = h[first], at[first]
+                h, at, row = h[first], at[first], row[first]
                 part = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                h, at, part, flag = h[order] & LOW, at[order], part[order], flag[order]
+                h, at, part, flag, row = h[order] & LOW, at[order], part[order], flag[order], row[order]
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 ends = np.append(starts[1:], len(part))
                 blobs = []
                 for a, b in zip(starts, ends, strict=True):
                     low = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    step = gaps(at[a:b])
-                    step = step.astype(np.uint16) if step.max() < 1 << 16 else step.astype(np.int64)
-                    blobs.append(packed(head, np.array([b - a, step.itemsize], np.int64), *docs, step, np.ascontiguousarray(low), flag[a:b]))
-                to = np.append(part[starts], places[0]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), run, np.int64)), pa.array(blobs + places[1], pa.binary())], ["range", "run", "blob"])
+                    held, local = np.unique(row[a:b], return_inverse=True)
+                    step, docs, twins = narrow(gaps(at[a:b])), gaps(local.astype(np.int64)).astype(np.uint8), narrow(twin[held])
+                    head = np.array([len(held), b - a, step.itemsize, twins.itemsize], np.int64)
+                    blobs.append(packed(head, gaps(ids[held]), twins, docs, step, np.ascontiguousarray(low), flag[a:b]))
+                to = np.append(part[starts], ranges + run % ranges).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), run, np.int64)), pa.array([*blobs, own], pa.binary())], ["range", "run", "blob"])
 
     return texts.mapInArrow(cut, "range int, run long, blob binary")
 
 
-def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, their marks; hash, document row, position, place in the run and flags of each window) of a blob of ``probes``."""
+def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, its number among the run's rows of that id, place in the run, flags) of each window of a blob of ``probes``."""
     body = unpacked(blob)
-    docs, n, width = (int(x) for x in np.frombuffer(body, np.int64, 3))
-    ids, marks, offsets = (np.frombuffer(body, np.int64, docs, 24 + 8 * docs * j) for j in range(3))
-    offsets = np.cumsum(offsets)
-    at = 24 + 24 * docs
-    where = np.cumsum(np.frombuffer(body, np.uint16 if width == 2 else np.int64, n, at), dtype=np.int64)
+    docs, n, width, wide = (int(x) for x in np.frombuffer(body, np.int64, 4))
+    kind = lambda size: np.uint16 if size == 2 else np.int64
+    at = 32
+    ids = np.cumsum(np.frombuffer(body, np.int64, docs, at))
+    twins = np.frombuffer(body, kind(wide), docs, at + 8 * docs)
+    at += (8 + wide) * docs
+    local = np.cumsum(np.frombuffer(body, np.uint8, n, at), dtype=np.int64)
+    place = np.cumsum(np.frombuffer(body, kind(width), n, at + n), dtype=np.int64)
     low = np.zeros((n, 8), np.uint8)
-    low[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at + width * n).reshape(n, 6)
-    row = np.searchsorted(offsets, where, side="right") - 1
-    flag = np.frombuffer(body, np.uint8, n, at + (width + 6) * n)
-    return np.cumsum(ids), marks, low.reshape(-1).view("<u8"), row.astype(np.int32), (where - offsets[row]).astype(np.int32), where.astype(np.int32), flag
+    low[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at + (1 + width) * n).reshape(n, 6)
+    flag = np.frombuffer(body, np.uint8, n, at + (7 + width) * n)
+    return low.reshape(-1).view("<u8"), ids[local], twins[local].astype(np.int32), place.astype(np.int32), flag
 
 
 def read_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,53 +176,51 @@ def answers(ranges: int):
         runs = table.column("run").to_numpy()
         if table.column("range")[0].as_py() >= ranges:
             return pa.table([pa.array(runs), pa.array(np.ones(len(runs), np.int32)), table.column("blob")], names)
-        columns: list[list] = [[] for _ in range(8)]
-        docs = 0
+        columns: list[list] = [[] for _ in range(6)]
         for number, blob in enumerate(b for chunk in table.column("blob").chunks for b in chunk):
-            i, m, x, r, p, w, f = read_probes(blob.as_py())
-            for column, value in zip(columns, (i, m, x, r + np.int32(docs), p, w, f, np.full(len(x), number, np.int32)), strict=True):
+            got = read_probes(blob.as_py())
+            for column, value in zip(columns, (*got, np.full(len(got[0]), number, np.int32)), strict=True):
                 column.append(value)
-            docs += len(i)
-        ids, marks, h, row, pos, place, flag, sender = (np.concatenate(x) for x in columns)
+        h, doc, twin, place, flag, sender = (np.concatenate(x) for x in columns)
         del columns
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         # a hash that one document of one run holds is not shared
         order = order[np.append(False, same) | np.append(same, False) | (flag[order] > 1)]
-        h, row, pos, place, flag, sender = (x[order] for x in (h, row, pos, place, flag, sender))
+        h, doc, twin, place, flag, sender = (x[order] for x in (h, doc, twin, place, flag, sender))
         out_runs, blobs = [], []
         if len(h):
-            doc, mark = ids[row], marks[row]
-            order = np.lexsort((pos, mark, doc, h))
-            h, pos, doc, mark, place, flag, sender = (x[order] for x in (h, pos, doc, mark, place, flag, sender))
+            run = runs[sender]
+            order = np.lexsort((place, run, doc, h))
+            h, doc, twin, place, flag, sender, run = (x[order] for x in (h, doc, twin, place, flag, sender, run))
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             times = np.diff(np.append(first, len(h)))
             shared = np.repeat((doc[first] != doc[first + times - 1]) | (np.maximum.reduceat(flag, first) > 1), times)
             anchor = np.repeat(np.maximum.reduceat(flag & 1, first), times)[shared]
             ref = np.repeat(first, times)[shared]
-            place, sender = place[shared], sender[shared]
-            order = np.lexsort((place, sender))
-            place, sender, ref, anchor = place[order], sender[order], ref[order], anchor[order]
-            cuts = np.flatnonzero(np.append(True, sender[1:] != sender[:-1])) if len(sender) else []
-            for a, b in zip(cuts, np.append(cuts[1:], len(sender)), strict=True) if len(sender) else []:
-                refs, number = coded(doc[ref[a:b]], mark[ref[a:b]])
-                out_runs.append(int(runs[sender[a]]))
+            to_place, to = place[shared], sender[shared]
+            order = np.lexsort((to_place, to))
+            to_place, to, ref, anchor = to_place[order], to[order], ref[order], anchor[order]
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True) if len(to) else []:
+                refs, number = coded(doc[ref[a:b]], run[ref[a:b]], twin[ref[a:b]].astype(np.int64))
+                out_runs.append(int(runs[to[a]]))
                 blobs.append(packed(
                     np.array([len(refs[0]), b - a], np.int64), *refs,
-                    gaps(number), gaps(place[a:b].astype(np.int32)), gaps(pos[ref[a:b]].astype(np.int32)), anchor[a:b].astype(np.uint8)))
+                    gaps(number), gaps(to_place[a:b].astype(np.int32)), gaps(place[ref[a:b]].astype(np.int32)), anchor[a:b].astype(np.uint8)))
         return pa.table([pa.array(out_runs, pa.int64()), pa.array(np.zeros(len(blobs), np.int32)), pa.array(blobs, pa.binary())], names)
 
     return answer
 
 
 def read_answers(blob: bytes) -> list[np.ndarray]:
-    """(place in the run, reference document, mark and position, anchor flag) of a blob."""
+    """(place in the run; document, run, number and place of the reference, anchor flag) of a blob."""
     body = unpacked(blob)
     refs, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
-    r_doc, r_mark = (np.frombuffer(body, np.int64, refs, 16 + 8 * refs * j) for j in range(2))
-    at = 16 + 16 * refs
-    ref, place, r_pos = (np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * n * j), dtype=np.int64) for j in range(3))
-    return [place, r_doc[ref], r_mark[ref], r_pos, np.frombuffer(body, np.uint8, n, at + 12 * n)]
+    r_doc, r_run, r_twin = (np.frombuffer(body, np.int64, refs, 16 + 8 * refs * j) for j in range(3))
+    at = 16 + 24 * refs
+    ref, place, r_place = (np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * n * j), dtype=np.int64) for j in range(3))
+    return [place, r_doc[ref], r_run[ref], r_twin[ref], r_place, np.frombuffer(body, np.uint8, n, at + 12 * n)]
 
 
 REPEATS = "doc long, mark long, start int, end int, key1 long, key2 long"
@@ -233,14 +247,14 @@ def extended(block: int):
         at = np.minimum(np.searchsorted(answered[0], first), len(answered[0]) - 1)
         hit = answered[0][at] == first
         place = np.concatenate([answered[0], more[hit]])
-        r_doc, r_mark, r_pos, flag = (np.concatenate([x, x[at[hit]]]) for x in answered[1:])
+        r_doc, r_run, r_twin, r_place, flag = (np.concatenate([x, x[at[hit]]]) for x in answered[1:])
         row = np.searchsorted(offsets, place, side="right") - 1
         doc, mark, pos = ids[row], marks[row], place - offsets[row]
         order = np.lexsort((pos, mark, doc))
-        doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[order] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
+        doc, mark, pos, r_doc, r_run, r_twin, r_place, flag = (x[order] for x in (doc, mark, pos, r_doc, r_run, r_twin, r_place, flag))
         # equal rows of one id send the same windows
         once = np.append(True, (pos[1:] != pos[:-1]) | (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]))
-        doc, mark, pos, r_doc, r_mark, r_pos, flag = (x[once] for x in (doc, mark, pos, r_doc, r_mark, r_pos, flag))
+        doc, mark, pos, r_doc, r_run, r_twin, r_place, flag = (x[once] for x in (doc, mark, pos, r_doc, r_run, r_twin, r_place, flag))
         text = np.cumsum(np.append(0, (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])))
         place = text * (1 << 32) + pos
         j = np.searchsorted(place, place + block)
@@ -249,7 +263,7 @@ def extended(block: int):
         anchors = np.cumsum(flag, dtype=np.int64)
         held = anchors[j] - anchors[i] + flag[i] > 0
         i, j = i[held], j[held]
-        diagonal = (r_doc[i] == r_doc[j]) & (r_mark[i] == r_mark[j]) & (r_pos[i] + block == r_pos[j])
+        diagonal = (r_doc[i] == r_doc[j]) & (r_run[i] == r_run[j]) & (r_twin[i] == r_twin[j]) & (r_place[i] + block == r_place[j])
         sure = i[diagonal & (r_doc[i] < doc[i])]
         # consecutive or overlapping windows are one repeat
         new = np.append(True, np.diff(place[sure]) > 2 * block)[: len(sure)]
@@ -258,7 +272,7 @@ def extended(block: int):
         keys = []
         for salt in (1, 2):
             key = np.zeros(len(k), np.uint64)
-            for column in (r_doc[k], r_mark[k], r_pos[k], r_doc[m], r_mark[m], r_pos[m]):
+            for column in (r_run[k], r_place[k], r_run[m], r_place[m]):
                 key = mix64(key ^ column.view(np.uint64), salt)
             keys.append(pa.array(np.append(np.zeros(len(first), np.int64), key.view(np.int64)), mask=np.arange(len(first) + len(k)) < len(first)))
         at = np.append(first, k)
@@ -273,7 +287,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     ``mark`` is xxhash64 of the text, which tells rows of one id apart.  ``window`` must be even."""
     block = window // 2
-    texts = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(quoted(text_col)).alias("text"))
+    texts = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("mark"), F.col(quoted(text_col)).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
     hits = probes(texts, block, ranges).groupBy("range").applyInArrow(answers(ranges), "run long, kind int, blob binary")
@@ -289,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_words, n_removed, kept_sha256, and (``keep_text``) the kept words joined by one space."""
     scratch = Scratch(docs.sparkSession, "substring")
     ranges = find_repeats(docs, scratch, id_col, text_col, window).groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text_col).alias("text_mark"), F.col(quoted(text_col)).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("text_mark"), F.col(quoted(text_col)).alias("text"))
     joined = texts.join(ranges, (F.col("id") == F.col("doc")) & (F.col("text_mark") == F.col("mark")), "left").select("id", "text", F.col("cuts.start").alias("starts"), F.col("cuts.end").alias("ends"))
     names = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
     kinds = ["long", "long", "long", "string", *(["string"] if keep_text else [])]

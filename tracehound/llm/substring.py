@@ -76,8 +76,9 @@ def first_places(h: np.ndarray, row: np.ndarray, pos: np.ndarray, doc: np.ndarra
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
-    """Numbers of at least 0 in 2 bytes where they fit, else in 8."""
-    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x.astype(np.int64)
+    """Whole numbers in 1 or 2 bytes where they fit, else in 8."""
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return x.astype(np.uint8 if high < 256 else np.uint16) if low >= 0 and high < 1 << 16 else x.astype(np.int64)
 
 
 def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
@@ -120,9 +121,10 @@ def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
                 for a, b in zip(starts, ends, strict=True):
                     low = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     held, local = np.unique(row[a:b], return_inverse=True)
-                    step, docs, twins = narrow(gaps(at[a:b])), gaps(local.astype(np.int64)).astype(np.uint8), narrow(twin[held])
-                    head = np.array([len(held), b - a, step.itemsize, twins.itemsize], np.int64)
-                    blobs.append(packed(head, gaps(ids[held]), twins, docs, step, np.ascontiguousarray(low), flag[a:b]))
+                    step, names, twins = narrow(gaps(at[a:b])), narrow(gaps(ids[held])), narrow(twin[held])
+                    docs = gaps(local.astype(np.int64)).astype(np.uint8)  # 0 or 1, as windows come by document
+                    head = np.array([len(held), b - a, step.itemsize, names.itemsize, twins.itemsize], np.int32)
+                    blobs.append(packed(head, names, twins, docs, step, np.ascontiguousarray(low), flag[a:b]))
                 to = np.append(part[starts], ranges + run % ranges).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), run, np.int64)), pa.array([*blobs, own], pa.binary())], ["range", "run", "blob"])
 
@@ -132,17 +134,19 @@ def probes(texts: DataFrame, block: int, ranges: int) -> DataFrame:
 def read_probes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, document, its number among the run's rows of that id, place in the run, flags) of each window of a blob of ``probes``."""
     body = unpacked(blob)
-    docs, n, width, wide = (int(x) for x in np.frombuffer(body, np.int64, 4))
-    kind = lambda size: np.uint16 if size == 2 else np.int64
-    at = 32
-    ids = np.cumsum(np.frombuffer(body, np.int64, docs, at))
-    twins = np.frombuffer(body, kind(wide), docs, at + 8 * docs)
-    at += (8 + wide) * docs
-    local = np.cumsum(np.frombuffer(body, np.uint8, n, at), dtype=np.int64)
-    place = np.cumsum(np.frombuffer(body, kind(width), n, at + n), dtype=np.int64)
+    docs, n, *sizes = (int(x) for x in np.frombuffer(body, np.int32, 5))
+    kinds, at = {1: np.uint8, 2: np.uint16, 8: np.int64}, 20
+    step, names, twin = ((kinds[size], count, size) for count, size in zip((n, docs, docs), sizes, strict=True))
+
+    def take(kind, count: int, size: int) -> np.ndarray:
+        nonlocal at
+        at += count * size
+        return np.frombuffer(body, kind, count, at - count * size)
+
+    ids, twins, local, place = np.cumsum(take(*names), dtype=np.int64), take(*twin), np.cumsum(take(np.uint8, n, 1), dtype=np.int64), np.cumsum(take(*step), dtype=np.int64)
     low = np.zeros((n, 8), np.uint8)
-    low[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at + (1 + width) * n).reshape(n, 6)
-    flag = np.frombuffer(body, np.uint8, n, at + (7 + width) * n)
+    low[:, :6] = take(np.uint8, 6 * n, 1).reshape(n, 6)
+    flag = take(np.uint8, n, 1)
     return low.reshape(-1).view("<u8"), ids[local], twins[local].astype(np.int32), place.astype(np.int32), flag
 
 

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
+SALTS = 8  # a node with many edges meets its minimum in this many tasks
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with the minimum ``m`` of ``a``: a node's edges are dealt by their other end."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least.withColumn("salt", salts), ["a", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        _with_least(edges, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         .unionByName(least.select("a", F.col("m").alias("b"))).distinct()
     )
 

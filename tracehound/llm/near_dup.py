@@ -7,9 +7,11 @@
 3. Every member is compared with its group's most central member (that with the most bucket
    mates): signature batches first, and a pair leaves when the posterior probability of
    reaching the threshold falls below ``MISS``; survivors are verified on their full sets.
-   A group of n copies costs n comparisons, not n squared.
-4. The rest is exact.  Links that the central member does not show are between texts of a
-   group that is not yet one component.  With L the central member's set, two texts that
+   A group of n copies costs n comparisons, not n squared.  While a group still has ``FAMILY`` or
+   more members outside all stars, and its last star took in a tenth of those that were left,
+   the most central of them becomes the next centre.
+4. The rest is exact.  Links that no centre shows are between texts of a
+   group that is not yet one component.  With L the union of its centres' sets, two texts that
    reach the threshold t share at least t / (1 + t) * (n_x + n_y) shingles, of which at most
    min(|x & L|, |y & L|) lie inside L; so they share at least the difference outside L, and
    therefore one shingle of the correspondingly long prefixes of their outside shingles, rarest
@@ -19,7 +21,8 @@
 5. Components of the verified links; a class has the component of its representative.
 
 No group is gathered in one task: members meet through joins on (group, size, shingle), whose
-hot keys the adaptive planner can split, and nothing is capped.
+hot keys the adaptive planner can split, and nothing is capped.  Very long texts are read whole, an
+empty table gives no rows.
 
 Null and empty texts have no shingles and are linked with nothing.  A null id is linked with
 nothing and is its own component (null).  Rows that share an id are one node; repeated rows
@@ -28,6 +31,7 @@ are copies of each other.  Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from math import comb
 
@@ -46,6 +50,7 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-7
 SIZE_CLASS = 0.01
+FAMILY = 64  # members outside all stars from which a group gets another centre
 MULTIPLIERS = tuple(int(x) * 2 + 1 for x in np.random.Generator(np.random.PCG64(42)).integers(1, 2**62, size=HASHES))
 
 
@@ -171,44 +176,49 @@ def near_duplicates(
     groups = connected_components(members.select("rep", "first"), scratch, "groups")
     central = members.groupBy("rep").agg(F.sum("size").alias("mates"))
     groups = scratch.keep("grouped", groups.join(central, F.col("node") == F.col("rep")).select("rep", F.col("component").alias("grp"), "mates"))
-    leaders = groups.groupBy("grp").agg(F.max(F.struct("mates", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("size")).select("grp", (-F.col("top.r")).alias("leader"), "size")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, offsets = shingle_sets(batch.column(1), words)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["rep", "grp", "leader", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["rep", "grp", "shingles"])
 
-    wanted = groups.select(F.col("rep").alias("id"), "grp").join(leaders.select("grp", "leader"), "grp")
+    wanted = groups.select(F.col("rep").alias("id"), "grp")
     # the wanted ids grow with the corpus: a sort-merge join at every size
-    sets = scratch.keep("sets", texts.join(wanted.hint("merge"), "id").select("id", "text", "grp", "leader").mapInArrow(cut, "rep long, grp long, leader long, shingles array<bigint>"))
+    sets = scratch.keep("sets", texts.join(wanted.hint("merge"), "id").select("id", "text", "grp").mapInArrow(cut, "rep long, grp long, shingles array<bigint>"))
 
-    # 3. every member against its group's central member
+    # 3. every member against its group's central members
     need = lambda a, b, inter: inter * 100 >= threshold_pct * (F.size(a) + F.size(b) - inter)
     sig = reps.select("rep", "sig")
-    lead = sets.where("rep = leader").select("grp", F.col("shingles").alias("core"))
-    others = sets.where("rep <> leader")
-    to_leader = others.select(F.col("rep").alias("x"), F.col("leader").alias("y")).join(sig.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x")), "x").join(
-        sig.select(F.col("rep").alias("y"), F.col("sig").alias("sig_y")), "y")
-    survived = scratch.keep("star", bayes_survivors(to_leader, t))
-    star = scratch.keep("starlinks", others.join(survived.select(F.col("x").alias("rep")), "rep", "left_semi").join(lead, "grp").where(
-        need("shingles", "core", F.size(F.array_intersect("shingles", "core")))).select(F.col("rep").alias("x"), F.col("leader").alias("y")))
-
-    # 4. groups of three or more that are not one component yet: prefixes outside the centre
-    open_groups = leaders.join(groups.join(star.select(F.col("x").alias("rep")), "rep", "left_semi").groupBy("grp").agg(F.count("*").alias("linked")), "grp", "left").where(
-        "size > 2 AND coalesce(linked, 0) < size - 1").select("grp")
-    open_lead = lead.join(open_groups, "grp", "left_semi")
-    linked = star.select(F.col("x").alias("rep"), F.lit(True).alias("linked"))
-    outside = scratch.keep("outside", sets.join(open_lead, "grp").join(linked, "rep", "left").select(
+    stars = cores = None  # (rep, star), a centre being in its own; (grp, core)
+    left = groups
+    for number in itertools.count():
+        leaders = left.groupBy("grp").agg(F.max(F.struct("mates", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("size")).select("grp", (-F.col("top.r")).alias("leader"), "size")
+        star = scratch.keep(f"star{number}", star_of(left, leaders, sets, sig, need, t, scratch))
+        core = sets.join(leaders.select(F.col("leader").alias("rep")), "rep", "left_semi").select("grp", F.col("shingles").alias("core"))
+        stars, cores = (star, core) if stars is None else (stars.unionByName(star), cores.unionByName(core))
+        took = left.join(star, "rep", "left").groupBy("grp").agg(F.count("star").alias("took"), F.count("*").alias("all"))
+        again = took.where((F.col("all") - F.col("took") >= FAMILY) & (F.col("took") * 10 >= F.col("all"))).select("grp")
+        left = scratch.keep(f"left{number}", left.join(again, "grp", "left_semi").join(star, "rep", "left_anti"))
+        if left.limit(1).count() == 0:
+            break
+    links = stars.where("rep <> star").select(F.col("rep").alias("x"), F.col("star").alias("y"))
+
+    # 4. groups of three or more that are not one component yet: prefixes outside the centres
+    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    most = groups.join(stars, "rep").groupBy("grp", "star").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max("n").alias("most"))
+    open_groups = size.join(most, "grp").where("size > 2 AND most < size").select("grp")
+    centre = cores.join(open_groups, "grp", "left_semi").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
+    outside = scratch.keep("outside", sets.join(centre, "grp").join(stars, "rep", "left").select(
         "rep", "grp", F.size("shingles").cast("long").alias("n"), F.array_except("shingles", "core").alias("outside"),
-        # texts linked to the centre are one component already and need no pairs among themselves
-        (F.coalesce("linked", F.lit(False)) | (F.col("rep") == F.col("leader"))).alias("linked"),
+        # texts of one star are one component already and need no pairs among themselves
+        F.coalesce("star", "rep").alias("star"),
     ).withColumn("inside", F.col("n") - F.size("outside")).withColumn("cls", F.floor(F.log("n") / SIZE_CLASS).cast("long")))
     rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, t), sig, sets, need, t))
 
     # 5. components over representatives, then over documents
-    links = star.unionByName(rest).unionByName(ties)
+    links = links.unionByName(rest).unionByName(ties)
     parts = scratch.keep("parts", connected_components(links, scratch, "links"))
     scratch.drop("signed", "reps", "parts")
     labelled = signed.join(copies, "key", "left").withColumn("rep", F.coalesce("class_rep", "id"))
@@ -217,8 +227,19 @@ def near_duplicates(
     )
 
 
+def star_of(left: DataFrame, leaders: DataFrame, sets: DataFrame, sig: DataFrame, need, t: float, scratch: Scratch) -> DataFrame:
+    """(rep, star): the members of ``left`` linked to their group's leader, and the leaders themselves."""
+    others = left.join(leaders, "grp").where("rep <> leader").select("rep", "grp", "leader")
+    pairs = others.select(F.col("rep").alias("x"), F.col("leader").alias("y")).join(sig.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x")), "x").join(
+        sig.select(F.col("rep").alias("y"), F.col("sig").alias("sig_y")), "y")
+    survived = scratch.keep("survived", bayes_survivors(pairs, t)).select(F.col("x").alias("rep"), F.col("y").alias("leader"))
+    lead = sets.join(leaders.select(F.col("leader").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("leader"), F.col("shingles").alias("core"))
+    linked = sets.join(survived, "rep").join(lead, "leader").where(need("shingles", "core", F.size(F.array_intersect("shingles", "core"))))
+    return linked.select("rep", F.col("leader").alias("star")).unionByName(leaders.select(F.col("leader").alias("rep"), F.col("leader").alias("star")))
+
+
 def prefix_pairs(outside: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs (x < y) of one group that can reach the threshold, not both linked to the centre."""
+    """Distinct pairs (x < y) of one group that can reach the threshold, of different stars."""
     share = t / (1 + t)
     # rarest first: counts of outside shingles within their group
     exploded = outside.select("rep", "grp", F.explode("outside").alias("z"))
@@ -238,14 +259,14 @@ def prefix_pairs(outside: DataFrame, t: float) -> DataFrame:
     # a text that needs no outside shingle for some partners still meets all partners that do
     hashes = F.transform("common", lambda c: c["z"])
     tokens = F.when(needed <= 0, F.concat(F.array(F.lit(None).cast("long")), hashes)).when(length > 0, F.slice(hashes, F.lit(1), F.greatest(length, F.lit(1)).cast("int")))
-    probes = probes.select("rep", "grp", "cls", "partner", "linked", "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z"))
+    probes = probes.select("rep", "grp", "cls", "partner", "star", "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z"))
     a = probes.select(*[F.col(c).alias(f"a_{c}") for c in probes.columns])
     b = probes.select(*[F.col(c).alias(f"b_{c}") for c in probes.columns])
     most = F.least("a_inside", "b_inside") + F.when(F.col("a_z").isNull(), 0).otherwise(F.least("a_commons", "b_commons"))
     # a null token says that no shared outside shingle is needed: both ends must say so
     same = (
         (F.col("a_grp") == F.col("b_grp")) & (F.col("a_partner") == F.col("b_cls")) & (F.col("a_cls") == F.col("b_partner"))
-        & F.col("a_z").eqNullSafe(F.col("b_z")) & (F.col("a_rep") < F.col("b_rep")) & ~(F.col("a_linked") & F.col("b_linked"))
+        & F.col("a_z").eqNullSafe(F.col("b_z")) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_star") != F.col("b_star"))
         & (most >= F.ceil((F.col("a_n") + F.col("b_n")) * share - 1e-6))
     )
     return a.join(b, same).select(F.col("a_rep").alias("x"), F.col("b_rep").alias("y")).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import shared
+from .scratch import map_rows, shared
 from .sqltext import quoted
 from .textkit import ALNUM_SEPARATORS, rolling, slices, window_starts, words_of
 
@@ -185,7 +185,7 @@ def scan_block(docs: DataFrame, text_col: str, result: str, held, last: bool, ke
                 kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("item_ids", pa.list_(pa.string()))])
                 yield pa.RecordBatch.from_arrays([batch.column(at[n]) for n in names] + [pa.array(out, kind)], [*names, result])
 
-    return docs.mapInArrow(scan, schema)
+    return map_rows(docs, scan, schema)
 
 
 def find_contamination(

@@ -196,7 +196,7 @@ def near_duplicates(
     for number in itertools.count():
         leaders = left.groupBy("grp").agg(F.max(F.struct("mates", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("size")).select("grp", (-F.col("top.r")).alias("leader"), "size")
         star = scratch.keep(f"star{number}", star_of(left, leaders, sets, sig, need, t, scratch))
-        core = sets.join(leaders.select(F.col("leader").alias("rep")), "rep", "left_semi").select("grp", F.col("shingles").alias("core"))
+        core = sets.join(leaders.select(F.col("leader").alias("rep")), "rep", "left_semi").select("grp", F.col("rep").alias("star"), F.col("shingles").alias("core"))
         stars, cores = (star, core) if stars is None else (stars.unionByName(star), cores.unionByName(core))
         took = left.join(star, "rep", "left").groupBy("grp").agg(F.count("star").alias("took"), F.count("*").alias("all"))
         again = took.where((F.col("all") - F.col("took") >= FAMILY) & (F.col("took") * 10 >= F.col("all"))).select("grp")
@@ -210,12 +210,14 @@ def near_duplicates(
     most = groups.join(stars, "rep").groupBy("grp", "star").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max("n").alias("most"))
     open_groups = size.join(most, "grp").where("size > 2 AND most < size").select("grp")
     centre = cores.join(open_groups, "grp", "left_semi").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
-    outside = scratch.keep("outside", sets.join(centre, "grp").join(stars, "rep", "left").select(
+    own = cores.join(open_groups, "grp", "left_semi")
+    outside = scratch.keep("outside", sets.join(centre, "grp").join(stars, "rep", "left").join(own.select("star", F.col("core").alias("own_core")), "star", "left").select(
         "rep", "grp", F.size("shingles").cast("long").alias("n"), F.array_except("shingles", "core").alias("outside"),
         # texts of one star are one component already and need no pairs among themselves
-        F.coalesce("star", "rep").alias("star"),
+        F.coalesce("star", "rep").alias("star"), F.col("star").alias("centre"),
+        F.when(F.col("star").isNotNull(), F.size(F.array_except("shingles", "own_core"))).alias("apart"),
     ).withColumn("inside", F.col("n") - F.size("outside")).withColumn("cls", F.floor(F.log("n") / SIZE_CLASS).cast("long")))
-    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, t), sig, sets, need, t))
+    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, star_partners(outside, own), t), sig, sets, need, t))
 
     # 5. components over representatives, then over documents
     links = links.unionByName(rest).unionByName(ties)
@@ -238,7 +240,20 @@ def star_of(left: DataFrame, leaders: DataFrame, sets: DataFrame, sig: DataFrame
     return linked.select("rep", F.col("leader").alias("star")).unionByName(leaders.select(F.col("leader").alias("rep"), F.col("leader").alias("star")))
 
 
-def prefix_pairs(outside: DataFrame, t: float) -> DataFrame:
+def star_partners(outside: DataFrame, cores: DataFrame) -> DataFrame:
+    """(grp, centre, partner, shared, far): pairs of stars of one group (null: the texts in none), with the
+    shingles that both centres hold and the most that a text of the partner has apart from its centre.
+
+    Few rows: a group has as many stars as rounds."""
+    kinds = outside.groupBy("grp", "centre").agg(F.max("apart").alias("far"))
+    a, b = (cores.select("grp", F.col("star").alias(x), F.col("core").alias(f"core_{x}")) for x in ("centre", "partner"))
+    met = a.join(b, "grp").where("centre <> partner").select("grp", "centre", "partner", F.size(F.array_intersect("core_centre", "core_partner")).alias("shared"))
+    pairs = kinds.select("grp", "centre").join(kinds.select("grp", F.col("centre").alias("partner"), "far"), "grp").where("centre IS NULL OR NOT centre <=> partner")
+    met = met.select("grp", F.col("centre").alias("c"), F.col("partner").alias("p"), "shared")
+    return pairs.join(met.withColumnRenamed("grp", "g"), (F.col("grp") == F.col("g")) & (F.col("centre") == F.col("c")) & (F.col("partner") == F.col("p")), "left").select("grp", "centre", "partner", "shared", "far")
+
+
+def prefix_pairs(outside: DataFrame, partners: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (x < y) of one group that can reach the threshold, of different stars."""
     share = t / (1 + t)
     # rarest first: counts of outside shingles within their group
@@ -259,14 +274,22 @@ def prefix_pairs(outside: DataFrame, t: float) -> DataFrame:
     # a text that needs no outside shingle for some partners still meets all partners that do
     hashes = F.transform("common", lambda c: c["z"])
     tokens = F.when(needed <= 0, F.concat(F.array(F.lit(None).cast("long")), hashes)).when(length > 0, F.slice(hashes, F.lit(1), F.greatest(length, F.lit(1)).cast("int")))
-    probes = probes.select("rep", "grp", "cls", "partner", "star", "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z"))
+    least = F.ceil((F.col("n") + F.col("least_n")) * share - 1e-6)
+    probes = probes.select("rep", "grp", "cls", "partner", "star", "centre", "apart", least.alias("least"), "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z"))
+    # without a shared outside shingle, texts of two stars share at most what the centres share and what
+    # either has apart from its own: the other stars for which that may do are part of the key
+    wide = probes.where("z IS NULL").join(partners.select(F.col("grp").alias("g"), F.col("centre").alias("c"), F.col("partner").alias("to"), "shared", "far"),
+                                          (F.col("grp") == F.col("g")) & F.col("centre").eqNullSafe(F.col("c")))
+    wide = wide.where(F.coalesce(F.col("shared") + F.col("apart") + F.col("far") >= F.col("least"), F.lit(True))).drop("g", "c", "shared", "far")
+    nowhere = F.lit(None).cast("long")
+    probes = wide.withColumn("at", F.col("centre")).unionByName(probes.where("z IS NOT NULL").withColumn("to", nowhere).withColumn("at", nowhere))
     a = probes.select(*[F.col(c).alias(f"a_{c}") for c in probes.columns])
     b = probes.select(*[F.col(c).alias(f"b_{c}") for c in probes.columns])
     most = F.least("a_inside", "b_inside") + F.when(F.col("a_z").isNull(), 0).otherwise(F.least("a_commons", "b_commons"))
     # a null token says that no shared outside shingle is needed: both ends must say so
     same = (
         (F.col("a_grp") == F.col("b_grp")) & (F.col("a_partner") == F.col("b_cls")) & (F.col("a_cls") == F.col("b_partner"))
-        & F.col("a_z").eqNullSafe(F.col("b_z")) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_star") != F.col("b_star"))
+        & F.col("a_z").eqNullSafe(F.col("b_z")) & F.col("a_to").eqNullSafe(F.col("b_at")) & F.col("a_at").eqNullSafe(F.col("b_to")) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_star") != F.col("b_star"))
         & (most >= F.ceil((F.col("a_n") + F.col("b_n")) * share - 1e-6))
     )
     return a.join(b, same).select(F.col("a_rep").alias("x"), F.col("b_rep").alias("y")).distinct()

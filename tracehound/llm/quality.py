@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import shared
+from .scratch import map_rows, shared
 from .sqltext import quoted
 from .textkit import PLAIN_SEPARATORS, rolling, slices, text_buffers, window_starts, words_of
 
@@ -236,4 +236,4 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text",
                 z = m.logits(features(batch.column(batch.schema.get_field_index(text_col))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(z))], [*names, out_col])
 
-    return docs.mapInArrow(score, schema)
+    return map_rows(docs, score, schema)

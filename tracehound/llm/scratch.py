@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import scratch_table_path
 
@@ -18,6 +20,17 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(data.value)
 
 
+def map_rows(docs: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: Spark sees them by number, ``run`` by name."""
+    names, inner = docs.columns, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, inner.names)
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(numbered, inner).toDF(*schema.names)
+
+
 class Scratch:
     """Tables written to cut lineage: ``keep`` writes one and reads it back, ``drop`` removes
     all but those named (a lazy result still reads its own)."""

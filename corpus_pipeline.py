@@ -3,7 +3,9 @@ personal data, source mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of documents.  Null and
-empty texts pass every filter; a row without an id is never a duplicate.
+empty texts pass every filter; a row without an id is never a duplicate; repeated rows and texts of
+equal shingles keep their smallest id; very long texts are read whole; an empty table stays empty;
+extra columns are kept, whatever their names (those that begin with ``_pipeline`` are the stages' own).
 """
 
 from __future__ import annotations
@@ -13,11 +15,17 @@ from pyspark.sql import functions as F
 
 from tracehound.llm import decontam, mixing, near_dup, pii, toxicity
 from tracehound.llm.scratch import Scratch
+from tracehound.llm.sqltext import quoted
 from tracehound.session import configure
 
 WORK = "_pipeline"  # prefix of columns that a stage adds and drops again
 
 
+def columns(docs: DataFrame) -> list:
+    """References to all columns, whatever their names."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +36,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model, out_col=f"{WORK}_score")
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
-    return scored.where(~F.coalesce(toxicity.toxic_by_language(model, F.col(f"{WORK}_score"), lang), F.lit(False))).select(*docs.columns)
+    return scored.where(~F.coalesce(toxicity.toxic_by_language(model, F.col(f"{WORK}_score"), lang), F.lit(False))).select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of rows that share id and text the first by their columns stays.  Texts that only share an id are not
     linked, so each group keeps a row."""
     scratch = Scratch(spark, "pipeline-texts")
-    order = [F.col(c) for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+    order = [F.col(quoted(c)) for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
     # the row limit is applied before the exchange, too: a task sends one row of an id and text
     first = docs.where("doc_id IS NOT NULL").withColumn(f"{WORK}_row", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
     # numbers are read from the written table, as another computation could deal them otherwise
@@ -45,13 +53,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = rows.select(F.col(f"{WORK}_key").alias("id"), F.struct("doc_id", F.xxhash64("text").alias("hash"), F.col(f"{WORK}_key").alias("key")).alias("place"))
     stays = found.join(named, "id").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.key").alias(f"{WORK}_key"))
     # kept texts grow with the corpus: a sort-merge join at every size
-    return rows.join(stays.hint("merge"), f"{WORK}_key", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return rows.join(stays.hint("merge"), f"{WORK}_key", "left_semi").select(*columns(docs)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontam.find_contamination(docs, read(spark, sf_dir, "benchmark"), result=f"{WORK}_hits")
-    return found.where(F.col(f"{WORK}_hits")["n_hit"] == 0).select(*docs.columns)
+    return found.where(F.col(f"{WORK}_hits")["n_hit"] == 0).select(*columns(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +69,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if "n_chars" in docs.columns:
         length = F.when(F.size(f"{WORK}_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         clean = clean.withColumn("n_chars", length)
-    return clean.select(*docs.columns)
+    return clean.select(*columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

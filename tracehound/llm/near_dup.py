@@ -217,7 +217,7 @@ def near_duplicates(
         F.coalesce("star", "rep").alias("star"), F.col("star").alias("centre"),
         F.when(F.col("star").isNotNull(), F.size(F.array_except("shingles", "own_core"))).alias("apart"),
     ).withColumn("inside", F.col("n") - F.size("outside")).withColumn("cls", F.floor(F.log("n") / SIZE_CLASS).cast("long")))
-    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, star_partners(outside, own), t), sig, sets, need, t))
+    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, star_partners(outside, own), t, scratch), sig, sets, need, t))
 
     # 5. components over representatives, then over documents
     links = links.unionByName(rest).unionByName(ties)
@@ -253,7 +253,7 @@ def star_partners(outside: DataFrame, cores: DataFrame) -> DataFrame:
     return pairs.join(met.withColumnRenamed("grp", "g"), (F.col("grp") == F.col("g")) & (F.col("centre") == F.col("c")) & (F.col("partner") == F.col("p")), "left").select("grp", "centre", "partner", "shared", "far")
 
 
-def prefix_pairs(outside: DataFrame, partners: DataFrame, t: float) -> DataFrame:
+def prefix_pairs(outside: DataFrame, partners: DataFrame, t: float, scratch: Scratch) -> DataFrame:
     """Distinct pairs (x < y) of one group that can reach the threshold, of different stars."""
     share = t / (1 + t)
     # rarest first: counts of outside shingles within their group
@@ -282,7 +282,8 @@ def prefix_pairs(outside: DataFrame, partners: DataFrame, t: float) -> DataFrame
                                           (F.col("grp") == F.col("g")) & F.col("centre").eqNullSafe(F.col("c")))
     wide = wide.where(F.coalesce(F.col("shared") + F.col("apart") + F.col("far") >= F.col("least"), F.lit(True))).drop("g", "c", "shared", "far")
     nowhere = F.lit(None).cast("long")
-    probes = wide.withColumn("at", F.col("centre")).unionByName(probes.where("z IS NOT NULL").withColumn("to", nowhere).withColumn("at", nowhere))
+    # both sides of the join read one written table
+    probes = scratch.keep("probes", wide.withColumn("at", F.col("centre")).unionByName(probes.where("z IS NOT NULL").withColumn("to", nowhere).withColumn("at", nowhere)))
     a = probes.select(*[F.col(c).alias(f"a_{c}") for c in probes.columns])
     b = probes.select(*[F.col(c).alias(f"b_{c}") for c in probes.columns])
     most = F.least("a_inside", "b_inside") + F.when(F.col("a_z").isNull(), 0).otherwise(F.least("a_commons", "b_commons"))

@@ -275,15 +275,15 @@ def prefix_pairs(outside: DataFrame, partners: DataFrame, t: float, scratch: Scr
     hashes = F.transform("common", lambda c: c["z"])
     tokens = F.when(needed <= 0, F.concat(F.array(F.lit(None).cast("long")), hashes)).when(length > 0, F.slice(hashes, F.lit(1), F.greatest(length, F.lit(1)).cast("int")))
     least = F.ceil((F.col("n") + F.col("least_n")) * share - 1e-6)
-    probes = probes.select("rep", "grp", "cls", "partner", "star", "centre", "apart", least.alias("least"), "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z"))
+    probes = scratch.keep("probes", probes.select(
+        "rep", "grp", "cls", "partner", "star", "centre", "apart", least.alias("least"), "n", "inside", F.size("common").alias("commons"), F.explode(tokens).alias("z")))
     # without a shared outside shingle, texts of two stars share at most what the centres share and what
     # either has apart from its own: the other stars for which that may do are part of the key
     wide = probes.where("z IS NULL").join(partners.select(F.col("grp").alias("g"), F.col("centre").alias("c"), F.col("partner").alias("to"), "shared", "far"),
                                           (F.col("grp") == F.col("g")) & F.col("centre").eqNullSafe(F.col("c")))
     wide = wide.where(F.coalesce(F.col("shared") + F.col("apart") + F.col("far") >= F.col("least"), F.lit(True))).drop("g", "c", "shared", "far")
     nowhere = F.lit(None).cast("long")
-    # both sides of the join read one written table
-    probes = scratch.keep("probes", wide.withColumn("at", F.col("centre")).unionByName(probes.where("z IS NOT NULL").withColumn("to", nowhere).withColumn("at", nowhere)))
+    probes = wide.withColumn("at", F.col("centre")).unionByName(probes.where("z IS NOT NULL").withColumn("to", nowhere).withColumn("at", nowhere))
     a = probes.select(*[F.col(c).alias(f"a_{c}") for c in probes.columns])
     b = probes.select(*[F.col(c).alias(f"b_{c}") for c in probes.columns])
     most = F.least("a_inside", "b_inside") + F.when(F.col("a_z").isNull(), 0).otherwise(F.least("a_commons", "b_commons"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-SALTS = 8  # a node with many edges meets its minimum in this many tasks
+SALTS = 4  # a node with many edges meets its minimum in this many tasks
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,12 +49,17 @@ def expire(spark: SparkSession, path: str, days: int, as_of: str | datetime, tab
     return table_store(spark, path, table).drop_months(limit)
 
 
-def truncate_tables(spark: SparkSession, tables: Mapping[str, str]) -> None:
-    """L2: empty every stored table (path -> "events" or "detections"), each in one step."""
+def truncate_tables(spark: SparkSession, tables: Mapping[str, str | DataFrame] | Iterable[tuple[str, str | DataFrame]], fmt: str = "parquet") -> None:
+    """L2: empty every table, keeping its schema: stored tables (path -> "events" or "detections") in one
+    step each, plain folders (path -> a frame of its schema) by an empty one with its months."""
     from ..sources.sinks import table_store
 
-    for path, table in tables.items():
-        table_store(spark, path, table).create().truncate()
+    for path, table in tables.items() if isinstance(tables, Mapping) else tables:
+        if isinstance(table, str):
+            table_store(spark, path, table).create().truncate()
+            continue
+        writer = spark.createDataFrame([], table.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
+        (writer.partitionBy("month") if "month" in table.columns else writer).save(path)
 
 
 def compact(

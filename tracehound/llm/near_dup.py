@@ -194,7 +194,7 @@ def near_duplicates(
     stars = cores = None  # (rep, star), a centre being in its own; (grp, core)
     left = groups
     for number in itertools.count():
-        leaders = left.groupBy("grp").agg(F.max(F.struct("mates", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("size")).select("grp", (-F.col("top.r")).alias("leader"), "size")
+        leaders = scratch.keep(f"leaders{number}", left.groupBy("grp").agg(F.max(F.struct("mates", (-F.col("rep")).alias("r"))).alias("top")).select("grp", (-F.col("top.r")).alias("leader")))
         star = scratch.keep(f"star{number}", star_of(left, leaders, sets, sig, need, t, scratch))
         core = sets.join(leaders.select(F.col("leader").alias("rep")), "rep", "left_semi").select("grp", F.col("rep").alias("star"), F.col("shingles").alias("core"))
         stars, cores = (star, core) if stars is None else (stars.unionByName(star), cores.unionByName(core))
@@ -208,16 +208,16 @@ def near_duplicates(
     # 4. groups of three or more that are not one component yet: prefixes outside the centres
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
     most = groups.join(stars, "rep").groupBy("grp", "star").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max("n").alias("most"))
-    open_groups = size.join(most, "grp").where("size > 2 AND most < size").select("grp")
-    centre = cores.join(open_groups, "grp", "left_semi").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
-    own = cores.join(open_groups, "grp", "left_semi")
+    open_groups = scratch.keep("open", size.join(most, "grp").where("size > 2 AND most < size").select("grp"))
+    own = scratch.keep("own", cores.join(open_groups, "grp", "left_semi"))
+    centre = own.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("core"))).alias("core"))
     outside = scratch.keep("outside", sets.join(centre, "grp").join(stars, "rep", "left").join(own.select("star", F.col("core").alias("own_core")), "star", "left").select(
         "rep", "grp", F.size("shingles").cast("long").alias("n"), F.array_except("shingles", "core").alias("outside"),
         # texts of one star are one component already and need no pairs among themselves
         F.coalesce("star", "rep").alias("star"), F.col("star").alias("centre"),
         F.when(F.col("star").isNotNull(), F.size(F.array_except("shingles", "own_core"))).alias("apart"),
     ).withColumn("inside", F.col("n") - F.size("outside")).withColumn("cls", F.floor(F.log("n") / SIZE_CLASS).cast("long")))
-    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, star_partners(outside, own), t, scratch), sig, sets, need, t))
+    rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, scratch.keep("partners", star_partners(outside, own)), t, scratch), sig, sets, need, t))
 
     # 5. components over representatives, then over documents
     links = links.unionByName(rest).unionByName(ties)

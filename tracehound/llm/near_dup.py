@@ -176,6 +176,7 @@ def near_duplicates(
     groups = connected_components(members.select("rep", "first"), scratch, "groups")
     central = members.groupBy("rep").agg(F.sum("size").alias("mates"))
     groups = scratch.keep("grouped", groups.join(central, F.col("node") == F.col("rep")).select("rep", F.col("component").alias("grp"), "mates"))
+    scratch.release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,6 +202,7 @@ def near_duplicates(
         took = left.join(star, "rep", "left").groupBy("grp").agg(F.count("star").alias("took"), F.count("*").alias("all"))
         again = took.where((F.col("all") - F.col("took") >= FAMILY) & (F.col("took") * 10 >= F.col("all"))).select("grp")
         left = scratch.keep(f"left{number}", left.join(again, "grp", "left_semi").join(star, "rep", "left_anti"))
+        scratch.release()
         if left.limit(1).count() == 0:
             break
     links = stars.where("rep <> star").select(F.col("rep").alias("x"), F.col("star").alias("y"))
@@ -217,12 +219,16 @@ def near_duplicates(
         F.coalesce("star", "rep").alias("star"), F.col("star").alias("centre"),
         F.when(F.col("star").isNotNull(), F.size(F.array_except("shingles", "own_core"))).alias("apart"),
     ).withColumn("inside", F.col("n") - F.size("outside")).withColumn("cls", F.floor(F.log("n") / SIZE_CLASS).cast("long")))
+    scratch.release()
     rest = scratch.keep("restlinks", verified_pairs(prefix_pairs(outside, scratch.keep("partners", star_partners(outside, own)), t, scratch), sig, sets, need, t))
 
+    scratch.release()
+
     # 5. components over representatives, then over documents
     links = links.unionByName(rest).unionByName(ties)
     parts = scratch.keep("parts", connected_components(links, scratch, "links"))
     scratch.drop("signed", "reps", "parts")
+    scratch.release()
     labelled = signed.join(copies, "key", "left").withColumn("rep", F.coalesce("class_rep", "id"))
     return labelled.join(parts, F.col("rep") == F.col("node"), "left").select(
         F.col("id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -52,6 +53,12 @@ class Scratch:
         for name in [n for n in self.paths if n not in but]:
             self._remove(self.paths.pop(name))
 
+    def release(self) -> None:
+        """Have the driver collect its garbage.  Plans, broadcasts and shuffle files of finished steps go
+        with the last references to them, which the JVM finds late while its heap is still free to grow."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -13,7 +13,7 @@ from tracehound.operators import joins as J
 from tracehound.operators import rollups as RU
 from tracehound.operators import sorting as S
 from tracehound.operators.ordinal import Key
-from tracehound.operators.watchlist import on_watch_list
+from tracehound.operators.watchlist import candidates, matching_names, on_watch_list
 from tracehound.plans import requests as R
 from tracehound.session import create_text, read_text
 from tracehound.sources.sinks import table_store, write_table
@@ -154,6 +154,23 @@ def test_long_watch_list_equals_contains(spark):
     assert got == want
 
 
+def test_watch_list_broadcasts_only_its_bit_map(spark, scratch):
+    """Names read from a small file have many n-grams, which a plan by file sizes would broadcast."""
+    spark.range(400).select(F.concat(F.lit("proc.exe/"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name")).write.parquet(f"{scratch}/names")
+    spark.range(50).select(F.lpad(F.col("id").cast("string"), 7, "0").alias("p")).write.parquet(f"{scratch}/patterns")
+    found = matching_names(spark.read.parquet(f"{scratch}/names"), spark.read.parquet(f"{scratch}/patterns"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = [plan[at:].split("\n", 1)[0] for at in range(len(plan)) if plan.startswith("BroadcastExchange", at)]
+    assert len(sent) == 2 and plan.count("SortMergeJoin") == 1  # the levels and the bit map
+    assert {(r.name[-9:], r.pattern) for r in found.collect()} >= {("000000399", "0000003"), ("000000005", "0000000")}
+    # a pattern of a level's length meets only the names that hold it, as its end is all of it
+    ends = spark.createDataFrame([("0000017", 7, "0000017")], "pattern string, level int, gram string")
+    assert candidates(spark.read.parquet(f"{scratch}/names"), ends).count() == 11  # 17, and 170 to 179
+    long = spark.createDataFrame([("a" * 300 + "b",), ("b" * 9,), ("c" * 300,)], "p string")
+    names = spark.createDataFrame([("z" + "a" * 300 + "bz",), ("b" * 10,), ("a" * 301,)], "name string")
+    assert {(len(r.name), len(r.pattern)) for r in matching_names(names, long).collect()} == {(303, 301), (10, 9)}
+
+
 def test_fan_out_of_a_hot_endpoint_is_salted(spark, monkeypatch):
     monkeypatch.setattr(RU, "USERS_PER_SALT", 10)
     pairs = spark.range(300).select(F.concat(F.lit("u"), "id").alias("user"), F.when(F.col("id") < 200, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 40)).alias("endpoint_id"))

@@ -205,3 +205,22 @@ def test_snapshot_days_expire(spark, scratch):
     assert kept == ["snapshot_date=2024-01-02", "snapshot_date=2024-01-09"]
     assert P.newest_snapshot(spark, layout).first().snapshot_timestamp == datetime(2024, 1, 9)
     assert "InMemoryFileIndex(1 paths)" in P.newest_snapshot(spark, layout)._jdf.queryExecution().executedPlan().toString()
+
+
+def _event_tables(spark, folder, rows=90, files=3):
+    raw = spark.range(rows).select(
+        F.col("id").alias("event_id"), F.expr("timestampadd(MINUTE, CAST(id * 7 AS INT), timestamp_ntz'2024-01-01 00:00:00')").alias("ts"),
+        (F.col("id") % 5).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props"))
+    raw.repartition(files).write.parquet(f"{folder}/events.parquet")
+
+
+def test_newest_stored_sorts_one_copy_at_a_time(spark, scratch):
+    from tracehound.plans import stored
+
+    _event_tables(spark, scratch)
+    store = stored._two_years(spark, scratch, "two-years")
+    rows = {}
+    for tag, month, _ in store.state()["live"]:
+        rows[tag] = rows.get(tag, 0) + store._frame([[tag, month, 0]]).count()
+    assert len(rows) == 24 and set(rows.values()) == {90}
+    assert store.read().select("id").distinct().count() == 24 * 90

@@ -17,7 +17,7 @@ from ..operators import sorting as S
 from ..operators.rules import FAILED_LOGINS, Rule, RuleRegistry, Step, apply_rules
 from ..operators.watchlist import on_watch_list
 from ..schema import DETECTION_COLUMNS, DETECTIONS, EVENT_COLUMNS, EVENTS
-from ..session import scratch_table_path
+from ..session import materialize, scratch_table_path
 from ..sources.events import load_table, read_event_file, read_raw_events
 from ..sources.sinks import export_csv, publish_detections, table_store, write_table
 from ..sources.store import Store
@@ -271,11 +271,13 @@ def q_live_snapshot(spark, sf_dir):
 
 
 def _two_years(spark, sf_dir, name):
-    """The events stored with copies of themselves from each of the 23 months before."""
-    path, ev = scratch_table_path(spark, name), events(spark, sf_dir)
-    back = ev.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("timestamp", F.col("timestamp") - F.make_ym_interval(F.lit(0), F.col("n")))
-    aged = back.withColumn("id", F.concat("id", F.lit("-"), "n")).withColumn("date", F.to_date("timestamp")).select(*EVENT_COLUMNS)
-    write_table(aged, path, "events")
+    """The events stored with copies of themselves from each of the 23 months before; a write for each, as
+    the sort of all at once has 24 times the rows in a task and spills."""
+    path, ev = scratch_table_path(spark, name), materialize(events(spark, sf_dir), name)
+    for n in range(24):
+        back = ev.withColumn("timestamp", F.col("timestamp") - F.make_ym_interval(F.lit(0), F.lit(n)))
+        aged = back.withColumn("id", F.concat("id", F.lit(f"-{n}"))).withColumn("date", F.to_date("timestamp")).select(*EVENT_COLUMNS)
+        write_table(aged, path, "events")
     return table_store(spark, path, "events")
 
 

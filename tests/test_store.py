@@ -224,3 +224,23 @@ def test_newest_stored_sorts_one_copy_at_a_time(spark, scratch):
         rows[tag] = rows.get(tag, 0) + store._frame([[tag, month, 0]]).count()
     assert len(rows) == 24 and set(rows.values()) == {90}
     assert store.read().select("id").distinct().count() == 24 * 90
+
+
+def test_disordered_stream_is_written_by_all_tasks(spark, scratch, monkeypatch):
+    from tracehound.plans import stored
+    from tracehound.session import list_children
+
+    _event_tables(spark, scratch)
+    monkeypatch.setattr(stored, "scratch_table_path", lambda spark, label: f"{scratch}/run")
+    conf = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task a file
+    try:
+        stored.q_stream_disordered(spark, scratch).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", conf)
+    files = [p for p in list_children(spark, f"{scratch}/run/src") if p.endswith(".txt")]
+    assert len(files) > 3 * 5  # parts of three tasks each
+    from tracehound.streaming.pipeline import Layout
+
+    offsets = list_children(spark, Layout(f"{scratch}/run/out").checkpoint("job") + "/offsets")
+    assert len([p for p in offsets if not p.endswith(".crc")]) == 7

@@ -231,13 +231,12 @@ def q_stream_disordered(spark, sf_dir):
     width = max(1, (hi + _DELAY_MS - lo) // 5 + 1)
     late = F.expr(_HELD)
     arrival = F.floor((ms + F.pmod(F.xxhash64("id"), F.lit(_DELAY_MS)) - lo) / width)
-    for chunk in range(5):
-        messages(ev.where(~late & (arrival == chunk))).coalesce(1).write.mode("append").text(f"{root}/src")
-    messages(ev.where(late)).coalesce(1).write.mode("append").text(f"{root}/src")
-    spark.range(1).select(F.lit(FLUSH).alias("value")).coalesce(1).write.mode("append").text(f"{root}/src")
+    parts = [messages(ev.where(~late & (arrival == chunk))) for chunk in range(5)]
+    parts += [messages(ev.where(late)), spark.range(1).select(F.lit(FLUSH).alias("value"))]
     P.create_tables(spark, layout)
-    raw = read_raw_events(spark, f"{root}/src", maxFilesPerTrigger=1)
-    _await(P.start_job(raw, layout, scope="global", trigger=ONCE, delay="2 hours")[0])
+    for part in parts:  # all tasks write files of a part; what is new when the job goes on is its next micro-batch
+        part.write.mode("append").text(f"{root}/src")
+        _await(P.start_job(read_raw_events(spark, f"{root}/src"), layout, scope="global", trigger=ONCE, delay="2 hours")[0])
     return P.stored(spark, layout.detections, "detections").select(*DETECTION_COLUMNS)
 
 

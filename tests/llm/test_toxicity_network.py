@@ -69,3 +69,21 @@ def test_a_small_language_is_drawn_to_the_common_cut(monkeypatch):
     assert logit["a"] == pytest.approx(0.0, abs=1e-9)
     assert logit["big"] == pytest.approx(30 / (30 + X.SHRINKAGE) * (5.0 - 1.0))
     assert logit["few"] == pytest.approx(2 / (2 + X.SHRINKAGE) * (5.0 - 1.0))
+
+
+def test_rows_beyond_the_first_are_learned(spark):
+    """Words that only rows outside the start's sample hold count, and so do those rows for the cuts."""
+    from pyspark.sql import functions as F
+
+    n, first = 2400, 100
+    ids = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    few = X.marked(ids, "toxic", "doc_id").orderBy(F.xxhash64("id"), "id").limit(first).select(F.col("id").alias("doc_id"), F.lit(True).alias("early"))
+    word = F.when(F.col("toxic") == 0, "lovely").when(F.col("early"), "scum").otherwise("vermin")
+    docs = ids.join(few, "doc_id", "left").select("doc_id", F.concat_ws(" ", F.lit("this is"), word, F.concat(F.lit("w"), F.col("doc_id") % 40)).alias("text"), F.lit("en").alias("lang"))
+    model = X.fit_toxicity(docs, ids, max_rows=first)
+    assert model.seen is None and "en" in model.thresholds
+    got = X.score_toxicity(docs, model).join(ids, "doc_id").where(X.held_out()).select(((F.col("toxicity") >= 0.5) == (F.col("toxic") == 1)).alias("right")).collect()
+    assert sum(r.right for r in got) / len(got) > 0.97
+    # of the cut's 100ths: as if each row had its own entry
+    z, y = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 2.0]), np.array([0, 1, 0, 1, 1, 1.0])
+    assert X.best_cut(z, y) == X.best_cut(np.array([0.0, 1.0, 2.0]), np.array([1, 2, 1.0]), np.array([2, 3, 1.0]))

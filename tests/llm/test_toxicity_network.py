@@ -87,3 +87,26 @@ def test_rows_beyond_the_first_are_learned(spark):
     # of the cut's 100ths: as if each row had its own entry
     z, y = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 2.0]), np.array([0, 1, 0, 1, 1, 1.0])
     assert X.best_cut(z, y) == X.best_cut(np.array([0.0, 1.0, 2.0]), np.array([1, 2, 1.0]), np.array([2, 3, 1.0]))
+
+
+def test_a_passs_exchanged_texts_go_with_it(spark, monkeypatch):
+    """Not only when the driver's garbage happens to be collected."""
+    from pathlib import Path
+    from time import sleep
+
+    from pyspark.sql import functions as F
+
+    held = lambda: {str(p): p.stat().st_size for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    monkeypatch.setattr(X.Scratch, "release", lambda self: None)
+    rows = spark.range(1500).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    random = F.concat_ws(" ", *[F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(f"-{i}")), 256) for i in range(12)])
+    docs = rows.select("doc_id", random.alias("text"), F.lit("en").alias("lang"))
+    before, key = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert X.fit_toxicity(docs, rows, max_rows=40) is not None
+    for _ in range(50):
+        left = sum(size for p, size in held().items() if p not in before)
+        if left < 200_000:
+            break
+        sleep(0.2)
+    assert left < 200_000  # the labelled texts of a pass have about 750,000 characters
+    assert spark.conf.get(key) == "false"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -32,6 +33,19 @@ def map_rows(docs: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
     return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(numbered, inner).toDF(*schema.names)
 
 
+@contextmanager
+def exchanges_released(spark: SparkSession) -> Iterator[None]:
+    """Frames made in here give up their shuffle files as soon as an action on them ends, whenever the
+    driver's garbage is collected (an action on the same frame again computes them anew)."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to cut lineage: ``keep`` writes one and reads it back, ``drop`` removes
     all but those named (a lazy result still reads its own)."""

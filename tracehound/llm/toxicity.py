@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, map_rows, shared
+from .scratch import Scratch, exchanges_released, map_rows, shared
 from .sqltext import quoted
 from .textkit import ALNUM_SEPARATORS, slices, words_of
 
@@ -370,11 +370,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         m = train(arrays, np.array([r["label"] for r in first] or [0.0], float))
         del rows, first, arrays
         every = labelled_rows(docs, labels, label, id_col, text_col)
-        for _ in range(ROUNDS):
-            improve(m, every.where("fold <> 1"))
-            Scratch(docs.sparkSession, "toxicity").release()  # a pass's exchanged texts go before the next
-        m.seen = None
-        calibrate_on(m, every.where("fold = 1"))
+        with exchanges_released(docs.sparkSession):  # a pass's exchanged texts go before the next
+            for _ in range(ROUNDS):
+                improve(m, every.where("fold <> 1"))
+                Scratch(docs.sparkSession, "toxicity").release()
+            m.seen = None
+            calibrate_on(m, every.where("fold = 1"))
     m.seen = None
     return m
 

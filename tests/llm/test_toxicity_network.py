@@ -110,3 +110,20 @@ def test_a_passs_exchanged_texts_go_with_it(spark, monkeypatch):
         sleep(0.2)
     assert left < 200_000  # the labelled texts of a pass have about 750,000 characters
     assert spark.conf.get(key) == "false"
+
+
+def test_a_passs_broadcast_goes_with_it(spark, monkeypatch):
+    """Neither the driver's file nor its blocks stay until garbage is collected."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    folder = Path(spark.sparkContext._temp_dir)
+    large = lambda: {p.name for p in folder.iterdir() if p.stat().st_size > 12 << 20}
+    monkeypatch.setattr(X.Scratch, "release", lambda self: None)
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    docs = rows.select("doc_id", F.when(F.col("toxic") == 1, "vermin here").otherwise("a lovely day").alias("text"), F.lit("en").alias("lang"))
+    before, passes, improve = large(), [], X.improve
+    monkeypatch.setattr(X, "improve", lambda m, rows: (improve(m, rows), passes.append(large() - before)))
+    assert X.fit_toxicity(docs, rows, max_rows=40).seen is None
+    assert passes == [set()] * X.ROUNDS  # a model under training takes 16 MB

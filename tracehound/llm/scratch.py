@@ -22,6 +22,16 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(data.value)
 
 
+@contextmanager
+def lent(spark: SparkSession, value: Any) -> Iterator[Callable[[], Any]]:
+    """As :func:`shared`, for the actions in here: its blocks and the driver's file go with their end."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    try:
+        yield lambda: pickle.loads(data.value)
+    finally:
+        data.destroy()
+
+
 def map_rows(docs: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name: Spark sees them by number, ``run`` by name."""
     names, inner = docs.columns, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
@@ -71,6 +81,7 @@ class Scratch:
         """Have the driver collect its garbage.  Plans, broadcasts and shuffle files of finished steps go
         with the last references to them, which the JVM finds late while its heap is still free to grow."""
         gc.collect()
+        pa.default_memory_pool().release_unused()
         self.spark._jvm.System.gc()
 
     def _remove(self, path: str) -> None:

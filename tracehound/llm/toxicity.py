@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, exchanges_released, map_rows, shared
+from .scratch import Scratch, exchanges_released, lent, map_rows, shared
 from .sqltext import quoted
 from .textkit import ALNUM_SEPARATORS, slices, words_of
 
@@ -312,33 +312,33 @@ def moved(m: Model, rows: np.ndarray, by: np.ndarray) -> None:
 def improve(m: Model, rows: DataFrame) -> None:
     """One pass over all ``rows``: each task goes on from the model over its rows, in the order of their
     hashes; every weight then moves by its mean change over the tasks that changed it."""
-    held = shared(rows.sparkSession, m)
     names = ["row", *[f"d{i}" for i in range(DIM)]]
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                if own is None:
-                    own = held()
-                    table, others = own.table.copy(), dense(own)
-                ids, offsets = word_ids(batch.column(1))
-                label = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                for at in range(0, len(label), BATCH):
-                    to = min(at + BATCH, len(label))
-                    step(own, [ids[offsets[i] : offsets[i + 1]] for i in range(at, to)], label[at:to], RATE / 4)
-        if own is not None:
-            touched = np.flatnonzero((own.table != table).any(axis=1))
-            by = np.concatenate([own.table[touched].astype(np.float64) - table[touched], dense(own) - others])
-            at = np.append(touched, BUCKETS + np.arange(len(others))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(by[:, i]) for i in range(DIM)]], names)
-
     ordered = rows.sortWithinPartitions(F.xxhash64("id"), "id", F.xxhash64("text")).select("label", "text")
-    changes = ordered.mapInArrow(learn, ", ".join(f"{n} {'int' if n == 'row' else 'double'}" for n in names))
-    # at most a row of DIM numbers for each row of the table
-    mean = changes.groupBy("row").agg(*[F.avg(n).cast("float").alias(n) for n in names[1:]]).toArrow()
+    with lent(rows.sparkSession, m) as held:
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = None
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 20):
+                    if own is None:
+                        own = held()
+                        table, others = own.table.copy(), dense(own)
+                    ids, offsets = word_ids(batch.column(1))
+                    label = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+                    for at in range(0, len(label), BATCH):
+                        to = min(at + BATCH, len(label))
+                        step(own, [ids[offsets[i] : offsets[i + 1]] for i in range(at, to)], label[at:to], RATE / 4)
+            if own is not None:
+                touched = np.flatnonzero((own.table != table).any(axis=1))
+                by = np.concatenate([own.table[touched].astype(np.float64) - table[touched], dense(own) - others])
+                at = np.append(touched, BUCKETS + np.arange(len(others))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(by[:, i]) for i in range(DIM)]], names)
+
+        changes = ordered.mapInArrow(learn, ", ".join(f"{n} {'int' if n == 'row' else 'double'}" for n in names))
+        # at most a row of DIM numbers for each row of the table
+        mean = changes.groupBy("row").agg(*[F.avg(n).cast("float").alias(n) for n in names[1:]]).toArrow()
     if mean.num_rows:
-        moved(m, mean.column("row").to_numpy(), np.stack([mean.column(n).to_numpy() for n in names[1:]], axis=1).astype(np.float64))
+        moved(m, mean.column("row").to_numpy(), np.stack([mean.column(n).to_numpy() for n in names[1:]], axis=1))
 
 
 def calibrate_on(m: Model, rows: DataFrame) -> None:
@@ -360,8 +360,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     total = known.agg(F.count_distinct("id").alias("ids"), F.min(F.when(fold("id") != 1, F.col("label"))).alias("low"), F.max(F.when(fold("id") != 1, F.col("label"))).alias("high")).first()
     if total.low is None or total.low == total.high:
         return None
-    rows = sample(docs, labels, label, id_col, text_col, max_rows).mapInArrow(pack, "id long, label double, lang string, fold int, ids binary").collect()
-    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["id"], r["ids"]))
+    # as Arrow batches, which the driver's JVM passes on as they come
+    rows = sample(docs, labels, label, id_col, text_col, max_rows).mapInArrow(pack, "id long, label double, lang string, fold int, ids binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["id"], r["ids"]))
     first = [r for r in rows if r["fold"] != 1]
     if len(rows) == total.ids:
         m = fit(first, [r for r in rows if r["fold"] == 1])
@@ -370,12 +371,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         m = train(arrays, np.array([r["label"] for r in first] or [0.0], float))
         del rows, first, arrays
         every = labelled_rows(docs, labels, label, id_col, text_col)
+        scratch = Scratch(docs.sparkSession, "toxicity")
+        scratch.release()
         with exchanges_released(docs.sparkSession):  # a pass's exchanged texts go before the next
             for _ in range(ROUNDS):
                 improve(m, every.where("fold <> 1"))
-                Scratch(docs.sparkSession, "toxicity").release()
+                scratch.release()
             m.seen = None
             calibrate_on(m, every.where("fold = 1"))
+            scratch.release()
     m.seen = None
     return m
 

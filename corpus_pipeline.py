@@ -2,10 +2,11 @@
 personal data, source mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's ``docs``.  All but the last return the columns of documents.  Null and
-empty texts pass every filter; a row without an id is never a duplicate; repeated rows and texts of
-equal shingles keep their smallest id; very long texts are read whole; an empty table stays empty;
-extra columns are kept, whatever their names (those that begin with ``_pipeline`` are the stages' own).
+again as the next one's ``docs``.  A stage begins by releasing what the driver still holds of the
+one before.  All but the last return the columns of documents.  Null and empty texts pass every
+filter; a row without an id is never a duplicate; repeated rows and texts of equal shingles keep
+their smallest id; very long texts are read whole; an empty table stays empty; extra columns are
+kept, whatever their names (those that begin with ``_pipeline`` are the stages' own).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehound.llm import decontam, mixing, near_dup, pii, toxicity
-from tracehound.llm.scratch import Scratch
+from tracehound.llm.scratch import Scratch, release
 from tracehound.llm.sqltext import quoted
 from tracehound.session import configure
 
@@ -33,6 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's cut go."""
+    release(spark)
     model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model, out_col=f"{WORK}_score")
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
@@ -43,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of texts linked at 0.8 over five-word shingles the smallest id stays, one text of it;
     of rows that share id and text the first by their columns stays.  Texts that only share an id are not
     linked, so each group keeps a row."""
+    release(spark)
     scratch = Scratch(spark, "pipeline-texts")
     order = [F.col(quoted(c)) for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
     # the row limit is applied before the exchange, too: a task sends one row of an id and text
@@ -58,12 +61,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    release(spark)
     found = decontam.find_contamination(docs, read(spark, sf_dir, "benchmark"), result=f"{WORK}_hits")
     return found.where(F.col(f"{WORK}_hits")["n_hit"] == 0).select(*columns(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; n_chars follows the new text."""
+    release(spark)
     found = pii.find_pii(docs, out_col=f"{WORK}_pii")
     clean = pii.redact(found, spans_col=f"{WORK}_pii")
     if "n_chars" in docs.columns:
@@ -74,6 +79,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The schedule of what is left: doc_id, source, tokens, pass, block, slot."""
+    release(spark)
     return mixing.mix_sources(docs).select("doc_id", "source", "tokens", "pass", "block", "slot")
 
 

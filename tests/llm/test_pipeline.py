@@ -1,5 +1,6 @@
 """The pipeline's stages on odd rows, and against brute force on a small corpus."""
 
+import ctypes
 import os
 import random
 import re
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from tracehound.llm import scratch
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +92,44 @@ def test_odd_rows_pass_every_filter(spark, corpus, odd_docs, no_docs):
         out = stage(spark, odd_docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), d)
         ids = {r["doc_id"] for r in out.select("doc_id").collect()}
         assert ids >= {1, 3, 4, 5, 6, 8, None}, name
+
+
+def test_freed_native_memory_of_the_driver_goes_back(spark):
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    blocks = [libc.malloc(16_000) for _ in range(6_000)]
+    for b in blocks:
+        ctypes.memset(b, 1, 16_000)
+    held = blocks[::100]  # one in a hundred stays, so the heap's end cannot fall
+    for i, b in enumerate(blocks):
+        if i % 100:
+            libc.free(b)
+    before = resident()
+    scratch.release(spark)
+    after = resident()
+    for b in held:
+        libc.free(b)
+    assert before - after > 40
+
+
+def test_the_jvm_gives_its_freed_memory_back(spark, monkeypatch):
+    assert "Trim native heap" in scratch.trim(spark)
+    assert scratch.trim(spark, "noSuchCommand") == ""
+    seen = []
+    monkeypatch.setattr(scratch, "trim", seen.append)
+    scratch.Scratch(spark, "none").release()
+    assert seen == [spark]
+
+
+def test_every_stage_begins_by_releasing(monkeypatch):
+    class Begun(Exception):
+        pass
+
+    def begin(_):
+        raise Begun
+
+    monkeypatch.setattr(P, "release", begin)
+    for _, stage in P.STAGES:
+        with pytest.raises(Begun):
+            stage(None, None, "")

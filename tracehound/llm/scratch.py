@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -43,6 +45,33 @@ def map_rows(docs: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
     return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(numbered, inner).toDF(*schema.names)
 
 
+def trim(spark: SparkSession, command: str = "systemTrimNativeHeap") -> str:
+    """Have both of the driver's processes give freed native memory back; the JVM's answer.  glibc keeps what
+    its many threads have freed, so that the JVM's share outside its heap grows from step to step.  Where the
+    platform has no such call, nothing is done."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    jvm = spark._jvm
+    try:
+        # by the method of the public interface: the server's own class is not open to calls
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), command
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:  # a JVM without this command
+        return ""
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage.  Plans, broadcasts and shuffle files of finished steps go
+    with the last references to them, which the JVM finds late while its heap is still free to grow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+    trim(spark)
+
+
 @contextmanager
 def exchanges_released(spark: SparkSession) -> Iterator[None]:
     """Frames made in here give up their shuffle files as soon as an action on them ends, whenever the
@@ -78,11 +107,7 @@ class Scratch:
             self._remove(self.paths.pop(name))
 
     def release(self) -> None:
-        """Have the driver collect its garbage.  Plans, broadcasts and shuffle files of finished steps go
-        with the last references to them, which the JVM finds late while its heap is still free to grow."""
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        self.spark._jvm.System.gc()
+        release(self.spark)
 
     def _remove(self, path: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
